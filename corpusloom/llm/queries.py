@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.names import canonical_name
-from corpusloom.llm import lookalike, neardup, overlap
+from corpusloom.llm import leak, lookalike, neardup, overlap
 from corpusloom.session import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,5 +45,21 @@ def p5_unified(spark: SparkSession, d: str) -> DataFrame:
     return j.select("pos", *[F.coalesce(f"_{f}", f).alias(f) for f in ("query", "positive")], changed.alias("changed"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_overlap_report, p3_found, p3_groups, p5_found, p5_unified)}
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    prepare(spark)
+    return leak.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_passages"), "item_id", "text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_id")
+
+
+def p8_leaked_items(spark: SparkSession, d: str) -> DataFrame:
+    """Every item with the number of documents that hold it and the largest share held."""
+    per = _leaks(spark, d).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("share").alias("most"))
+    items = table(spark, d, "eval_passages").select("item_id", "task", "split")
+    return items.join(per, "item_id", "left").select("item_id", "task", "split", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("most", F.lit(0.0)).alias("most"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_overlap_report, p3_found, p3_groups, p5_found, p5_unified, p8_found, p8_leaked_items)}
 SQL: dict[str, str] = {}
