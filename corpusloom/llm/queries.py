@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.names import canonical_name
-from corpusloom.llm import leak, lookalike, neardup, overlap
+from corpusloom.llm import leak, lookalike, neardup, overlap, severity
 from corpusloom.session import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,23 @@ def p5_unified(spark: SparkSession, d: str) -> DataFrame:
     return j.select("pos", *[F.coalesce(f"_{f}", f).alias(f) for f in ("query", "positive")], changed.alias("changed"))
 
 
+def p6_scores(spark: SparkSession, d: str) -> DataFrame:
+    c = table(prepare(spark), d, "contrastive")
+    graded = severity.votes(table(spark, d, "review_labels"), "pos", "rater", "category", newest="reviewed_at")
+    return severity.severities(c, "pos", "query", severity.fit(c, "pos", "query", graded))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_scores(spark, d).where(F.col("severity") > severity.OFFENDING).select("pos")
+
+
+def p6_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Offending records and mean severity per source."""
+    scored = p6_scores(spark, d).join(table(spark, d, "contrastive").select("pos", canonical_name("source").alias("source")), "pos")
+    bad = F.col("severity") > severity.OFFENDING
+    return scored.groupBy("source").agg(F.count("*").alias("records"), F.count_if(bad).alias("offending"), F.avg(bad.cast("double")).alias("rate"), F.avg("severity").alias("severity"))
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     prepare(spark)
     return leak.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_passages"), "item_id", "text")
@@ -61,5 +78,5 @@ def p8_leaked_items(spark: SparkSession, d: str) -> DataFrame:
     return items.join(per, "item_id", "left").select("item_id", "task", "split", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("most", F.lit(0.0)).alias("most"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_overlap_report, p3_found, p3_groups, p5_found, p5_unified, p8_found, p8_leaked_items)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_overlap_report, p3_found, p3_groups, p5_found, p5_unified, p6_found, p6_scores, p6_rates, p8_found, p8_leaked_items)}
 SQL: dict[str, str] = {}
