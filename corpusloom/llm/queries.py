@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.names import canonical_name
-from corpusloom.llm import leak, lookalike, neardup, overlap, severity
+from corpusloom.llm import leak, lookalike, neardup, overlap, prose, severity
 from corpusloom.session import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,5 +78,14 @@ def p8_leaked_items(spark: SparkSession, d: str) -> DataFrame:
     return items.join(per, "item_id", "left").select("item_id", "task", "split", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("most", F.lit(0.0)).alias("most"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_overlap_report, p3_found, p3_groups, p5_found, p5_unified, p6_found, p6_scores, p6_rates, p8_found, p8_leaked_items)}
+def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(prepare(spark), d, "documents")
+    return prose.prose(docs, "doc_id", "text", prose.fit(docs, "doc_id", "text"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_statistics(spark, d).where("p_prose < 0.5").select("doc_id")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_overlap_report, p3_found, p3_groups, p5_found, p5_unified, p6_found, p6_scores, p6_rates, p8_found, p8_leaked_items, p9_found, p9_statistics)}
 SQL: dict[str, str] = {}
