@@ -32,6 +32,8 @@ SHINGLE = 3
 BLOCK_WORDS = 1_000_000
 #: A case is a stretch of this share of the item's words with at most so many of them changed.
 SHARE, EDITS = 0.5, 4
+#: Words looked at beyond the place of an item, and diagonals of one bin.
+SLACK, BIN = 10, 32
 _U = np.uint64
 
 
@@ -80,20 +82,22 @@ class Block:
     hashes: np.ndarray  # sorted distinct shingles
     first: np.ndarray  # where the postings of each begin
     item: np.ndarray
+    place: np.ndarray
     need: np.ndarray  # T of each item
+    size: np.ndarray  # words of each item
     rare: np.ndarray | None = None  # of each posting: is the shingle in the item's prefix
 
     @classmethod
     def of(cls, ids: list, found: list[np.ndarray], k: int) -> Block:
         flat = np.concatenate(found)
         starts = np.concatenate(([0], np.cumsum([len(w) for w in found])[:-1])).astype(np.int64)
-        h, item, _ = shingles(flat, starts, k)
-        pair = np.unique(np.stack([h, item.astype(np.uint64)]), axis=1)
-        hashes, first = np.unique(pair[0], return_index=True)
+        h, item, place = shingles(flat, starts, k)
+        by = np.lexsort((place, item, h))
+        hashes, first = np.unique(h[by], return_index=True)
         n = np.array([len(w) for w in found])
         stretch = np.ceil(n * SHARE).astype(int)
         need = np.maximum(1, stretch - k + 1 - k * EDITS)
-        return cls(ids, found, hashes, np.append(first, len(pair[0])), pair[1].astype(np.int64), need)
+        return cls(ids, found, hashes, np.append(first, len(h)), item[by], place[by], need, n)
 
     def lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index into h, index of the shingle) of the shingles that occur in the block."""
@@ -153,19 +157,41 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return int(end - i), matched
 
 
-def _judge(item: np.ndarray, text: np.ndarray, diagonals: np.ndarray) -> float:
-    """The largest share of the item's words in a stretch of an item-sized window that is a case, else 0."""
-    slack, n, best = 2 * EDITS + 2, len(item), 0.0
-    d = np.unique(diagonals)
-    for part in np.split(d, np.flatnonzero(np.diff(d) > slack) + 1):
-        window = text[max(0, part[0] - slack) : part[-1] + n + slack]
-        least = SHARE * n
-        if np.isin(item, window).sum() < least - EDITS:
-            continue
-        span, matched = align(item, window)
-        if span >= least and span - matched <= max(EDITS, span // 5):
-            best = max(best, span / n)
-    return best
+def judge(item: np.ndarray, window: np.ndarray) -> float:
+    """The share of the item's words in the best stretch of a window if that is a case, else 0."""
+    least = SHARE * len(item)
+    if np.isin(item, window).sum() < least - EDITS:
+        return 0.0
+    span, matched = align(item, window)
+    return span / len(item) if span >= least and span - matched <= max(EDITS, span // 5) else 0.0
+
+
+def candidates(block: Block, hit_doc: np.ndarray, hit_pos: np.ndarray, s: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(doc, item, lowest diagonal, highest diagonal) of the item-sized windows that may hold a case.
+
+    Length bound: the document has the words of a stretch.  Prefix: one shingle of the item's
+    prefix is there.  Position and count bounds: the shingles of a case lie on neighbouring
+    diagonals (place in the document less place in the item), so at least T of them fall
+    into one of two overlapping bins of diagonals.
+    """
+    which, posting = _postings(block, s)
+    doc, item = hit_doc[which], block.item[posting]
+    pair = doc * len(block.ids) + item
+    ok = (sizes[doc] >= np.ceil(SHARE * block.size[item]) - EDITS) & np.isin(pair, np.unique(pair[block.rare[posting]]))
+    pair, diagonal, item = pair[ok], (hit_pos[which] - block.place[posting])[ok], item[ok]
+    out = []
+    for shift in (0, BIN // 2):
+        bin_ = (pair << 24) + (diagonal + shift + (1 << 23)) // BIN
+        by = np.argsort(bin_, kind="stable")
+        key, begin, count = np.unique(bin_[by], return_index=True, return_counts=True)
+        enough = count >= block.need[item[by][begin]]
+        if enough.any():
+            low, high = np.minimum.reduceat(diagonal[by], begin), np.maximum.reduceat(diagonal[by], begin)
+            out.append(np.stack([key >> 24, low, high])[:, enough])
+    if not out:
+        return (np.empty(0, np.int64),) * 4
+    pair, low, high = np.unique(np.concatenate(out, axis=1), axis=1)
+    return pair // len(block.ids), pair % len(block.ids), low, high
 
 
 def leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item: str, passage: str, shingle: int = SHINGLE) -> DataFrame:
@@ -228,30 +254,13 @@ def _against(spark, table: DataFrame, block: Block, k: int, kinds: tuple[str, st
             ends = np.append(starts[1:], len(flat))
             h, owner, pos = shingles(flat, starts, k)
             hit, s = q.lookup(h)
-            which, posting = _postings(q, s)
-            doc, it, rare = owner[hit][which], q.item[posting], q.rare[posting]
-            # prefix, count and length bounds on (document, item)
-            pair = doc * len(q.ids) + it
-            able = np.unique(pair[rare])
-            pair_shingle = np.unique(np.stack([pair, s[which]]), axis=1)[0] if len(pair) else pair
-            p, shared = np.unique(pair_shingle, return_counts=True)
-            long_enough = (ends - starts)[p // len(q.ids)] >= np.ceil(SHARE * np.array([len(w) for w in q.words])[p % len(q.ids)]) - EDITS
-            p = p[(shared >= q.need[p % len(q.ids)]) & np.isin(p, able) & long_enough]
-            rows, ids, shares = [], [], []
-            keep = np.flatnonzero(np.isin(pair, p))
-            for group in np.split(keep[np.argsort(pair[keep], kind="stable")], np.flatnonzero(np.diff(np.sort(pair[keep]))) + 1) if len(keep) else ():
-                d, i = int(doc[group[0]]), int(it[group[0]])
-                item_words = q.words[i]
-                places = {}
-                for x, (word_hash) in enumerate(shingles(item_words, np.zeros(1, np.int64), k)[0]):
-                    places.setdefault(int(word_hash), []).append(x)
-                at = pos[hit[which[group]]]
-                diagonals = np.array([y - x for y, g in zip(at.tolist(), h[hit[which[group]]].tolist(), strict=True) for x in places[g]])
-                share = _judge(item_words, flat[starts[d] : ends[d]], diagonals)
-                if share:
-                    rows.append(d)
-                    ids.append(q.ids[i])
-                    shares.append(share)
+            best: dict[tuple[int, int], float] = {}
+            for d, i, low, high in zip(*(x.tolist() for x in candidates(q, owner[hit], pos[hit], s, ends - starts)), strict=True):
+                if best.get((d, i), 0) < 1:
+                    text = flat[starts[d] : ends[d]]
+                    if share := judge(q.words[i], text[max(0, low - SLACK) : high + len(q.words[i]) + SLACK]):
+                        best[d, i] = max(share, best.get((d, i), 0))
+            rows, ids, shares = [d for d, _ in best], [q.ids[i] for _, i in best], list(best.values())
             found = b.column("id").take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([found, pa.array(ids, _arrow(kinds[1])), pa.array(shares, pa.float64())], ["id", "item", "share"])
 
