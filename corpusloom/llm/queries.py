@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions.names import canonical_name
-from corpusloom.llm import leak, lookalike, neardup, overlap, prose, severity
+from corpusloom.functions.names import BLANKS, canonical_name
+from corpusloom.llm import leak, lookalike, mixing, neardup, overlap, pack, proportions, prose, severity
 from corpusloom.session import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,5 +87,86 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_statistics(spark, d).where("p_prose < 0.5").select("doc_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_overlap_report, p3_found, p3_groups, p5_found, p5_unified, p6_found, p6_scores, p6_rates, p8_found, p8_leaked_items, p9_found, p9_statistics)}
-SQL: dict[str, str] = {}
+def _label(c: str = "label") -> Column:
+    """Labels that differ in case, outer blanks or blank for underscore are one; blank is none."""
+    flat = F.regexp_replace(F.lower(F.trim(F.regexp_replace(c, BLANKS, " "))), " ", "_")
+    return F.when(flat != "", flat)
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    return proportions.newest(table(prepare(spark), d, "labeled_text"), ["batch_id", "slot"], "added_at", _label())
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return proportions.quotas(_records(spark, d), table(spark, d, "label_targets"), _label()).where("short").select("plan", "label").distinct()
+
+
+def p2_sample(spark: SparkSession, d: str) -> DataFrame:
+    return proportions.draw(_records(spark, d), ["batch_id", "slot"], table(spark, d, "label_targets"), _label())
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    records, targets = _records(spark, d), table(spark, d, "label_targets")
+    sample = proportions.draw(records, ["batch_id", "slot"], targets, _label())
+    return proportions.report(records, sample, targets, _label())
+
+
+def _train(spark: SparkSession, d: str) -> DataFrame:
+    return table(prepare(spark), d, "contrastive").where("split = 'train'").select("pos", "source")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    s = mixing.supply(_train(spark, d), canonical_name("source"), table(spark, d, "mix_targets"), canonical_name("source"))
+    return s.where("wanted > cap").select("mix", "source").distinct()
+
+
+def p4_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(_train(spark, d), "pos", canonical_name("source"), table(spark, d, "mix_targets"), canonical_name("source"))
+
+
+def p4_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(_train(spark, d), canonical_name("source"), table(spark, d, "mix_targets"), canonical_name("source"))
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    prepare(spark)
+    return pack.pack_all(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "pack_limits"), "stage", "max_length")
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Per stage: containers used, tokens in them, the least number that could do, and the share of the room that is filled."""
+    limits = table(spark, d, "pack_limits").select(F.col("stage").alias("_s"), "max_length")
+    packed = p7_containers(spark, d).groupBy("stage").agg(F.countDistinct("container").alias("containers"), F.sum(F.col("token_to") - F.col("token_from")).alias("tokens"))
+    j = packed.join(limits, F.col("stage") == F.col("_s"))
+    return j.select("stage", "max_length", "containers", "tokens", F.ceil(F.col("tokens") / F.col("max_length")).alias("least"), (F.col("tokens") / (F.col("containers") * F.col("max_length"))).alias("filled"))
+
+
+def _named(*fs: Query) -> dict[str, Query]:
+    return {f.__name__: f for f in fs}
+
+
+QUERIES: dict[str, Query] = (
+    _named(p1_found, p1_overlap_report, p2_found, p2_sample, p2_report, p3_found, p3_groups, p4_found, p4_mix, p4_shares)
+    | _named(p5_found, p5_unified, p6_found, p6_scores, p6_rates, p7_containers, p7_fill, p8_found, p8_leaked_items, p9_found, p9_statistics)
+)
+_SQL_LABEL = "nullif(replace(lower(trim(regexp_replace(label, '[\\s ]+', ' ', 'g'))), ' ', '_'), '')"
+_SQL_SOURCE = "nullif(regexp_replace(lower(trim(regexp_replace(source, '[\\s ]+', ' ', 'g'))), '[ _\\-]+', '_', 'g'), '')"
+_SQL_LATEST = f"""
+    SELECT key FROM (SELECT {_SQL_LABEL} AS key, row_number() OVER (PARTITION BY batch_id, slot ORDER BY coalesce(added_at, TIMESTAMP '0001-01-01') DESC,
+    ({_SQL_LABEL} IS NOT NULL)::INT DESC, {_SQL_LABEL} DESC) AS r FROM labeled_text) WHERE r = 1 AND key IS NOT NULL"""
+SQL: dict[str, str] = {
+    "p2_found": f"""
+        WITH have AS (SELECT key, count(*) AS n FROM ({_SQL_LATEST}) GROUP BY key)
+        SELECT DISTINCT plan, label FROM (SELECT plan, label, {_SQL_LABEL} AS key, greatest(coalesce(target_share, 0) * coalesce(sample_size, 0), coalesce(min_rows, 0)::DOUBLE) AS wanted FROM label_targets) t
+        LEFT JOIN have USING (key) WHERE coalesce(n, 0) < wanted""",
+    "p4_found": f"""
+        WITH have AS (SELECT {_SQL_SOURCE} AS key, count(*) AS n FROM contrastive WHERE split = 'train' GROUP BY 1)
+        SELECT DISTINCT mix, source FROM (SELECT mix, source, {_SQL_SOURCE} AS key, coalesce(weight, 0) * coalesce(total_records, 0) AS wanted, coalesce(max_repeats, 0) AS most FROM mix_targets) t
+        LEFT JOIN have USING (key) WHERE wanted > most * coalesce(n, 0)""",
+    "p4_shares": f"""
+        WITH have AS (SELECT {_SQL_SOURCE} AS key, count(*) AS n FROM contrastive WHERE split = 'train' GROUP BY 1),
+        s AS (SELECT mix, source, weight, coalesce(weight, 0) * coalesce(total_records, 0) AS wanted, coalesce(n, 0) AS available, coalesce(max_repeats, 0) * coalesce(n, 0) AS cap
+              FROM (SELECT *, {_SQL_SOURCE} AS key FROM mix_targets) t LEFT JOIN have USING (key)),
+        q AS (SELECT *, least(round(wanted), greatest(cap, 0))::BIGINT AS drawn FROM s)
+        SELECT mix, source, weight, wanted, available, cap, drawn, CASE WHEN sum(drawn) OVER (PARTITION BY mix) > 0 THEN drawn / sum(drawn) OVER (PARTITION BY mix) ELSE 0.0 END AS share, wanted > cap AS short FROM q""",
+}
