@@ -14,9 +14,9 @@ from corpusloom.llm.setjoin import Seen, bucket_pairs, set_table, verified
 from corpusloom.llm.sketch import band_keys, flatten, similarity_sketch
 from corpusloom.session import cut
 
-#: Bands of the sketch and coordinates of a band: a pair of similarity J is missed with probability (1 - J^5)^20,
-#: that is 0.5 % at 0.75 and 0.04 % at 0.8; the similarity is that of the tagged union of all fields.
-BANDS, ROWS = 20, 5
+#: Bands of the sketch and coordinates of a band: a pair of similarity J is missed with probability (1 - J^6)^25,
+#: that is 0.7 % at 0.75 and 0.05 % at 0.8; the similarity is that of the tagged union of all fields.
+BANDS, ROWS = 25, 6
 #: The same inside a crowded bucket.
 SUB_BANDS, SUB_ROWS = 16, 3
 

@@ -84,15 +84,46 @@ class Seen:
 
 def class_words(members: DataFrame, fields: int) -> DataFrame:
     """(k1, s: array of (k2, w0, ...)): the distinct sets under each k1, merged on the map side first."""
-    return members.groupBy("k1").agg(F.collect_set(F.struct("k2", *[f"w{i}" for i in range(fields)])).alias("s"))
+    return members.select("k1", "k2", *[f"w{i}" for i in range(fields)]).groupBy("k1").agg(F.collect_set(F.struct("k2", *[f"w{i}" for i in range(fields)])).alias("s"))
 
 
-def verified(pairs: DataFrame, members: DataFrame, fields: int, share: tuple[int, int] = SHARE, same: bool = False) -> DataFrame:
+def having(members: DataFrame, ids: DataFrame, most_bits: int = 1 << 28) -> DataFrame:
+    """The members whose k1 is among ``ids``, and a few more: a Bloom filter, so that other word sets aren't shuffled.
+
+    k1 is a hash itself, so its bits choose the places.  The filter has 16 bits for an id and
+    at most ``most_bits`` (32 MB), whatever the number of ids; with more it lets more pass.
+    """
+    spark = members.sparkSession
+    bits = 1 << 16
+    n = ids.count()
+    while bits < min(16 * n, most_bits):
+        bits *= 2
+    at = F.explode(F.array(*[F.shiftrightunsigned("k1", k).bitwiseAND(bits - 1) for k in (0, 32)]))
+    filled = ids.select(at.alias("bit")).groupBy((F.col("bit") / 32).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit % 32))")).alias("m")).toPandas()
+    table = np.zeros(bits // 32, np.uint32)
+    table[filled["w"].to_numpy(np.int64)] = filled["m"].to_numpy(np.int64).astype(np.uint32)
+    sent = spark.sparkContext.broadcast(table)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = sent.value
+        for b in batches:
+            k = b.column("k1").to_numpy(zero_copy_only=False).view(np.uint64)
+            ok = np.ones(len(k), bool)
+            for shift in (0, 32):
+                p = (k >> np.uint64(shift)) & np.uint64(bits - 1)
+                ok &= (t[(p >> np.uint64(5)).astype(np.int64)] >> (p & np.uint64(31)).astype(np.uint32)) & 1 > 0
+            yield b.filter(pa.array(ok))
+
+    return members.mapInArrow(keep, members.schema)
+
+
+def verified(pairs: DataFrame, members: DataFrame, fields: int, share: tuple[int, int] = SHARE) -> DataFrame:
     """The pairs (a, b) of k1 whose sets match in every field, as (a1, a2, b1, b2, sim).
 
     sim: the smallest Jaccard similarity of the fields.  The comparison is exact, in whole numbers.
     """
-    words = class_words(members, fields)
+    pairs = cut(pairs, "pairs")
+    words = class_words(having(members, pairs.select(F.explode(F.array("a", "b")).alias("k1"))), fields)
     left = words.select(F.col("k1").alias("a"), F.explode("s").alias("sa"))
     right = words.select(F.col("k1").alias("b"), F.explode("s").alias("sb"))
     joined = pairs.join(left, "a").join(right, "b")
@@ -119,15 +150,15 @@ def bucket_pairs(keys: DataFrame, refine: Callable[[DataFrame, int], DataFrame],
     """
     from pyspark.sql import Window as W
 
-    at_key = keys.groupBy("key", "id").agg(F.lit(1).alias("_one")).select("key", "id") if level else keys
-    spread = at_key.repartition("key").dropDuplicates(["key", "id"])
+    spread = keys.repartition("key").dropDuplicates(["key", "id"])
     sized = spread.withColumn("_n", F.count("*").over(W.partitionBy("key"))).where("_n > 1")
+    sized = cut(sized, f"buckets{level}")  # most keys have one id, so little is left, and it is read more than once
     small = sized if level == deepest else sized.where(F.col("_n") <= hot)
     a, b = small.select("key", F.col("id").alias("a")), small.select("key", F.col("id").alias("b"))
     pairs = a.join(b, "key").where("a < b").select("a", "b")
     if level == deepest:
         return pairs
-    crowded = cut(sized.where(F.col("_n") > hot).select("key", "id"), f"crowded{level}")
+    crowded = sized.where(F.col("_n") > hot).select("key", "id")
     if not crowded.isEmpty():
         more = refine(crowded.select("id").distinct(), level + 1)
         finer = crowded.join(more, "id").select(F.xxhash64("key", "sub").alias("key"), "id")
