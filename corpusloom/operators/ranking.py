@@ -14,14 +14,14 @@ def numbered(df: DataFrame, group: list[str], bucket: str, order: list[str | Col
     group that holds a third of all rows is spread over as many tasks as it has buckets.
     Rows equal in bucket and order get different ranks in no stated order; a null bucket comes first.
     """
-    counts = df.groupBy(*group, bucket).agg(F.count("*").alias("_n"))
+    counts = df.groupBy(*group, bucket).agg(F.count("*").alias("__n"))
     before = W.partitionBy(*group).orderBy(F.col(bucket).asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col(bucket).alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    ranked = df.withColumn("_r", F.row_number().over(W.partitionBy(*group, bucket).orderBy(*order)).cast("bigint") - 1)
-    match = F.col(bucket).eqNullSafe(F.col("_b"))
+    offsets = counts.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], F.col(bucket).alias("__b"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
+    ranked = df.withColumn("__r", F.row_number().over(W.partitionBy(*group, bucket).orderBy(*order)).cast("bigint") - 1)
+    match = F.col(bucket).eqNullSafe(F.col("__b"))
     for i, g in enumerate(group):
-        match = match & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    return ranked.join(offsets, match).withColumn(name, F.col("_r") + F.col("_o")).select(*df.columns, name)
+        match = match & F.col(g).eqNullSafe(F.col(f"__g{i}"))
+    return ranked.join(offsets, match).withColumn(name, F.col("__r") + F.col("__o")).select(*df.columns, name)
 
 
 def salt(key: Column | str, salts: int, seed: int = 0) -> Column:
