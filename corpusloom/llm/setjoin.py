@@ -87,11 +87,11 @@ def class_words(members: DataFrame, fields: int) -> DataFrame:
     return members.select("k1", "k2", *[f"w{i}" for i in range(fields)]).groupBy("k1").agg(F.collect_set(F.struct("k2", *[f"w{i}" for i in range(fields)])).alias("s"))
 
 
-def having(members: DataFrame, ids: DataFrame, most_bits: int = 1 << 28) -> DataFrame:
+def having(members: DataFrame, ids: DataFrame, most_bits: int = 1 << 26) -> DataFrame:
     """The members whose k1 is among ``ids``, and a few more: a Bloom filter, so that other word sets aren't shuffled.
 
     k1 is a hash itself, so its bits choose the places.  The filter has 16 bits for an id and
-    at most ``most_bits`` (32 MB), whatever the number of ids; with more it lets more pass.
+    at most ``most_bits`` (8 MB), whatever the number of ids; with more it lets more pass.
     """
     spark = members.sparkSession
     bits = 1 << 16
