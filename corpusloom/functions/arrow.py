@@ -61,7 +61,7 @@ def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         if both and (not left or not right):
             return 100.0
         whole = [f"{both} {r}".strip() for r in (left, right)]
-        return max(_ratio(whole[0], whole[1]), *(_ratio(both, w) for w in whole if both))
+        return max([_ratio(whole[0], whole[1]), *(_ratio(both, w) for w in whole if both)])
 
     return pd.Series([None if pd.isna(x) or pd.isna(y) else one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
@@ -75,6 +75,6 @@ def partial_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         if not x:
             return 0.0
         starts = {max(0, m.b - m.a) for m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks()}
-        return max(_ratio(x, y[s : s + len(x)]) for s in starts)
+        return max([_ratio(x, y[s : s + len(x)]) for s in starts])
 
     return pd.Series([None if pd.isna(x) or pd.isna(y) else one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
