@@ -230,3 +230,17 @@ def confusable_negatives(df: DataFrame, key: str, label: str, edges: DataFrame,
 def verdict(exact_n: Column, contained_n: Column, lexical_n: Column) -> Column:
     """What an audit concludes, lexical near matches included."""
     return F.when(exact_n + contained_n > 0, "contaminated").when(lexical_n > 0, "near_duplicates").otherwise("clean")
+
+
+def sampled_lexical(anchors: DataFrame, pool: DataFrame, key: str, label: str, words: str, seed: int, sample: int = 256, k: int = 1, same: bool = False) -> DataFrame:
+    """(key, other, sim): of a seeded sample of each label's pool the k rows most similar in words.
+
+    The sample is the feature: at most ``sample`` rows a label, drawn once and shared by all
+    anchors, so the join is anchors times labels times sample and not all pairs.
+    """
+    own = pool.where(F.col(label).isNotNull() & F.col(words).isNotNull()).select(F.col(key).alias("other"), F.col(label).alias("_l"), F.col(words).alias("_w"))
+    few = own.withColumn("_r", F.row_number().over(W.partitionBy("_l").orderBy(hashed(seed, "other"), "other"))).where(F.col("_r") <= sample).drop("_r")
+    a = anchors.where(F.col(label).isNotNull() & F.col(words).isNotNull()).select(key, label, F.col(words).alias("_a"))
+    j = a.join(few, (F.col(label) == F.col("_l")) if same else (F.col(label) != F.col("_l"))).where(F.col(key) != F.col("other"))
+    j = j.select(key, "other", X.jaccard("_a", "_w").alias("sim"))
+    return j.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(F.desc("sim"), "other"))).where(F.col("_r") <= k).drop("_r")

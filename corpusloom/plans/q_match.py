@@ -204,3 +204,12 @@ def audit_verdict(spark, d):
     keys = c.where("split <> 'train' AND key <> ''").select("key").distinct().withColumn("hit", F.lit(1))
     n = c.where("split = 'train'").join(keys, "key", "left").groupBy("source").agg(F.count("*").alias("n"), F.count("hit").alias("exact"))
     return n.withColumn("verdict", M.verdict(F.col("exact"), F.lit(0), F.lit(0)))
+
+
+@register("sampled_lexical_negatives", f"""
+    WITH r AS (SELECT item_id, task, list_distinct({Q.words(Q.audit('text'))}) AS w FROM eval_passages), f AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY task ORDER BY md5('3|' || item_id), item_id) <= 20),
+    j AS (SELECT r.item_id, f.item_id AS other, len(list_intersect(r.w, f.w))::DOUBLE / (len(r.w) + len(f.w) - len(list_intersect(r.w, f.w))) AS sim FROM r JOIN f ON r.task = f.task AND r.item_id <> f.item_id)
+    SELECT item_id, other, round(sim, 6) AS sim FROM j QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY sim DESC, other) <= 1""")
+def sampled_lexical_negatives(spark, d):
+    r = _t(spark, d, "eval_passages").select("item_id", "task", X.token_set("text").alias("w"))
+    return M.sampled_lexical(r, r, "item_id", "task", "w", 3, sample=20, same=True).select("item_id", "other", F.round("sim", 6).alias("sim"))

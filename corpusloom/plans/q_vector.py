@@ -68,6 +68,11 @@ def window_positive(spark, d):
     return _near(spark, d, 1, label="label", same=True, window=(0.06, 0.70)).select("query", "neighbour", F.round("sim", 6).alias("sim"))
 
 
+@register("far_same_label", f"SELECT query, neighbour, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, neighbour) AS place FROM {_SIMS} WHERE label = query_label AND sim < 0.02) WHERE place <= 2")
+def far_same_label(spark, d):
+    return _near(spark, d, 2, label="label", same=True, window=(-2.0, 0.02)).select("query", "neighbour", F.round("sim", 6).alias("sim"))
+
+
 @register("preference_tiers", f"WITH n AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, neighbour) AS place FROM {_SIMS}), t AS (SELECT query, neighbour, row_number() OVER (PARTITION BY query ORDER BY (neighbour % 2)::INT, sim DESC, neighbour) AS place FROM n WHERE place <= 40) SELECT * FROM t WHERE place <= 5")
 def preference_tiers(spark, d):
     return V.tiered(_near(spark, d, 40), F.col("neighbour") % 2 == 0, 5).select("query", "neighbour", "place")
