@@ -14,7 +14,7 @@ from corpusloom.llm.sketch import bit_fingerprints, flatten, pack
 from corpusloom.session import cut
 
 #: The fingerprint: BLOCKS segments of BLOCK_BITS bits, and CHECK_BITS more for the Hamming test of a candidate.
-BLOCKS, BLOCK_BITS, CHECK_BITS = 10, 24, 31
+BLOCKS, BLOCK_BITS, CHECK_BITS = 20, 24, 31
 #: A block may differ in one bit, and the check bits in CHECK_RADIUS; two sets of similarity 2/3 differ in a sixth of the bits.
 CHECK_RADIUS = 13
 
