@@ -133,7 +133,7 @@ def char_ngrams(x: Column | str, n: int = 4) -> Column:
     """The different character n-grams; the text itself if it is not longer than n, none if it is empty."""
     c = _c(x)
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
-    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.array_distinct(grams))
+    return F.when(c == "", F.array().cast("array<string>")).when(c.isNotNull(), F.array_distinct(grams))
 
 
 def _count(x: Column, pattern: str) -> Column:
@@ -187,7 +187,7 @@ def content_hash(*xs: Column | str) -> Column:
 def keywords(x: Column | str, most: int = 8) -> Column:
     """The list after a line 'Ключевые слова:' or 'Keywords:', cleaned, at most ``most``."""
     line = F.regexp_extract(_c(x), r"(?i)(?:Ключевые слова|Keywords):[ \t]*([^\n]+)", 1)
-    parts = F.transform(F.split(line, "[,;]"), lambda p: F.regexp_replace(collapse(p), r"[.]+$", ""))
+    parts = F.transform(F.split(line, "[,;]"), lambda p: F.regexp_replace(collapse(p), r"[. ]+$", ""))
     return F.slice(F.filter(parts, lambda p: p != ""), 1, most)
 
 

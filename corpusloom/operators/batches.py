@@ -94,8 +94,8 @@ def interleave(parts: dict[str, tuple[DataFrame, int]], key: str, steps: int, se
     for name, (df, k) in parts.items():
         ranked = _ranked(df.withColumn("_part", F.lit(name)), key, "_part", seed)
         size = ranked.select("n").distinct()
-        cells = df.sparkSession.range(steps * k).crossJoin(F.broadcast(size)).withColumn("_i", F.pmod("id", F.col("n")))
-        one = cells.join(ranked.select(key, F.col("i").alias("_i")), "_i").select(F.floor(F.col("id") / k).alias("batch_id"), (F.pmod("id", F.lit(k)) + at).alias("slot"), F.lit(name).alias("part"), key)
+        cells = df.sparkSession.range(steps * k).withColumnRenamed("id", "_cell").crossJoin(F.broadcast(size)).withColumn("_i", F.pmod("_cell", F.col("n")))
+        one = cells.join(ranked.select(key, F.col("i").alias("_i")), "_i").select(F.floor(F.col("_cell") / k).alias("batch_id"), (F.pmod("_cell", F.lit(k)) + at).alias("slot"), F.lit(name).alias("part"), key)
         out, at = one if out is None else out.unionByName(one), at + k
     return out
 

@@ -132,7 +132,7 @@ def from_inverted(df: DataFrame, key: str, index: str) -> DataFrame:
 def json_field(x: Column | str, path: str) -> Column:
     """A field of a JSON text; invalid escapes are repaired first, then a pattern finds it, else null (C14)."""
     c = F.col(x) if isinstance(x, str) else x
-    repaired = F.regexp_replace(c, r'\\(?!["\\/bfnrtu])', r"\\\\\\\\")
+    repaired = F.regexp_replace(c, r'\\(?!["\\/bfnrtu])', r"\\\\")
     found = F.regexp_extract(c, f'"{path}"[ ]*:[ ]*"?([^",}}]*)"?', 1)
     return F.coalesce(F.get_json_object(c, f"$.{path}"), F.get_json_object(repaired, f"$.{path}"), F.nullif(found, F.lit("")))
 

@@ -39,7 +39,7 @@ def sample(df: DataFrame, key: str, n: int, seed: int | str, exact: bool = False
     out = df.orderBy(hashed(seed, key), key).limit(n)
     if exact:
         short = df.agg(F.assert_true(F.count("*") >= n, F.lit(f"fewer than {n} rows")).alias("_ok"))
-        out = out.join(F.broadcast(short)).drop("_ok")
+        out = out.join(F.broadcast(short)).where("_ok IS NULL").drop("_ok")
     return out
 
 

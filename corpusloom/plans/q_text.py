@@ -176,7 +176,7 @@ def vote_label(spark, d):
 
 
 @register("keyword_lists", r"""
-    WITH k AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_extract(text, '(?i)(?:Ключевые слова|Keywords):[ \t]*([^\n]+)', 1), '[,;]'), lambda p: regexp_replace(trim(regexp_replace(p, '[ \t]+', ' ', 'g')), '[.]+$', '')), lambda p: p <> '')[1:8] AS k FROM documents WHERE text IS NOT NULL)
+    WITH k AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_extract(text, '(?i)(?:Ключевые слова|Keywords):[ \t]*([^\n]+)', 1), '[,;]'), lambda p: regexp_replace(trim(regexp_replace(p, '[ \t]+', ' ', 'g')), '[. ]+$', '')), lambda p: p <> '')[1:8] AS k FROM documents WHERE text IS NOT NULL)
     SELECT doc_id, array_to_string(k, '|') AS keywords FROM k WHERE len(k) > 0""")
 def keyword_lists(spark, d):
     k = _t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", X.keywords("text").alias("k")).where(F.size("k") > 0)

@@ -50,6 +50,8 @@ def read_jsonl(spark: SparkSession, path: str, of: T.StructType | None = None, l
             raw.pop(gone)
         df = spark.read.option("columnNameOfCorruptRecord", "_corrupt").schema(T.StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in raw.items()))).json(path)
         df = df.select("*", F.col("_metadata.file_path").alias("_file"))
+        # Spark refuses a query of the corrupt column alone, so that it is always read with another
+        df = df.withColumn("_corrupt", F.when(F.coalesce(F.length("objective"), F.lit(0)) >= 0, F.col("_corrupt")))
         as_list = lambda c: F.col(c).startswith("[")
         df = df.withColumns({
             "labels_arr": F.when(as_list("labels"), F.from_json("labels", "array<string>")), "labels_map": F.when(F.col("labels").startswith("{"), F.from_json("labels", "map<string,string>")),
@@ -96,7 +98,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 def sampled(df: DataFrame, most: int, corrupt: str = "_corrupt") -> tuple[DataFrame, DataFrame]:
     """(first ``most`` well-formed records with a default objective, (malformed) count of the whole scan) (S3)."""
     good = df.where(F.col(corrupt).isNull()).withColumn("objective", F.coalesce("objective", F.lit("contrastive"))).limit(most)
-    return good, df.agg(F.count_if(F.col(corrupt).isNotNull()).alias("malformed"))
+    return good, df.agg(F.count_if(F.col(corrupt).isNotNull() & F.col("objective").isNull()).alias("malformed"))
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "error") -> None:
