@@ -34,7 +34,7 @@ RIDGE = 0.25
 #: Share of the rated records in which a feature must occur, in two at least.
 LEAST = 6e-4
 #: Expected severity above which a record counts as offending.
-OFFENDING = 0.75
+OFFENDING = 0.95
 #: A clause has about this many words at least.
 CLAUSE = 4
 _U = np.uint64
