@@ -108,13 +108,18 @@ def distinct_counts(df: DataFrame, *xs: str, about: float | None = None) -> Data
     return df.agg(*[f(x).alias(x) for x in xs])
 
 
-def anchors(pairs: DataFrame, key: str, order: str, other: str, score: str, metadata: str | None = None, least: float = 0.5) -> DataFrame:
-    """One row a key: the last text scored at least ``least`` as positive, the others as negatives in order."""
+def anchors(pairs: DataFrame, key: str, order: str, other: str, score: str, metadata: str | None = None, least: float = 0.5, most: int = 100_000) -> DataFrame:
+    """One row a key: the last text scored at least ``least`` as positive, the others as negatives in order.
+
+    A record is one row, so a key of more than ``most`` pairs is an error and is not cut.
+    """
     good = F.col(score) >= least
     aggs = [F.max_by(F.when(good, F.col(other)), F.when(good, F.col(order))).alias("positive"), F.array_sort(F.collect_list(F.when(~good, F.struct(order, other)))).alias("_n")]
+    aggs.append(F.count("*").alias("_many"))
     if metadata:
         aggs.append(F.aggregate(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.map_entries(metadata).alias("m")))), F.create_map().cast("map<string,string>"), lambda acc, x: F.map_concat(acc, F.map_from_entries(x["m"]))).alias(metadata))
     out = pairs.where(F.col(score).isNotNull() & ~F.isnan(score)).groupBy(key).agg(*aggs)
+    out = out.where(F.when(F.col("_many") <= most, F.lit(True)).otherwise(F.raise_error(F.lit(f"a key has more than {most} pairs")).cast("boolean"))).drop("_many")
     return out.where("positive IS NOT NULL").withColumn("negatives", F.col("_n")[other]).drop("_n")
 
 

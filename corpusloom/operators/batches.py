@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.operators.matching import hashed
+from corpusloom.operators.matching import hashed, number_of
 from corpusloom.operators.ranking import numbered
 
 
@@ -28,12 +28,13 @@ def label_balanced(df: DataFrame, key: str, label: str, labels: int, records: in
     """
     ranked = _ranked(df, key, label, seed).where("n > 1")
     names = ranked.select(F.col(label).alias("_l"), "n").distinct()
-    names = names.withColumn("_k", F.row_number().over(W.orderBy("_l")) - 1).withColumn("_total", F.count("*").over(W.partitionBy()))
+    names = names.withColumn("_k", F.row_number().over(W.orderBy("_l")) - 1)
+    many = max(1, names.count())
     spark = df.sparkSession
     cells = spark.range(batches * labels * records).select(F.floor(F.col("id") / (labels * records)).alias("batch_id"), F.pmod("id", F.lit(labels * records)).alias("slot"))
     cells = cells.withColumn("_turn", F.col("batch_id") * labels + F.floor(F.col("slot") / records)).withColumn("_j", F.pmod("slot", F.lit(records)))
-    placed = cells.crossJoin(F.broadcast(names)).where(F.pmod("_turn", F.col("_total")) == F.col("_k"))
-    placed = placed.withColumn("_i", F.pmod(F.floor(F.col("_turn") / F.col("_total")) * records + F.col("_j"), F.col("n")))
+    placed = cells.withColumn("_k", F.pmod("_turn", F.lit(many)).cast("int")).join(names, "_k")
+    placed = placed.withColumn("_i", F.pmod(F.floor(F.col("_turn") / many) * records + F.col("_j"), F.col("n")))
     j = placed.select("batch_id", "slot", "_l", "_i").join(ranked.select(key, F.col(label).alias("_l"), F.col("i").alias("_i")), ["_l", "_i"])
     return j.select("batch_id", "slot", F.col("_l").alias(label), key)
 
@@ -48,14 +49,15 @@ def score_balanced(df: DataFrame, key: str, bucket: str, per: int, seed: int) ->
 
 
 def random_labels(df: DataFrame, key: str, label: str, labels: int, texts: int, batches: int, seed: int) -> DataFrame:
-    """(batch_id, slot, label, key): in each batch labels drawn by hash, with texts drawn by hash from each."""
+    """(batch_id, slot, label, key): in each batch labels from a hashed order, from where the batch's hash points, with texts of each drawn by hash."""
     ranked = _ranked(df, key, label, seed)
     names = ranked.select(F.col(label).alias("_l"), "n").distinct()
-    picks = df.sparkSession.range(batches).withColumnRenamed("id", "batch_id").crossJoin(F.broadcast(names))
-    picks = picks.withColumn("_k", F.row_number().over(W.partitionBy("batch_id").orderBy(hashed(seed, "batch_id", "_l"), "_l")) - 1).where(F.col("_k") < labels)
+    names = names.withColumn("_no", (F.row_number().over(W.orderBy(hashed(seed, "_l"), "_l")) - 1).cast("bigint"))
+    many = names.count()
+    picks = df.sparkSession.range(batches).withColumnRenamed("id", "batch_id").withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(max(1, min(labels, many)) - 1))))
+    picks = picks.withColumn("_no", F.pmod(number_of(hashed(seed, "batch_id")) + F.col("_k"), F.lit(max(1, many)))).join(names, "_no")
     cells = picks.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(texts - 1)))).where(F.col("_j") < F.col("n"))
-    start = F.conv(F.substring(hashed(seed, "_l", "batch_id"), 1, 8), 16, 10).cast("bigint")
-    cells = cells.withColumn("_i", F.pmod(start + F.col("_j"), F.col("n")))
+    cells = cells.withColumn("_i", F.pmod(number_of(hashed(seed, "_l", "batch_id")) + F.col("_j"), F.col("n")))
     j = cells.select("batch_id", (F.col("_k") * texts + F.col("_j")).cast("bigint").alias("slot"), "_l", "_i").join(ranked.select(key, F.col(label).alias("_l"), F.col("i").alias("_i")), ["_l", "_i"])
     return j.select("batch_id", "slot", F.col("_l").alias(label), key)
 

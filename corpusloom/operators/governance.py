@@ -11,15 +11,15 @@ def manifest_errors(manifest: DataFrame) -> DataFrame:
     """(name, place, error): what is missing in a manifest, with the place of the dataset; place -1 is the manifest itself (M1)."""
     empty = lambda c: F.size(F.coalesce(c, F.array().cast("array<string>"))) == 0
     top = F.array_compact(F.array(
-        F.when(F.col("name").isNull() | (F.trim("name") == ""), F.struct(F.lit(-1).alias("place"), F.lit("no_name").alias("error"))),
-        F.when(F.coalesce(F.size("datasets"), F.lit(0)) <= 0, F.struct(F.lit(-1).alias("place"), F.lit("no_datasets").alias("error"))),
+        F.when(F.col("name").isNull() | (F.trim("name") == ""), F.struct(F.lit(-1).cast("bigint").alias("place"), F.lit("no_name").alias("error"))),
+        F.when(F.coalesce(F.size("datasets"), F.lit(0)) <= 0, F.struct(F.lit(-1).cast("bigint").alias("place"), F.lit("no_datasets").alias("error"))),
     ))
     each = F.transform(F.col("datasets"), lambda d, i: F.array_compact(F.array(
-        F.when(d["id"].isNull() | (F.trim(d["id"]) == ""), F.struct(i.alias("place"), F.lit("no_id").alias("error"))),
-        F.when(empty(d["usage"]), F.struct(i.alias("place"), F.lit("no_usage").alias("error"))),
-        F.when(d["contaminates_rumteb_tasks"].isNull(), F.struct(i.alias("place"), F.lit("no_task_list").alias("error"))),
+        F.when(d["id"].isNull() | (F.trim(d["id"]) == ""), F.struct(i.cast("bigint").alias("place"), F.lit("no_id").alias("error"))),
+        F.when(empty(d["usage"]), F.struct(i.cast("bigint").alias("place"), F.lit("no_usage").alias("error"))),
+        F.when(d["contaminates_rumteb_tasks"].isNull(), F.struct(i.cast("bigint").alias("place"), F.lit("no_task_list").alias("error"))),
     )))
-    every = F.concat(top, F.flatten(F.coalesce(each, F.array().cast("array<array<struct<place:int,error:string>>>"))))
+    every = F.concat(top, F.flatten(F.coalesce(each, F.array().cast("array<array<struct<place:bigint,error:string>>>"))))
     return manifest.select("name", F.explode(every).alias("e")).select("name", "e.place", "e.error")
 
 
@@ -59,7 +59,7 @@ def gate(runs: DataFrame, run: str, task: str, delta: str, worst: float = -0.01,
     """
     s = runs.where(F.col(delta).isNotNull()).groupBy(run).agg(F.countDistinct(task).alias("tasks"), F.avg(delta).alias("mean_delta"), F.min(delta).alias("worst_delta"), F.sum(F.greatest(F.lit(worst) - F.col(delta), F.lit(0.0))).alias("shortfall"))
     s = s.withColumn("promoted", (F.col("worst_delta") >= worst) & (F.col("mean_delta") >= mean))
-    return s.withColumn("place", F.row_number().over(W.orderBy(F.desc("promoted"), "shortfall", F.desc("mean_delta"), run)))
+    return s.withColumn("place", F.row_number().over(W.orderBy(F.desc("promoted"), "shortfall", F.desc("mean_delta"), run)).cast("bigint"))
 
 
 def flips(log: DataFrame, item: str, model: str, correct: Column, strong: str, least: float = 0.3) -> DataFrame:
@@ -90,7 +90,7 @@ def early_stop(losses: DataFrame, run: str, step: str, loss: str, min_delta: flo
     upto = W.partitionBy(run).orderBy(step).rowsBetween(W.unboundedPreceding, 0)
     b = losses.where(F.col(loss).isNotNull()).withColumn("_least", F.min(loss).over(before)).withColumn("_n", F.row_number().over(W.partitionBy(run).orderBy(step)))
     b = b.withColumn("_up", F.col("_least").isNull() | (F.col(loss) < F.col("_least") - min_delta))
-    b = b.withColumn("best", F.min(loss).over(upto)).withColumn("since", F.col("_n") - F.max(F.when(F.col("_up"), F.col("_n"))).over(upto))
+    b = b.withColumn("best", F.min(loss).over(upto)).withColumn("since", (F.col("_n") - F.max(F.when(F.col("_up"), F.col("_n"))).over(upto)).cast("bigint"))
     return b.withColumn("stopped", F.max(F.col("since") >= patience).over(upto)).select(run, step, loss, "best", "since", "stopped")
 
 
@@ -98,7 +98,7 @@ def probe_summary(scores: DataFrame, variant: str, metric: str, score: str, base
     """(variant, best_metric, score, place, one delta for each baseline): variants by their best metric."""
     best = scores.where(F.col(score).isNotNull()).groupBy(variant).agg(F.max_by(F.struct(F.col(metric).alias("m"), F.col(score).alias("s")), F.struct(F.col(score), F.col(metric))).alias("_b"))
     out = best.select(variant, F.col("_b.m").alias("best_metric"), F.col("_b.s").alias("score"))
-    out = out.withColumn("place", F.row_number().over(W.orderBy(F.desc("score"), variant)))
+    out = out.withColumn("place", F.row_number().over(W.orderBy(F.desc("score"), variant)).cast("bigint"))
     return out.select("*", *[(F.col("score") - v).alias(f"delta_{n}") for n, v in sorted(baselines.items())])
 
 

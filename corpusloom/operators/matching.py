@@ -11,16 +11,33 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
+from corpusloom.operators.ranking import numbered, ordered, others
 
 #: Characters of the needles that are searched at once, at most: what is sent to the executors stays below 64 MB.
 BLOCK_CHARS = 8_000_000
 
 
 def exact(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """All pairs of rows with the same key; null and empty keys match nothing."""
+    """All pairs of rows of two collections with the same key; null and empty keys match nothing."""
     return a.where(F.length(F.col(key).cast("string")) > 0).join(b, key)
 
 
+def matched(a: DataFrame, b: DataFrame, row: str, key: str) -> DataFrame:
+    """The rows of a with ``first``, the least row of b with the same key, and ``n``, how many b has (J1); no pair is formed."""
+    groups = b.where(F.length(F.col(key).cast("string")) > 0).groupBy(key).agg(F.min(row).alias("first"), F.count("*").alias("n"))
+    return a.join(groups, key)
+
+
+def copies(df: DataFrame, row: str, key: str) -> DataFrame:
+    """(row, first, n) of the rows whose key others have too: the least row with the key, and how many there are.
+
+    The groups are aggregated before they are joined to the rows; their pairs are never formed.
+    """
+    some = df.where(F.length(F.col(key).cast("string")) > 0)
+    groups = some.groupBy(key).agg(F.min(row).alias("first"), F.count("*").alias("n")).where("n > 1")
+    return some.join(groups, key).select(row, "first", "n")
+
+
 def keys_of(df: DataFrame, *texts: Column | str) -> DataFrame:
     """(key): the different non-empty values of several text expressions."""
     each = F.array(*[F.col(t) if isinstance(t, str) else t for t in texts])
@@ -173,38 +190,60 @@ def hashed(seed: int | str, *keys: Column | str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys]))
 
 
-def one_per_other_label(anchors: DataFrame, pool: DataFrame, key: str, label: str, seed: int, most: int = 8, draws: int = 1) -> DataFrame:
+def number_of(hash_: Column) -> Column:
+    """The first 32 bits of an MD5 as a number."""
+    return F.conv(F.substring(hash_, 1, 8), 16, 10).cast("bigint")
+
+
+def _pool(df: DataFrame, key: str, label: str, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(_l, _i, _k): the rows of each label numbered by hash, in hash ranges; (_l, _n): the sizes."""
+    own = df.where(F.col(label).isNotNull()).select(F.col(key).alias("_k"), F.col(label).alias("_l")).withColumn("_h", hashed(seed, "_k")).withColumn("_b", F.substring("_h", 1, 2))
+    return numbered(own, ["_l"], "_b", ["_h", "_k"], "_i").select("_l", "_i", "_k"), own.groupBy("_l").agg(F.count("*").alias("_n"))
+
+
+def _numbered_labels(sizes: DataFrame) -> tuple[DataFrame, int]:
+    """The labels, a small table, with their number by name, and how many there are."""
+    return sizes.withColumn("_no", (F.row_number().over(W.orderBy("_l")) - 1).cast("bigint")), sizes.count()
+
+
+def one_per_other_label(anchors: DataFrame, pool: DataFrame, key: str, label: str, seed: int, most: int = 8) -> DataFrame:
     """(key, other_label, other_key): for each anchor one row of each of ``most`` other labels.
 
-    The rows of a label are numbered once by hash; an anchor takes the one its own hash
-    points to, so the work is one row a label and anchor instead of all pairs.  Labels are
-    few; an anchor takes those first in its own hashed order.
+    The labels follow one another from where the anchor's hash points, and of each the row to
+    which another hash points; so there are equi-joins only, with ``most`` rows an anchor.
+    Anchors of labels that the pool hasn't are left out.
     """
-    own = pool.where(F.col(label).isNotNull()).select(F.col(key).alias("other_key"), F.col(label).alias("other_label"))
-    sizes = own.groupBy("other_label").agg(F.count("*").alias("_n"))
-    numbered = own.withColumn("_i", F.row_number().over(W.partitionBy("other_label").orderBy(hashed(seed, "other_key"), "other_key")) - 1)
-    a = anchors.where(F.col(label).isNotNull()).select(key, label).crossJoin(F.broadcast(sizes)).where(F.col(label) != F.col("other_label"))
-    a = a.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(hashed(seed, key, "other_label"), "other_label"))).where(F.col("_r") <= most)
-    a = a.withColumn("_i", F.pmod(F.conv(F.substring(hashed(seed, "other_label", key), 1, 8), 16, 10).cast("bigint"), F.col("_n")).cast("int"))
-    return a.join(numbered, ["other_label", "_i"]).select(key, "other_label", "other_key")
+    rows, sizes = _pool(pool, key, label, seed)
+    labels, n = _numbered_labels(sizes)
+    if n < 2:
+        return rows.limit(0).select(F.col("_k").alias(key), F.col("_l").alias("other_label"), F.col("_k").alias("other_key"))
+    a = anchors.where(F.col(label).isNotNull()).select(key, F.col(label).alias("_l")).join(labels.select("_l", "_no"), "_l").drop("_l")
+    a = a.withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(min(most, n - 1) - 1)))).withColumn("_no", others(F.col("_no"), number_of(hashed(seed, key)) + F.col("_d"), n))
+    a = a.join(labels, "_no").withColumn("_i", F.pmod(number_of(hashed(seed, "_l", key)), F.col("_n")))
+    return a.join(rows, ["_l", "_i"]).select(key, F.col("_l").alias("other_label"), F.col("_k").alias("other_key"))
 
 
 def positional_pairs(df: DataFrame, key: str, group: str, shift: int) -> DataFrame:
     """(key, partner): the i-th row of a group with the (i + shift)-th, around the end; a row is never its own partner."""
-    n = df.where(F.col(group).isNotNull()).select(key, group, (F.row_number().over(W.partitionBy(group).orderBy(key)) - 1).alias("_i"), F.count("*").over(W.partitionBy(group)).alias("_n"))
-    right = n.select(F.col(key).alias("partner"), F.col(group).alias("_g"), F.col("_i").alias("_j"))
-    return n.join(right, (F.col(group) == F.col("_g")) & (F.pmod(F.col("_i") + shift, F.col("_n")) == F.col("_j"))).where(F.col(key) != F.col("partner")).select(key, group, "partner")
+    rows = df.where(F.col(group).isNotNull()).select(key, group)
+    n = ordered(rows, [group], [key], "_i").join(rows.groupBy(group).agg(F.count("*").alias("_n")), group)
+    right = n.select(F.col(key).alias("partner"), group, F.col("_i").alias("_j"))
+    return n.withColumn("_j", F.pmod(F.col("_i") + shift, F.col("_n"))).join(right, [group, "_j"]).where(F.col(key) != F.col("partner")).select(key, group, "partner")
 
 
 def label_statements(df: DataFrame, key: str, label: str, labels: DataFrame, form: str, seed: int, false_ones: int = 2) -> DataFrame:
     """(key, statement, target): the true label's statement with 1, and some false labels' with 0.
 
-    labels: one column, a small dimension.
+    labels: one column, a small dimension.  The false labels follow one another from where
+    the row's hash points.  Rows whose label the dimension hasn't are left out.
     """
-    dim = labels.toDF("_l").where("_l IS NOT NULL").distinct()
-    pairs = df.where(F.col(label).isNotNull()).select(key, label).crossJoin(F.broadcast(dim)).withColumn("target", (F.col(label) == F.col("_l")).cast("int"))
-    rank = F.row_number().over(W.partitionBy(key, "target").orderBy(hashed(seed, key, "_l"), "_l"))
-    return pairs.withColumn("_r", rank).where((F.col("target") == 1) | (F.col("_r") <= false_ones)).select(key, F.format_string(form, "_l").alias("statement"), "target")
+    dim, n = _numbered_labels(labels.toDF("_l").where("_l IS NOT NULL").distinct())
+    own = df.where(F.col(label).isNotNull()).select(key, F.col(label).alias("_l")).join(dim, "_l")
+    true = own.select(key, "_l", F.lit(1).alias("target"))
+    if n > 1:
+        false = own.drop("_l").withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(min(false_ones, n - 1) - 1)))).withColumn("_no", others(F.col("_no"), number_of(hashed(seed, key)) + F.col("_d"), n))
+        true = true.unionByName(false.join(dim, "_no").select(key, "_l", F.lit(0).alias("target")))
+    return true.select(key, F.format_string(form, "_l").alias("statement"), "target")
 
 
 def sharing_labels(df: DataFrame, key: str, labels: str) -> DataFrame:
@@ -219,12 +258,11 @@ def confusable_negatives(df: DataFrame, key: str, label: str, edges: DataFrame,
 
     edges: (label, other).
     """
-    pool = df.select(F.col(key).alias("negative"), F.col(label).alias("other")).withColumn("_i", F.row_number().over(W.partitionBy("other").orderBy(hashed(seed, "negative"), "negative")) - 1)
-    sizes = pool.groupBy("other").agg(F.count("*").alias("_n"))
-    want = df.select(key, label).join(edges, label).join(sizes, "other")
+    rows, sizes = _pool(df, key, label, seed)
+    want = df.select(key, label).join(edges, label).join(sizes.withColumnRenamed("_l", "other"), "other")
     want = want.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(hashed(seed, key, "other"), "other"))).where(F.col("_r") <= k)
-    want = want.withColumn("_i", F.pmod(F.conv(F.substring(hashed(seed, "other", key), 1, 8), 16, 10).cast("bigint"), F.col("_n")).cast("int"))
-    return want.join(pool, ["other", "_i"]).select(key, "negative")
+    want = want.withColumn("_i", F.pmod(number_of(hashed(seed, "other", key)), F.col("_n"))).withColumnRenamed("other", "_l")
+    return want.join(rows, ["_l", "_i"]).select(key, F.col("_k").alias("negative"))
 
 
 def verdict(exact_n: Column, contained_n: Column, lexical_n: Column) -> Column:

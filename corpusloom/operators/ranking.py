@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.session import cut
+
 
 def numbered(df: DataFrame, group: list[str], bucket: str, order: list[str | Column], name: str) -> DataFrame:
     """Add ``name``: 0, 1, ... within each group, by ``bucket`` and then ``order``.
@@ -27,3 +29,18 @@ def numbered(df: DataFrame, group: list[str], bucket: str, order: list[str | Col
 def salt(key: Column | str, salts: int, seed: int = 0) -> Column:
     """A number below ``salts`` from a hash of the key."""
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(salts)).cast("int")
+
+
+def ordered(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """Add ``name``: 0, 1, ... within each group by the columns of ``order``.
+
+    The rows are sorted into ranges by group and order and written once; then the ranges are
+    the buckets of ``numbered``, so a large group is spread over as many tasks as it has ranges.
+    """
+    ranged = df.repartitionByRange(*group, *order).withColumn("__range", F.spark_partition_id())
+    return numbered(cut(ranged, "ordered"), group, "__range", list(order), name).drop("__range")
+
+
+def others(own: Column, draw: Column, of: int) -> Column:
+    """A number below ``of`` other than ``own``: that of draw 0, 1, ... ; different draws below of - 1 give different numbers."""
+    return F.pmod(own + 1 + F.pmod(draw, F.lit(max(1, of - 1))), F.lit(max(1, of)))

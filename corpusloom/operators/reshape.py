@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
-from corpusloom.operators.matching import hashed
+from corpusloom.operators.matching import hashed, number_of
+from corpusloom.operators.ranking import ordered, others
 
 
 def to_pairs(df: DataFrame, key: str, query: str, positive: str, negatives: str, high: float = 1.0, low: float = 0.0) -> DataFrame:
@@ -17,8 +18,8 @@ def to_pairs(df: DataFrame, key: str, query: str, positive: str, negatives: str,
 
     Null texts give no pair; a null list has no element.
     """
-    first = F.array(F.struct(F.lit(0).alias("slot"), F.col(positive).alias("sentence2"), F.lit(high).alias("score")))
-    rest = F.transform(F.coalesce(negatives, F.array().cast("array<string>")), lambda x, i: F.struct((i + 1).alias("slot"), x.alias("sentence2"), F.lit(low).alias("score")))
+    first = F.array(F.struct(F.lit(0).cast("bigint").alias("slot"), F.col(positive).alias("sentence2"), F.lit(high).alias("score")))
+    rest = F.transform(F.coalesce(negatives, F.array().cast("array<string>")), lambda x, i: F.struct((i + 1).cast("bigint").alias("slot"), x.alias("sentence2"), F.lit(low).alias("score")))
     each = df.select(key, F.col(query).alias("sentence1"), F.explode(F.concat(first, rest)).alias("p"))
     return each.select(key, "p.slot", "sentence1", "p.sentence2", "p.score").where("sentence1 IS NOT NULL AND sentence2 IS NOT NULL")
 
@@ -38,21 +39,25 @@ def supports(df: DataFrame, key: str, label: str, text: str, k: int, seed: int)
 def episodes(queries: DataFrame, pool: DataFrame, key: str, label: str, text: str, k: int, seed: int, ways: int) -> DataFrame:
     """(key, text, label, supports): each query with k texts of its own label and of ways - 1 others.
 
-    The pools of k texts a label are drawn once and are a small table; a query picks labels by
-    hash.  No query is among its own supports: a pool text equal to it is taken out.
+    The pools of k texts a label are drawn once and are a small table; the other labels follow
+    one another from where the query's hash points, so a query is joined to ``ways`` labels
+    and not to all.  No query is among its own supports: a pool text equal to it is taken
+    out, and a label left without texts is no way.
     """
     pools = supports(pool, key, label, text, k + 1, seed).withColumnRenamed("label", "_l")
-    q = queries.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(key, text, label)
-    j = q.crossJoin(F.broadcast(pools)).withColumn("_own", F.col(label) == F.col("_l"))
-    rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc("_own"), hashed(seed, key, "_l"), "_l"))
-    kept = j.withColumn("_r", rank).where(F.col("_r") <= ways)
+    pools = pools.withColumn("_no", (F.row_number().over(W.orderBy("_l")) - 1).cast("bigint"))
+    n = pools.count()
+    q = queries.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(key, text, label).join(pools.select(F.col("_l").alias(label), "_no"), label)
+    draw = F.explode(F.sequence(F.lit(-1), F.lit(max(-1, min(ways - 1, n - 1) - 1))))
+    j = q.withColumn("_d", draw).withColumn("_no", F.when(F.col("_d") < 0, F.col("_no")).otherwise(others(F.col("_no"), number_of(hashed(seed, key)) + F.col("_d"), n))).join(pools, "_no")
     own = F.slice(F.filter("texts", lambda t: ~t.eqNullSafe(F.col(text))), 1, k)
-    return kept.withColumn("_t", own).where(F.size("_t") > 0).groupBy(key, text, label).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_l", "_t")))).alias("supports"))
+    return j.withColumn("_t", own).where(F.size("_t") > 0).groupBy(key, text, label).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_l", "_t")))).alias("supports"))
 
 
 def multi_positive(df: DataFrame, key: str, group: str, text: str, k: int) -> DataFrame:
     """(key, query, positives): a text with the next k texts of its group in key order, around the end."""
-    n = df.where(F.col(group).isNotNull() & F.col(text).isNotNull()).select(key, group, text, (F.row_number().over(W.partitionBy(group).orderBy(key)) - 1).alias("_i"), F.count("*").over(W.partitionBy(group)).alias("_n"))
+    rows = df.where(F.col(group).isNotNull() & F.col(text).isNotNull()).select(key, group, text)
+    n = ordered(rows, [group], [key], "_i").join(rows.groupBy(group).agg(F.count("*").alias("_n")), group)
     want = n.select(key, group, F.col(text).alias("query"), "_i", "_n", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("_d")).where(F.col("_d") < F.col("_n"))
     want = want.withColumn("_j", F.pmod(F.col("_i") + F.col("_d"), F.col("_n")))
     other = n.select(group, F.col("_i").alias("_j"), F.col(text).alias("_t"))

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.operators.matching import hashed
-from corpusloom.operators.ranking import numbered
+from corpusloom.operators.ranking import numbered, ordered
 
 #: Buckets of the hash in which a total order is numbered.
 BUCKETS = 256
@@ -154,15 +154,15 @@ def coverage_support(df: DataFrame, key: str, labels: str, k: int, seed: int | s
 def round_robin(df: DataFrame, key: str, group: str, seed: int | str, most: int | None = None) -> DataFrame:
     """(rows, turn): one row of each group after another, groups by name."""
     w = W.partitionBy(group).orderBy(hashed(seed, key), key)
-    out = df.where(F.col(group).isNotNull()).withColumn("turn", F.row_number().over(w) - 1)
+    out = df.where(F.col(group).isNotNull()).withColumn("turn", (F.row_number().over(w) - 1).cast("bigint"))
     return out.orderBy("turn", group).limit(most) if most is not None else out
 
 
 def rank01(df: DataFrame, x: str, key: str, group: str, name: str = "rank01") -> DataFrame:
     """Adds the place of each value in its group by value and key, scaled to 0..1; 0 in a group of one."""
-    n = F.count("*").over(W.partitionBy(group))
-    r = F.row_number().over(W.partitionBy(group).orderBy(x, key))
-    return df.withColumn(name, F.when(n > 1, (r - 1) / (n - 1)).otherwise(0.0))
+    sizes = df.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n"))
+    r = ordered(df, [group], [x, key], "_r").join(sizes, F.col(group).eqNullSafe(F.col("_g")))
+    return r.withColumn(name, F.when(F.col("_n") > 1, F.col("_r") / (F.col("_n") - 1)).otherwise(0.0)).drop("_r", "_n", "_g")
 
 
 def zscore(df: DataFrame, x: str, group: str, name: str = "zscore") -> DataFrame:
@@ -194,7 +194,7 @@ def top_k(df: DataFrame, k: int, *order: Column | str) -> DataFrame:
 
 def top_k_per_key(df: DataFrame, key: str, k: int, *order: Column | str, name: str = "place") -> DataFrame:
     """The first k rows of each key with their place, from 1."""
-    return df.withColumn(name, F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col(name) <= k)
+    return df.withColumn(name, F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col(name) <= k).withColumn(name, F.col(name).cast("bigint"))
 
 
 def in_blocks(rows: Iterator, size: int) -> Iterator[list]:

@@ -129,19 +129,19 @@ def nearest(base: DataFrame, queries: DataFrame, key: str, vector: str, k: int,
     if out is None:
         out = spark.createDataFrame([], schema)
     ranked = out.withColumn("place", F.row_number().over(W.partitionBy("query").orderBy(F.desc("sim"), "neighbour"))).where(F.col("place") <= k)
-    return ranked.select("query", *(["query_label", "label"] if label else []), "neighbour", "sim", "place")
+    return ranked.select("query", *(["query_label", "label"] if label else []), "neighbour", "sim", F.col("place").cast("bigint").alias("place"))
 
 
 def diverse(neighbours: DataFrame, k: int) -> DataFrame:
     """Of neighbours of other labels the best of each label first, then by similarity, k in all."""
     first = F.row_number().over(W.partitionBy("query", "label").orderBy(F.desc("sim"), "neighbour"))
     tier = neighbours.withColumn("_t", F.when(first == 1, 0).otherwise(1))
-    return tier.withColumn("place", F.row_number().over(W.partitionBy("query").orderBy("_t", F.desc("sim"), "neighbour"))).where(F.col("place") <= k).drop("_t")
+    return tier.withColumn("place", F.row_number().over(W.partitionBy("query").orderBy("_t", F.desc("sim"), "neighbour"))).where(F.col("place") <= k).drop("_t").withColumn("place", F.col("place").cast("bigint"))
 
 
 def tiered(neighbours: DataFrame, preferred: Column, k: int) -> DataFrame:
     """Neighbours that fulfil a preference first, others after them, k in all."""
-    return neighbours.withColumn("_t", F.when(preferred, 0).otherwise(1)).withColumn("place", F.row_number().over(W.partitionBy("query").orderBy("_t", F.desc("sim"), "neighbour"))).where(F.col("place") <= k).drop("_t")
+    return neighbours.withColumn("_t", F.when(preferred, 0).otherwise(1)).withColumn("place", F.row_number().over(W.partitionBy("query").orderBy("_t", F.desc("sim"), "neighbour"))).where(F.col("place") <= k).drop("_t").withColumn("place", F.col("place").cast("bigint"))
 
 
 def nearest_labels(neighbours: DataFrame, k: int) -> DataFrame:
@@ -292,7 +292,7 @@ def sparse_nearest(weights: DataFrame, queries: DataFrame, key: str, k: int) ->
     """
     q = weights.join(queries.select(key), key, "left_semi").select(F.col(key).alias("query"), "term", F.col("weight").alias("_q"))
     sims = q.join(weights.select(F.col(key).alias("neighbour"), "term", "weight"), "term").where("query != neighbour").groupBy("query", "neighbour").agg(F.sum(F.col("_q") * F.col("weight")).alias("sim"))
-    return sims.withColumn("place", F.row_number().over(W.partitionBy("query").orderBy(F.desc(F.round("sim", 9)), "neighbour"))).where(F.col("place") <= k)
+    return sims.withColumn("place", F.row_number().over(W.partitionBy("query").orderBy(F.desc(F.round("sim", 9)), "neighbour"))).where(F.col("place") <= k).withColumn("place", F.col("place").cast("bigint"))
 
 
 def kmeans(df: DataFrame, key: str, vector: str, k: int, seed: int = 0, rounds: int = 20) -> DataFrame:

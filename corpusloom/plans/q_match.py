@@ -25,22 +25,23 @@ def _items(spark, d):
     return _t(spark, d, "eval_passages").select("item_id", X.audit_normal("text").alias("key"))
 
 
-@register("exact_match", f"SELECT d.doc_id, c.pos FROM (SELECT doc_id, {Q.audit('title')} AS key FROM documents) d JOIN (SELECT pos, {Q.audit('query')} AS key FROM contrastive) c USING (key) WHERE key <> '' UNION ALL SELECT d.doc_id, -e.doc_id AS pos FROM (SELECT doc_id, {Q.audit('text')} AS key FROM documents) d JOIN (SELECT doc_id, {Q.audit('text')} AS key FROM documents) e USING (key) WHERE key <> '' AND d.doc_id < e.doc_id")
+@register("exact_match", f"WITH c AS (SELECT pos, split, {Q.audit('query')} AS key FROM contrastive), t AS (SELECT key, min(pos) AS first, count(*) AS n FROM c WHERE split = 'train' AND key <> '' GROUP BY key) SELECT pos, first, n FROM c JOIN t USING (key) WHERE split IN ('test', 'validation')")
 def exact_match(spark, d):
-    titles = _t(spark, d, "documents").select("doc_id", X.audit_normal("title").alias("key"))
-    queries = _t(spark, d, "contrastive").select("pos", X.audit_normal("query").alias("key"))
-    copies = M.exact(_docs(spark, d), _docs(spark, d).select(F.col("doc_id").alias("other"), "key"), "key").where("doc_id < other")
-    return M.exact(titles, queries, "key").select("doc_id", "pos").unionByName(copies.select("doc_id", (-F.col("other")).alias("pos")))
+    c = _t(spark, d, "contrastive").select("pos", "split", X.audit_normal("query").alias("key"))
+    return M.matched(c.where("split IN ('test', 'validation')").select("pos", "key"), c.where("split = 'train'").select("pos", "key"), "pos", "key").select("pos", "first", "n")
 
 
-@register("pair_match", f"""
-    WITH k AS (SELECT pos, least({Q.alnum('sentence1')}, {Q.alnum('sentence2')}) AS a, greatest({Q.alnum('sentence1')}, {Q.alnum('sentence2')}) AS b FROM pair_score WHERE sentence1 IS NOT NULL AND sentence2 IS NOT NULL)
-    SELECT x.pos, y.pos AS other FROM k x JOIN k y ON x.a = y.a AND x.b = y.b AND x.pos < y.pos""")
+@register("exact_copies", f"SELECT doc_id, min(doc_id) OVER (PARTITION BY key) AS first, count(*) OVER (PARTITION BY key) AS n FROM (SELECT doc_id, {Q.audit('text')} AS key FROM documents) WHERE key <> '' QUALIFY n > 1")
+def exact_copies(spark, d):
+    return M.copies(_docs(spark, d), "doc_id", "key")
+
+
+@register("pair_match", f"SELECT pos, min(pos) OVER (PARTITION BY a, b) AS first, count(*) OVER (PARTITION BY a, b) AS n FROM (SELECT pos, least({Q.alnum('sentence1')}, {Q.alnum('sentence2')}) AS a, greatest({Q.alnum('sentence1')}, {Q.alnum('sentence2')}) AS b FROM pair_score WHERE sentence1 IS NOT NULL AND sentence2 IS NOT NULL) QUALIFY n > 1")
 def pair_match(spark, d):
     from corpusloom.operators.dedup import unordered_key
 
     k = _t(spark, d, "pair_score").select("pos", F.array_join(unordered_key(X.alnum_key("sentence1"), X.alnum_key("sentence2")), "\u0001").alias("key"))
-    return M.exact(k, k.select(F.col("pos").alias("other"), "key"), "key").where("pos < other").select("pos", "other")
+    return M.copies(k, "pos", "key")
 
 
 @register("decontam_exact", f"""
@@ -160,11 +161,14 @@ def label_overlap_pairs(spark, d):
     return M.sharing_labels(each.groupBy("id").agg(F.collect_set("tag").alias("tags")), "id", "tags")
 
 
-@register("one_negative_per_label", """
-    WITH e AS (SELECT vec_id, label FROM embeddings WHERE label IS NOT NULL), s AS (SELECT label AS other_label, count(*) AS n FROM e GROUP BY 1),
-    u AS (SELECT vec_id AS other_key, label AS other_label, row_number() OVER (PARTITION BY label ORDER BY md5('5|' || vec_id), vec_id) - 1 AS i FROM e),
-    a AS (SELECT vec_id, other_label, n, row_number() OVER (PARTITION BY vec_id ORDER BY md5('5|' || vec_id || '|' || other_label), other_label) AS r, ('0x' || substring(md5('5|' || other_label || '|' || vec_id), 1, 8))::BIGINT % n AS i FROM e, s WHERE label <> other_label)
-    SELECT vec_id, other_label, other_key FROM a JOIN u USING (other_label, i) WHERE r <= 3""")
+_LABELS = "(SELECT label AS l, count(*) AS n, row_number() OVER (ORDER BY label) - 1 AS no, count(*) OVER () AS m FROM embeddings WHERE label IS NOT NULL GROUP BY label)"
+_NUMBER = lambda x: f"('0x' || substring(md5({x}), 1, 8))::BIGINT"
+
+
+@register("one_negative_per_label", f"""
+    WITH u AS (SELECT vec_id AS other_key, label AS l, row_number() OVER (PARTITION BY label ORDER BY md5('5|' || vec_id), vec_id) - 1 AS i FROM embeddings WHERE label IS NOT NULL),
+    a AS (SELECT vec_id, (no + 1 + ({_NUMBER("'5|' || vec_id")} + d) % (m - 1)) % m AS no FROM embeddings e JOIN {_LABELS} s ON e.label = s.l, (SELECT unnest([0, 1, 2]) AS d)),
+    b AS (SELECT vec_id, l, {_NUMBER("'5|' || l || '|' || vec_id")} % n AS i FROM a JOIN {_LABELS} USING (no)) SELECT vec_id, l AS other_label, other_key FROM b JOIN u USING (l, i)""")
 def one_negative_per_label(spark, d):
     e = _t(spark, d, "embeddings").select("vec_id", "label")
     return M.one_per_other_label(e, e, "vec_id", "label", 5, most=3)
@@ -177,9 +181,12 @@ def positional_pairing(spark, d):
     return M.positional_pairs(_t(spark, d, "embeddings").select("vec_id", "label"), "vec_id", "label", 17)
 
 
-@register("label_statements", """
-    WITH l AS (SELECT DISTINCT label AS l FROM embeddings WHERE label IS NOT NULL), p AS (SELECT vec_id, l, (label = l)::INT AS target FROM embeddings, l WHERE label IS NOT NULL),
-    r AS (SELECT *, row_number() OVER (PARTITION BY vec_id, target ORDER BY md5('3|' || vec_id || '|' || l), l) AS r FROM p) SELECT vec_id, 'class ' || l AS statement, target FROM r WHERE target = 1 OR r <= 2""")
+_NAMES = "(SELECT l, row_number() OVER (ORDER BY l) - 1 AS no, count(*) OVER () AS m FROM (SELECT DISTINCT label::VARCHAR AS l FROM embeddings WHERE label IS NOT NULL))"
+
+
+@register("label_statements", f"""
+    WITH o AS (SELECT vec_id, l, no, m FROM embeddings e JOIN {_NAMES} n ON e.label::VARCHAR = n.l), f AS (SELECT vec_id, (no + 1 + ({_NUMBER("'3|' || vec_id")} + d) % (m - 1)) % m AS no FROM o, (SELECT unnest([0, 1]) AS d))
+    SELECT vec_id, 'class ' || l AS statement, 1 AS target FROM o UNION ALL SELECT vec_id, 'class ' || l, 0 FROM f JOIN {_NAMES} USING (no)""")
 def label_statements(spark, d):
     e = _t(spark, d, "embeddings").select("vec_id", F.col("label").cast("string").alias("label"))
     return M.label_statements(e, "vec_id", "label", e.select("label"), "class %s", 3)

@@ -57,9 +57,12 @@ def support_pools(spark, d):
 _POOL = f"(SELECT label AS l, list(text ORDER BY r) AS texts FROM (SELECT label, text, row_number() OVER (PARTITION BY label ORDER BY md5('4|' || id), id) AS r FROM {_ROWS}) WHERE r <= 4 GROUP BY label)"
 
 
-@register("episodes", f"""
-    WITH k AS (SELECT id, text, label, l, list_filter(texts, lambda t: t <> text)[1:3] AS t, row_number() OVER (PARTITION BY id ORDER BY (label = l)::INT DESC, md5('4|' || id || '|' || l), l) AS r FROM {_ROWS}, {_POOL})
-    SELECT id, label, count(*) AS ways, sum(len(t))::BIGINT AS supports, string_agg(l, ',' ORDER BY l) AS labels FROM k WHERE r <= 4 AND len(t) > 0 GROUP BY id, text, label""")
+_WAYS = f"""p AS (SELECT l, texts, row_number() OVER (ORDER BY l) - 1 AS no, count(*) OVER () AS m FROM {_POOL}), q AS (SELECT id, text, label, no, m FROM {_ROWS} r JOIN p ON r.label = p.l),
+    w AS (SELECT id, text, label, CASE WHEN d < 0 THEN no ELSE (no + 1 + (('0x' || substring(md5('4|' || id), 1, 8))::BIGINT + d) % (m - 1)) % m END AS no FROM q, (SELECT unnest([-1, 0, 1, 2]) AS d)),
+    k AS (SELECT id, text, label, l, list_filter(texts, lambda t: t <> text)[1:3] AS t FROM w JOIN p USING (no))"""
+
+
+@register("episodes", f"WITH {_WAYS} SELECT id, label, count(*) AS ways, sum(len(t))::BIGINT AS supports, string_agg(l, ',' ORDER BY l) AS labels FROM k WHERE len(t) > 0 GROUP BY id, text, label")
 def episodes(spark, d):
     r = _rows(spark, d)
     e = C.episodes(r, r, "id", "label", "text", 3, 4, 4)
@@ -67,7 +70,7 @@ def episodes(spark, d):
     return e.select("id", "label", F.size("supports").cast("bigint").alias("ways"), n.cast("bigint").alias("supports"), F.array_join(F.array_sort(F.map_keys("supports")), ",").alias("labels"))
 
 
-@register("episode_rows", f"WITH k AS (SELECT id, l, list_filter(texts, lambda t: t <> text)[1:3] AS t, row_number() OVER (PARTITION BY id ORDER BY (label = l)::INT DESC, md5('4|' || id || '|' || l), l) AS r FROM {_ROWS}, {_POOL}) SELECT id, l AS label, unnest(t) AS text FROM k WHERE r <= 4")
+@register("episode_rows", f"WITH {_WAYS} SELECT id, l AS label, unnest(t) AS text FROM k")
 def episode_rows(spark, d):
     r = _rows(spark, d)
     return C.to_labelled(C.episodes(r, r, "id", "label", "text", 3, 4, 4), "id", "supports")
@@ -200,8 +203,9 @@ def score_balanced_batches(spark, d):
 
 
 @register("random_label_batches", f"""
-    WITH r AS (SELECT * FROM {_RANKED(_ROWS, 'id', 'label', 2)}), p AS (SELECT b AS batch_id, label, n, row_number() OVER (PARTITION BY b ORDER BY md5('2|' || b || '|' || label), label) - 1 AS k FROM (SELECT DISTINCT label, n FROM r), (SELECT unnest(range(0, 30)) AS b)),
-    c AS (SELECT batch_id, label, k * 2 + j AS slot, (('0x' || substring(md5('2|' || label || '|' || batch_id), 1, 8))::BIGINT + j) % n AS i FROM p, (SELECT unnest([0, 1]) AS j) WHERE k < 3 AND j < n) SELECT batch_id, slot, label, id FROM c JOIN r USING (label, i)""")
+    WITH r AS (SELECT * FROM {_RANKED(_ROWS, 'id', 'label', 2)}), l AS (SELECT label, n, row_number() OVER (ORDER BY md5('2|' || label), label) - 1 AS no, count(*) OVER () AS m FROM (SELECT DISTINCT label, n FROM r)),
+    b AS (SELECT batch_id, k, (('0x' || substring(md5('2|' || batch_id), 1, 8))::BIGINT + k) % (SELECT any_value(m) FROM l) AS no FROM (SELECT unnest(range(0, 30)) AS batch_id), (SELECT unnest([0, 1, 2]) AS k)),
+    c AS (SELECT batch_id, label, k * 2 + j AS slot, (('0x' || substring(md5('2|' || label || '|' || batch_id), 1, 8))::BIGINT + j) % n AS i FROM b JOIN l USING (no), (SELECT unnest([0, 1]) AS j) WHERE j < n) SELECT batch_id, slot::BIGINT AS slot, label, id FROM c JOIN r USING (label, i)""")
 def random_label_batches(spark, d):
     return B.random_labels(_rows(spark, d), "id", "label", 3, 2, 30, 2)
 
