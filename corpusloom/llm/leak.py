@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.setjoin import lists
 from corpusloom.llm.sketch import _mix
-from corpusloom.llm.words import WordHashes, words
+from corpusloom.llm.words import WordHashes, tokens
 from corpusloom.session import cut
 
 #: Words of a shingle.  Five-word shingles can't do here: a case may be half of a passage of 26 words with a few of
@@ -38,10 +38,10 @@ _U = np.uint64
 
 
 def text_words(text: str | None) -> list[str]:
-    """The words of a text, entities resolved."""
+    """The tokens of a text, entities resolved."""
     if text and "&" in text:
         text = html.unescape(html.unescape(text))
-    return words(text)
+    return tokens(text)
 
 
 def word_table(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -52,7 +52,7 @@ def word_table(df: DataFrame, key: str, text: str) -> DataFrame:
         for b in batches:
             found = [[known[x] for x in text_words(t)] for t in b.column("t").to_pylist()]
             rows = [i for i, w in enumerate(found) if w]
-            cols = [b.column("id").take(pa.array(rows, pa.int64())), lists([np.array(found[i], np.uint64).view(np.int64) for i in rows], pa.list_(pa.int64()))]
+            cols = [b.column("id").take(pa.array(rows, pa.int64())), lists([np.fromiter(found[i], np.uint64, len(found[i])).view(np.int64) for i in rows], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, ["id", "w"])
 
     source = df.select(F.col(key).alias("id"), F.col(text).cast("string").alias("t"))

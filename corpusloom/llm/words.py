@@ -52,31 +52,61 @@ _BARE_HAS = re.compile(f"[{INVISIBLE}]")
 _INSTRUCT = re.compile(rf"^\s*{fold('instruct')}\s*:.*?\n\s*{fold('query')}\s*:\s*", re.S)
 
 
-def words(text: str | None) -> list[str]:
-    """The words of a text in order; none for null and blank texts."""
+def fold_token(token: str) -> str:
+    """The fold of a lower-case token."""
+    return token if token.isdigit() else token.translate(FOLD)
+
+
+class _Folded(dict):
+    """token -> its fold, remembered while the vocabulary stays small."""
+
+    def __missing__(self, token: str) -> str:
+        if len(self) >= 300_000:
+            self.clear()
+        out = self[token] = fold_token(token)
+        return out
+
+
+_folded = _Folded()
+_MARKS = re.compile("[\u0300-\u036f]")
+
+
+def tokens(text: str | None) -> list[str]:
+    """The lower-case words of a text in order before folding; only they, not whole texts, need the look-up of letters."""
     if not text:
         return []
-    folded = fold(text)
-    return _WORD.findall(_INSTRUCT.sub("", folded) if folded.lstrip()[:8] == _INSTRUCT_START else folded)
+    if not text.isascii():
+        if _BARE_HAS.search(text):
+            text = text.translate(_BARE)
+        if _MARKS.search(text):
+            text = _MARKS.sub("", unicodedata.normalize("NFC", text))
+    if fold(text[:40]).lstrip()[:8] == _INSTRUCT_START:
+        text = _INSTRUCT.sub("", fold(text))
+    return _WORD.findall(text.lower())
+
+
+def words(text: str | None) -> list[str]:
+    """The words of a text in order; none for null and blank texts."""
+    return [w for t in tokens(text) if (w := _folded[t])]
 
 
 _INSTRUCT_START = fold("instruct")
 
 
 class WordHashes(dict):
-    """word -> 64 bits, remembered within a task as long as the vocabulary stays small."""
+    """token -> 64 bits of its fold, remembered within a task as long as the vocabulary stays small."""
 
     def __init__(self, seed: int = 0, most: int = 1_000_000) -> None:
         self.seed, self.most = seed, most
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, token: str) -> int:
         if len(self) >= self.most:
             self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word, seed=self.seed)
+        h = self[token] = xxhash.xxh64_intdigest(fold_token(token), seed=self.seed)
         return h
 
 
 def word_set(text: str | None, hashes: WordHashes) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct words."""
-    w = set(words(text))
-    return np.sort(np.fromiter((hashes[x] for x in w), np.uint64, len(w)))
+    h = {hashes[t] for t in set(tokens(text))}
+    return np.sort(np.fromiter(h, np.uint64, len(h)))
