@@ -54,7 +54,7 @@ _INSTRUCT = re.compile(rf"^\s*{fold('instruct')}\s*:.*?\n\s*{fold('query')}\s*:\
 
 def fold_token(token: str) -> str:
     """The fold of a lower-case token."""
-    return token if token.isdigit() else token.translate(FOLD)
+    return token.translate(FOLD)
 
 
 class _Folded(dict):
