@@ -44,7 +44,7 @@ def score_balanced(df: DataFrame, key: str, bucket: str, per: int, seed: int) ->
     ranked = _ranked(df, key, bucket, seed)
     names = ranked.select(bucket, "n").distinct()
     names = names.select(F.col(bucket).alias("_g"), (F.row_number().over(W.orderBy(bucket)) - 1).alias("_k"), F.floor(F.min("n").over(W.partitionBy()) / per).alias("_batches"))
-    j = ranked.join(F.broadcast(names), F.col(bucket) == F.col("_g")).withColumn("batch_id", F.floor(F.col("i") / per)).where(F.col("batch_id") < F.col("_batches"))
+    j = ranked.join(names, F.col(bucket) == F.col("_g")).withColumn("batch_id", F.floor(F.col("i") / per)).where(F.col("batch_id") < F.col("_batches"))
     return j.select("batch_id", (F.col("_k") * per + F.pmod("i", F.lit(per))).alias("slot"), bucket, key)
 
 
@@ -86,7 +86,7 @@ def support_query(df: DataFrame, key: str, label: str, supports: int, queries: i
     per = supports + queries
     ranked = _ranked(df, key, label, seed).withColumn("batch_id", F.floor(F.col("i") / per)).where(F.col("batch_id") < F.floor(F.col("n") / per))
     names = ranked.select(label).distinct().withColumn("_k", F.row_number().over(W.orderBy(label)) - 1).withColumnRenamed(label, "_g")
-    j = ranked.join(F.broadcast(names), F.col(label) == F.col("_g")).withColumn("_j", F.pmod("i", F.lit(per)))
+    j = ranked.join(names, F.col(label) == F.col("_g")).withColumn("_j", F.pmod("i", F.lit(per)))
     return j.select("batch_id", (F.col("_k") * per + F.col("_j")).alias("slot"), F.when(F.col("_j") < supports, "support").otherwise("query").alias("role"), label, key)
 
 

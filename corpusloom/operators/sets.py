@@ -20,9 +20,14 @@ def mix(parts: dict[str, tuple[DataFrame, int]], key: str, seed: int) -> DataFra
     return union_all(*[sample(df, key, n, f"{seed}|{name}").withColumn("component", F.lit(name)) for name, (df, n) in sorted(parts.items())])
 
 
-def leave_one_out(df: DataFrame, component: str) -> DataFrame:
-    """(left_out, row): for each component all rows but its own."""
+def leave_one_out(df: DataFrame, component: str, most: int = 1_000) -> DataFrame:
+    """(left_out, row): for each component all rows but its own.
+
+    The result repeats the rows for every component, so more than ``most`` of them are an error.
+    """
     names = df.select(F.col(component).alias("left_out")).where("left_out IS NOT NULL").distinct()
+    if names.count() > most:
+        raise ValueError(f"more than {most} components")
     return df.join(F.broadcast(names), F.col(component) != F.col("left_out"))
 
 

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Numbers in the matrix of one block of queries, at most: 32 MB as 4-byte numbers.
 BLOCK_NUMBERS = 8_000_000
+#: Classes whose prototypes are sent to the executors at once.
+MOST_CLASSES = 10_000
 
 
 def _c(x: Column | str) -> Column:
@@ -166,7 +168,12 @@ def mean_vectors(df: DataFrame, group: str, vector: str, unit: bool = False) ->
 
 
 def prototype_scores(queries: DataFrame, key: str, vector: str, prototypes: DataFrame, group: str) -> DataFrame:
-    """(key, group, score): each query against each prototype; the prototypes are one row a class."""
+    """(key, group, score): each query against each prototype; the prototypes are one row a class.
+
+    The result has a row for every class, so more than MOST_CLASSES of them are an error.
+    """
+    if prototypes.count() > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} classes")
     return queries.crossJoin(F.broadcast(prototypes.select(F.col(group).alias("_g"), F.col("vector").alias("_p")))).select(key, F.col("_g").alias(group), dot(vector, "_p").alias("score"))
 
 

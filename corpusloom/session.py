@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -54,7 +56,9 @@ def shared_dir(spark: SparkSession) -> str:
     key = "spark.checkpoint.dir"
     found = spark.sparkContext.getConf().get(key) or spark.conf.get(key, None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
+        local = tempfile.mkdtemp(prefix="corpusloom-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        found = "file://" + local
         spark.conf.set(key, found)
     return found.rstrip("/")
 
