@@ -206,6 +206,13 @@ def slug(x: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(_c(x)), r"[^\p{L}\p{N}]+", "-"), "^-+|-+$", "")
 
 
+def compact_number(x: Column | str, digits: int = 6) -> Column:
+    """A number for a file name: no trailing zeros, p for the point, m for the minus."""
+    shown = F.regexp_replace(F.format_string(f"%.{digits}f", _c(x).cast("double")), r"(\.[0-9]*?)0+$", "$1")
+    shown = F.regexp_replace(shown, r"\.$", "")
+    return F.when(_c(x).isNotNull(), F.translate(F.when(shown == "-0", "0").otherwise(shown), ".-", "pm"))
+
+
 def stem(x: Column | str, endings: list[str], least: int = 5) -> Column:
     """Without the first listed ending that leaves ``least`` letters (T25); the order of the list matters."""
     c = _c(x)

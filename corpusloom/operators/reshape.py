@@ -75,6 +75,11 @@ def first_negatives(df: DataFrame, negatives: str, k: int) -> DataFrame:
     return df.withColumn(negatives, F.slice(F.coalesce(negatives, F.array().cast("array<string>")), 1, k))
 
 
+def to_ridge(df: DataFrame, strength: float) -> DataFrame:
+    """An episode record as one of the ridge objective: the same supports, with the strength as a column."""
+    return df.withColumn("objective", F.lit("ridge_classification")).withColumn("ridge_lambda", F.lit(float(strength)))
+
+
 def with_prompts(df: DataFrame, prompts: list[str], text: str, batch: str, slot: str) -> DataFrame:
     """Every row under every prompt, whole batches at a time: batch, prompt number, slot is the order."""
     p = F.explode(F.array(*[F.struct(F.lit(i).alias("prompt"), F.lit(t).alias("t")) for i, t in enumerate(prompts)]))

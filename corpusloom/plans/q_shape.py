@@ -76,6 +76,13 @@ def episode_rows(spark, d):
     return C.to_labelled(C.episodes(r, r, "id", "label", "text", 3, 4, 4), "id", "supports")
 
 
+@register("ridge_records", f"WITH {_WAYS} SELECT id, 'ridge_classification' AS objective, 1.5::DOUBLE AS ridge_lambda, sum(len(t))::BIGINT AS supports FROM k WHERE len(t) > 0 GROUP BY id")
+def ridge_records(spark, d):
+    r = _rows(spark, d)
+    n = F.aggregate(F.map_values("supports"), F.lit(0), lambda a, x: a + F.size(x)).cast("bigint")
+    return C.to_ridge(C.episodes(r, r, "id", "label", "text", 3, 4, 4), 1.5).select("id", "objective", "ridge_lambda", n.alias("supports"))
+
+
 @register("multi_positive", f"""
     WITH n AS (SELECT id, label, text, row_number() OVER (PARTITION BY label ORDER BY id) - 1 AS i, count(*) OVER (PARTITION BY label) AS n FROM {_ROWS}), w AS (SELECT id, label, text AS query, d, (i + d) % n AS j FROM n, (SELECT unnest([1, 2]) AS d) WHERE d < n)
     SELECT w.id, any_value(w.query) AS query, array_to_string(list(n.text ORDER BY w.d), '|') AS positives FROM w JOIN n ON w.label = n.label AND w.j = n.i GROUP BY w.id""")

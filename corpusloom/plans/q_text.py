@@ -216,6 +216,11 @@ def suffix_stems(spark, d):
     return w.groupBy("word").agg(F.count("*").alias("n")).select("word", X.stem("word", ["ами", "ов", "ы"]).alias("stem"), "n")
 
 
+@register("compact_numbers", "SELECT o_orderkey, replace(replace(regexp_replace(printf('%.2f', o_totalprice), '\\.?0+$', ''), '.', 'p'), '-', 'm') AS name FROM orders")
+def compact_numbers(spark, d):
+    return _t(spark, d, "orders").select("o_orderkey", X.compact_number("o_totalprice", 2).alias("name"))
+
+
 # ---- row filters
 
 _GATE = f"""
@@ -302,3 +307,11 @@ def class_threshold(spark, d):
 def multi_signal_gate(spark, d):
     p = _t(spark, d, "pair_score")
     return p.where(filters.all_of(F.col("score").between(0, 1), ~F.isnan("score"), F.length("sentence1").between(30, 400), F.length("sentence2").between(30, 400), F.size(F.array_intersect(X.token_set("sentence1"), X.token_set("sentence2"))) >= 1)).select("pos")
+
+
+@register("valid_tags", f"""
+    WITH t AS (SELECT doc_id, unnest({Q.words('lower(title)')}) AS tag FROM documents WHERE title IS NOT NULL)
+    SELECT tag, count(*) AS n FROM t WHERE regexp_matches(tag, '\\p{{Cyrillic}}') AND NOT regexp_matches(tag, '^[0-9\\-–]+( г(од|ода)?\\.?)?$') AND tag NOT IN ('что', 'как') AND length(tag) >= 3 GROUP BY tag""")
+def valid_tags(spark, d):
+    t = _t(spark, d, "documents").where("title IS NOT NULL").select(F.explode(X.tokens(F.lower("title"))).alias("tag"))
+    return t.where(filters.valid_tag(F.col("tag"), ["что", "как"])).groupBy("tag").agg(F.count("*").alias("n"))

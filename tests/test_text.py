@@ -117,3 +117,16 @@ def test_lexicon_and_vote(spark):
     assert values(spark, X.lexicon_groups("t", lex), ["Серверы и выборы", "обсервер", None]) == [["it", "news"], [], []]
     v = values(spark, X.vote({"a": F.length("t") - 1, "b": F.lit(1)}), ["xx", "xxx", "x"])
     assert [(r["group"], round(r["confidence"], 2)) for r in v] == [("a", 0.57), ("a", 0.69), ("b", 0.57)]
+
+
+def test_compact_number(spark):
+    df = spark.createDataFrame([(0.35,), (100.0,), (-0.0,), (-2.5,), (None,)], "x double")
+    assert [r[0] for r in df.select(X.compact_number("x")).collect()] == ["0p35", "100", "0", "m2p5", None]
+    assert [r[0] for r in df.select(X.compact_number("x", 0)).collect()][1] == "100"
+
+
+def test_valid_tags(spark):
+    from corpusloom.operators import filters
+
+    tags = ["биология", "2019", "2019 год", "что", "ai", "яд", None]
+    assert values(spark, filters.valid_tag(F.col("t"), ["что"]), tags) == [True] + [False] * 6
