@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,16 +34,40 @@ def build_session(app: str = "corpusloom", cores: int | str = "*", shuffle_parti
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the SQL settings to a session that somebody else built."""
+    """Apply the SQL settings to a session that somebody else built, and send it this package."""
     for key, value in SQL_CONF.items():
         spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers, once for each application, wherever they run."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    place = tempfile.mkdtemp(prefix="corpusloom-package-")
+    atexit.register(shutil.rmtree, place, ignore_errors=True)
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(place, "corpusloom.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.join("corpusloom", os.path.relpath(full, root)))
+    spark.sparkContext.addPyFile(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
