@@ -207,12 +207,35 @@ def confusable_negatives(spark, d):
     WITH c AS (SELECT {Q.source()} AS source, split, {Q.audit('query')} AS k FROM contrastive), e AS (SELECT DISTINCT k FROM c WHERE split <> 'train' AND k <> '')
     SELECT source, count(*) AS n, count(e.k) AS exact, CASE WHEN count(e.k) > 0 THEN 'contaminated' ELSE 'clean' END AS verdict FROM (SELECT * FROM c WHERE split = 'train') t LEFT JOIN e ON t.k = e.k GROUP BY source""")
 def audit_verdict(spark, d):
+    """By exact hits only, as its SQL has it; ``audit_verdict_near`` counts containment and near matches too."""
     c = _t(spark, d, "contrastive").select(canonical_name("source").alias("source"), "split", X.audit_normal("query").alias("key"))
     keys = c.where("split <> 'train' AND key <> ''").select("key").distinct().withColumn("hit", F.lit(1))
     n = c.where("split = 'train'").join(keys, "key", "left").groupBy("source").agg(F.count("*").alias("n"), F.count("hit").alias("exact"))
     return n.withColumn("verdict", M.verdict(F.col("exact"), F.lit(0), F.lit(0)))
 
 
+@register("audit_verdict_near", f"""
+    WITH c AS (SELECT pos, {Q.source()} AS source, split, {Q.audit('query')} AS k, list_distinct({Q.words(Q.audit('query'))}) AS w FROM contrastive), t AS (SELECT * FROM c WHERE split = 'train'), e AS (SELECT DISTINCT k, w FROM c WHERE split <> 'train' AND k <> ''),
+    x AS (SELECT DISTINCT k, 1 AS hit FROM e), i AS (SELECT DISTINCT pos, 1 AS hit FROM t JOIN e ON contains(t.k, e.k) OR contains(e.k, t.k) WHERE length(t.k) >= 80 AND length(e.k) >= 80 AND t.k <> e.k),
+    p AS (SELECT pos, len(list_intersect(t.w, e.w)) AS shared, len(t.w) + len(e.w) AS n FROM t, e WHERE len(t.w) >= 4 AND len(e.w) >= 4 AND len(t.w) <= 1.3 * len(e.w) AND len(e.w) <= 1.3 * len(t.w)), j AS (SELECT DISTINCT pos, 1 AS hit FROM p WHERE shared::DOUBLE / (n - shared) >= 0.78),
+    s AS (SELECT source, count(*) AS n, count(x.hit) AS exact, count(i.hit) AS contained, count(j.hit) AS lexical FROM t LEFT JOIN x USING (k) LEFT JOIN i USING (pos) LEFT JOIN j USING (pos) GROUP BY source)
+    SELECT *, CASE WHEN exact + contained > 0 THEN 'contaminated' WHEN lexical > 0 THEN 'near_duplicates' ELSE 'clean' END AS verdict FROM s""")
+def audit_verdict_near(spark, d):
+    """The whole audit: training rows with an equal evaluation text, one inside the other, or a near match in words; an equal text is a near match too."""
+    c = _t(spark, d, "contrastive").select("pos", canonical_name("source").alias("source"), "split", X.audit_normal("query").alias("text"))
+    train, held = c.where("split = 'train'"), c.where("split <> 'train' AND text <> ''")
+    a, b = train.select(F.col("pos").alias("a_id"), "text"), held.groupBy("text").agg(F.min("pos").alias("b_id"))
+    exact = a.join(b, "text", "left_semi").select("a_id")
+    swapped = M.contained(b.select(F.col("b_id").alias("a_id"), "text"), a.select(F.col("a_id").alias("b_id"), "text"), 80).select(F.col("b_id").alias("a_id"))
+    inside = M.contained(a, b, 80).select("a_id").unionByName(swapped)
+    words = lambda x, i: x.select(i, X.token_set("text").alias("words")).where("words IS NOT NULL")
+    near = M.jaccard_pairs(words(a, "a_id"), words(b, "b_id"), 0.78, least=4).select("a_id")
+    kinds = exact.select("a_id", F.lit("exact").alias("kind")).unionByName(inside.select("a_id", F.lit("contained").alias("kind"))).unionByName(near.select("a_id", F.lit("lexical").alias("kind")))
+    found = kinds.groupBy(F.col("a_id").alias("pos")).agg(*[F.max(F.when(F.col("kind") == k, 1)).alias(k) for k in ("exact", "contained", "lexical")])
+    n = train.select("pos", "source").join(found, "pos", "left").groupBy("source").agg(F.count("*").alias("n"), *[F.count(k).alias(k) for k in ("exact", "contained", "lexical")])
+    return n.withColumn("verdict", M.verdict(F.col("exact"), F.col("contained"), F.col("lexical")))
+
+
 @register("sampled_lexical_negatives", f"""
     WITH r AS (SELECT item_id, task, list_distinct({Q.words(Q.audit('text'))}) AS w FROM eval_passages), f AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY task ORDER BY md5('3|' || item_id), item_id) <= 20),
     j AS (SELECT r.item_id, f.item_id AS other, len(list_intersect(r.w, f.w))::DOUBLE / (len(r.w) + len(f.w) - len(list_intersect(r.w, f.w))) AS sim FROM r JOIN f ON r.task = f.task AND r.item_id <> f.item_id)

@@ -19,6 +19,7 @@ from corpusloom.operators import sampling as S
 from corpusloom.operators import sets as U
 from corpusloom.operators import vectors as V
 from corpusloom.operators.ranking import numbered
+from corpusloom.plans import catalog
 
 
 @pytest.fixture(scope="module")
@@ -154,6 +155,27 @@ def test_jaccard_join_against_all_pairs(spark, sets, t):
     assert got == {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if a and b and len(a & b) / len(a | b) >= t - 1e-12}
 
 
+def test_contained_against_all_pairs(spark):
+    long = "abcdefghij" * 3
+    texts = [long, long[3:20], long[:9], "x" + long + "y", "abc", None, long[:10], "z" * 12]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {tuple(r) for r in M.contained(df.withColumnRenamed("i", "a_id"), df.withColumnRenamed("i", "b_id"), 10).collect()}
+    assert got == {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if a and b and len(a) >= 10 and a != b and a in b}
+
+
+def test_audit_counts_near_matches(spark, tmp_path):
+    words = [f"word{i:03d}" for i in range(90)]
+    rows = [
+        (1, "near", "train", " ".join([*words[:10], "other", *words[11:20]])), (2, "held", "test", " ".join(words[:20])),
+        (3, "inside", "train", " ".join(words[20:32])), (4, "held", "test", "before " + " ".join(words[20:40])),
+        (5, "around", "train", "before " + " ".join(words[45:78]) + " after"), (6, "held", "validation", " ".join(words[45:60])),
+        (7, "clean", "train", "nothing of this is known"), (8, "equal", "train", " ".join(words[:20])), (9, "clean", "train", None),
+    ]
+    spark.createDataFrame(rows, "pos bigint, source string, split string, query string").write.parquet(f"{tmp_path}/contrastive.parquet")
+    got = {r["source"]: tuple(r)[1:] for r in catalog.queries()["audit_verdict_near"](spark, str(tmp_path)).collect()}
+    assert got == {"near": (1, 0, 0, 1, "near_duplicates"), "inside": (1, 0, 1, 0, "contaminated"), "around": (1, 0, 1, 0, "contaminated"), "clean": (2, 0, 0, 0, "clean"), "equal": (1, 1, 0, 1, "contaminated")}
+
+
 def test_line_blocks(spark):
     t = "первая строка текста\n\nвторая строка текста\nтретья строка текста"
     df = spark.createDataFrame([(t,), ("",), (None,)], "t string")
