@@ -6,14 +6,13 @@ seed only.  Rows with the same key are one row to a draw.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.operators.matching import hashed
+from corpusloom.operators.matching import hashed, number_of
 from corpusloom.operators.ranking import numbered, ordered
 
 #: Buckets of the hash in which a total order is numbered.
@@ -105,50 +104,41 @@ def quality_pick(df: DataFrame, key: str, group: str, quality: list[Column], mos
     return top.withColumn("_r", F.row_number().over(rest)).where(F.col("_r") <= most).drop("_r")
 
 
-def _greedy(df: DataFrame, key: str, columns: str, seed: int | str, pool: int, run: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    """A sequential choice over the first ``pool`` rows of a seeded order, in one task: the bound is the caller's."""
-    few = df.orderBy(hashed(seed, key), key).limit(pool).withColumn("_h", hashed(seed, key))
-    return few.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(lambda p: run(p.sort_values(["_h", key])).drop(columns=["_h", "_one"]), columns)
-
-
 def need_selection(df: DataFrame, key: str, labels: str, quotas: dict[str, int], seed: int | str, pool: int = 100_000, over: int = 0) -> DataFrame:
     """(key, labels): rows of several labels taken while they fill an unmet quota, none if a label got ``over`` too many.
 
-    The choice is sequential, so it runs over a bounded, stated pool: the first rows in seeded order.
+    The choice is sequential over all rows in seeded order, read in ranges of the hash with
+    about ``pool`` rows each until the quotas are met or the rows end.  A range is read without
+    the rows that can't be taken any more as the quotas stand, so it is taken whole or closes
+    a label, and there are few.  The driver holds one range and the rows taken.
     """
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        left, kept = dict(quotas), []
-        for row in p.itertuples():
-            mine = [x for x in getattr(row, labels) if x in left]
+    some = df.select(key, labels)
+    left, kept, low, end = dict(quotas), [], 0, 1 << 32
+    has = lambda names: F.coalesce(F.arrays_overlap(labels, F.array(*[F.lit(x) for x in names])), F.lit(False))
+    while low < end and (wanted := [x for x, n in left.items() if n > 0]):
+        full = [x for x, n in left.items() if n <= min(0, -over)]
+        rows = some.where(has(wanted) & ~has(full) if full else has(wanted)).withColumn("_h", hashed(seed, key)).where(number_of(F.col("_h")) >= low)
+        high = low + max(1, (end - low) * pool // max(1, rows.count()))
+        for row in sorted(rows.where(number_of(F.col("_h")) < high).collect(), key=lambda r: (r["_h"], str(r[labels]))):
+            mine = [x for x in row[labels] if x in left]
             if any(left[x] > 0 for x in mine) and all(left[x] > -over for x in mine if left[x] <= 0):
-                kept.append(row.Index)
+                kept.append((row[key], row[labels]))
                 for x in mine:
                     left[x] -= 1
-            if all(v <= 0 for v in left.values()):
-                break
-        return p.loc[kept]
-
-    kinds = dict(df.dtypes)
-    return _greedy(df.select(key, labels), key, f"{key} {kinds[key]}, {labels} {kinds[labels]}", seed, pool, run)
+        low = high
+    return df.sparkSession.createDataFrame(kept, some.schema)
 
 
-def coverage_support(df: DataFrame, key: str, labels: str, k: int, seed: int | str, pool: int = 100_000) -> DataFrame:
-    """(key, labels): rows in seeded order that have a label with fewer than k rows so far (W11, W19); bounded as need_selection."""
+def coverage_support(df: DataFrame, key: str, labels: str, k: int, seed: int | str) -> DataFrame:
+    """(key, labels): rows in seeded order that have a label with fewer than k rows so far.
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        have: dict[str, int] = {}
-        kept = []
-        for row in p.itertuples():
-            mine = list(getattr(row, labels))
-            if any(have.get(x, 0) < k for x in mine):
-                kept.append(row.Index)
-                for x in mine:
-                    have[x] = have.get(x, 0) + 1
-        return p.loc[kept]
-
-    kinds = dict(df.dtypes)
-    return _greedy(df.select(key, labels), key, f"{key} {kinds[key]}, {labels} {kinds[labels]}", seed, pool, run)
+    A row is kept exactly if it is among the first k of one of its labels: the first k of a
+    label are all kept, and after them it has its k rows.  So this is a rank over all rows,
+    which Spark limits before the shuffle.
+    """
+    each = df.select(key, labels, F.explode(F.array_distinct(labels)).alias("_l"))
+    place = F.dense_rank().over(W.partitionBy("_l").orderBy(hashed(seed, key), key))
+    return each.withColumn("_r", place).where(F.col("_r") <= k).select(key, labels).distinct()
 
 
 def round_robin(df: DataFrame, key: str, group: str, seed: int | str, most: int | None = None) -> DataFrame:

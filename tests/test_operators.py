@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import difflib
+import hashlib
 
 import numpy as np
 import pytest
@@ -94,6 +95,29 @@ def test_sequential_selections(spark):
     assert S.need_selection(df.where("id < 0"), "id", "labels", {"l0": 3}, 1).count() == 0
 
 
+def test_sequential_selections_look_at_all_rows(spark):
+    order = sorted(range(102_000), key=lambda i: (hashlib.md5(f"1|{i}".encode()).hexdigest(), i))
+    last = set(order[-3:])
+    df = spark.range(102_000).select(F.col("id"), F.when(F.col("id").isin(*last), F.array(F.lit("rare"))).otherwise(F.array(F.lit("common"))).alias("labels"))
+    for got in (S.coverage_support(df, "id", "labels", 3, 1), S.need_selection(df, "id", "labels", {"rare": 3, "common": 3}, 1)):
+        assert set(ids(got)) == last | set(order[:3])
+
+
+@pytest.mark.parametrize("over", [0, 2])
+@pytest.mark.parametrize("pool", [1, 4, 1000])
+def test_need_selection_in_blocks_against_a_loop(spark, pool, over):
+    rows = [(i, [f"l{i % 5}", f"m{i * i % 7}", "all"][: 1 + i % 3]) for i in range(120)]
+    quotas, left, want = {"l0": 9, "l1": 3, "m1": 8, "m2": 90, "all": 6}, {}, []
+    left |= quotas
+    for i, labels in sorted(rows, key=lambda r: (hashlib.md5(f"1|{r[0]}".encode()).hexdigest(), r[0])):
+        mine = [x for x in labels if x in left]
+        if any(left[x] > 0 for x in mine) and all(left[x] > -over for x in mine if left[x] <= 0):
+            want.append(i)
+            left |= {x: left[x] - 1 for x in mine}
+    df = spark.createDataFrame(rows, "id int, labels array<string>")
+    assert ids(S.need_selection(df, "id", "labels", quotas, 1, pool=pool, over=over)) == sorted(want)
+
+
 def test_dedup_is_idempotent_and_keeps_the_first(items):
     once = dedup.first_wins(items, "t", order=["id"])
     assert ids(once) == list(range(40))
