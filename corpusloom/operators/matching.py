@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -70,14 +70,52 @@ def needles(x: Column | str, exact_least: int = 80, prefix: int = 220, title_lea
     ))
 
 
-def line_blocks(x: Column | str, lines: int = 80, most: int = 4, least: int = 40) -> Column:
-    """Normalised blocks of one to ``most`` lines among the first ``lines`` that are long enough."""
+def line_blocks(x: Column | str, lines: int | None = None, most: int = 4, least: int = 40) -> Column:
+    """Normalised blocks of one to ``most`` lines that are long enough, among all lines or the first ``lines``.
+
+    A line is normalised once: no pattern of the normal form reaches over a line's end.
+    """
     c = F.col(x) if isinstance(x, str) else x
-    rows = F.slice(F.filter(F.split(c, "\n"), lambda s: F.trim(s) != ""), 1, lines)
-    n = F.size(rows)
-    starts = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    blocks = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.lit(most)), lambda k: F.when(i + k - 1 <= n, X.audit_normal(F.array_join(F.slice(rows, i, k), " "))))))
-    return F.array_distinct(F.filter(blocks, lambda b: F.length(b) >= least))
+    rows = F.filter(F.split(c, "\n"), lambda s: F.trim(s) != "")
+    normal = F.transform(rows if lines is None else F.slice(rows, 1, lines), lambda s: X.audit_normal(s))
+
+    def blocks(r: Column) -> Column:
+        n = F.size(r)
+        starts = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+        made = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.lit(most)), lambda k: F.when(i + k - 1 <= n, F.array_join(F.filter(F.slice(r, i, k), lambda s: s != ""), " ")))))
+        return F.array_distinct(F.filter(made, lambda b: F.length(b) >= least))
+
+    return _bound(normal, blocks)
+
+
+def _bound(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once; a lambda computes what it takes from outside for every element."""
+    return F.transform(F.array(x), lambda v: use(v))[0]
+
+
+def beginnings(x: Column, words: int = 12, words_least: int = 8, chars: int = 180) -> Column:
+    """Keys of the beginning of a normalised text: its first words, unless it has very few, and its first characters, if it has as many."""
+    return F.array_compact(F.array(F.when(F.substring_index(x, " ", words_least - 1) != x, F.substring_index(x, " ", words)), F.when(F.length(x) >= chars, F.substring(x, 1, chars))))
+
+
+def abstracts(x: Column | str, chars: int = 800) -> Column:
+    """The normalised pieces of ``chars`` characters from every abstract marker, with the marker and without it."""
+    c = F.col(x) if isinstance(x, str) else x
+    found = F.regexp_extract_all(F.lower(c), F.lit(f"(?s)(?=((?:аннотация|abstract|резюме).{{0,{chars}}}))"), F.lit(1))
+    without = lambda p: F.trim(F.regexp_replace(p, "^(?:аннотация|abstract|резюме)", ""))
+    return _bound(F.transform(found, lambda p: X.audit_normal(p)), lambda pieces: F.concat(pieces, F.transform(pieces, without)))
+
+
+def block_keys(x: Column | str, least: int = 40) -> Column:
+    """The keys by which a document is found: its blocks of lines, and the beginnings of these and of what follows an abstract marker."""
+    return _bound(line_blocks(x, least=least), lambda blocks: F.array_distinct(F.concat(blocks, F.flatten(F.transform(F.concat(blocks, abstracts(x)), lambda b: beginnings(b))))))
+
+
+def passage_keys(x: Column | str, title_least: int = 30) -> Column:
+    """The keys of a passage for ``block_keys``: itself, its beginnings and its title, as in ``needles``."""
+    c = F.col(x) if isinstance(x, str) else x
+    flat, title = X.audit_normal(c), X.audit_normal(F.substring_index(c, ".", 1))
+    return F.array_distinct(F.array_compact(F.concat(F.array(F.when(flat != "", flat), F.when(F.length(title) >= title_least, title)), beginnings(flat))))
 
 
 def containment(haystack: DataFrame, key: str, text: str, wanted: DataFrame, item: str, needle: str, least: int) -> DataFrame:

@@ -66,10 +66,10 @@ def decontam_needles(spark, d):
 
 @register("decontam_line_blocks")
 def decontam_line_blocks(spark, d):
-    """Blocks of lines against whole passages and their beginnings; tested against a plain loop."""
+    """Blocks of lines, their beginnings and what follows an abstract marker against whole passages, their beginnings and titles; tested against a plain loop."""
     docs = _t(spark, d, "documents").select("doc_id", "text").where("text IS NOT NULL")
-    keys = M.keys_of(_items(spark, d), "key")
-    hit = docs.select("doc_id", F.explode(M.line_blocks("text")).alias("key")).join(keys, "key", "left_semi").select("doc_id").distinct()
+    keys = _t(spark, d, "eval_passages").where("text IS NOT NULL").select(F.explode(M.passage_keys("text")).alias("key")).distinct()
+    hit = docs.select("doc_id", F.explode(M.block_keys("text")).alias("key")).join(keys, "key", "left_semi").select("doc_id").distinct()
     return docs.join(hit, "doc_id", "left_anti").select("doc_id")
 
 

@@ -207,6 +207,37 @@ def test_line_blocks(spark):
     assert got[0] == ["первая строка текста вторая строка текста", "вторая строка текста третья строка текста"] and not got[1]
 
 
+def test_line_blocks_find_beginnings_and_late_lines(spark, tmp_path):
+    passage = " ".join(f"слово{i:02d}" for i in range(40))
+    start, other = " ".join(passage.split()[:14]), "an ordinary line that no passage has anywhere"
+    docs = [
+        (1, f"{other}\n{passage}\n{other}"), (2, f"{other}\n{start} but then it goes on differently"), (3, f"{other}\n" * 100 + passage),
+        (4, f"{other} Abstract: {passage} and more"), (5, f"{other}\nrow {passage[:100]}"), (6, other), (7, ""), (8, None), (9, f"{passage[:150]}\n{passage[151:]}"),
+    ]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, passage), (2, ""), (3, None)], "item_id bigint, text string").write.parquet(f"{tmp_path}/eval_passages.parquet")
+    assert ids(catalog.queries()["decontam_line_blocks"](spark, str(tmp_path)), "doc_id") == [5, 6, 7]
+
+
+def test_block_keys_against_a_loop(spark):
+    marks = ("аннотация", "abstract", "резюме")
+    words = [f"w{i:02d}" for i in range(60)]
+    texts = ["\n".join(" ".join(words[i : i + 5]) for i in range(0, 60, 5)), "abstract " + " ".join(words) + " резюме " + " ".join(words[7:]), " ".join(words[:9]), "w"]
+
+    def beginnings(t):
+        return {" ".join(t.split()[:12]) for _ in range(len(t.split()) >= 8)} | {t[:180] for _ in range(len(t) >= 180)}
+
+    def plain(t):
+        lines = t.split("\n")
+        blocks = {b for i in range(len(lines)) for k in range(1, 5) if i + k <= len(lines) and len(b := " ".join(lines[i : i + k])) >= 40}
+        pieces = [t[i : i + 800].replace("\n", " ").strip() for i in range(len(t)) for m in marks if t.startswith(m, i)]
+        pieces += [p.removeprefix(m).strip() for p in pieces for m in marks if p.startswith(m)]
+        return blocks.union(*map(beginnings, [*blocks, *pieces]))
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [set(r[0]) for r in df.select(M.block_keys("t")).collect()] == [plain(t) for t in texts]
+
+
 def test_vote_winner(spark):
     v = spark.createDataFrame([(1, "r1", "a"), (1, "r2", "a"), (1, "r3", "b"), (2, "r1", "a"), (2, "r2", "b"), (3, "r1", "a"), (3, "r1", "a"), (4, "r1", None), (5, "r1", "a"), (5, "r2", "a"), (5, "r3", "b"), (5, "r4", "b")], "i int, r string, c string")
     assert [tuple(r) for r in A.vote_winner(v, "i", "r", "c", 2).collect()] == [(1, "a", 2)]
