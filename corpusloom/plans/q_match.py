@@ -10,7 +10,7 @@ from corpusloom.functions.names import canonical_name
 from corpusloom.operators import matching as M
 from corpusloom.plans import sqltext as Q
 from corpusloom.plans.catalog import register
-from corpusloom.session import prepare, table
+from corpusloom.session import cut, prepare, table
 
 
 def _t(spark, d, name):
@@ -78,16 +78,24 @@ _DOC, _ITEM = f"(SELECT doc_id, lang, {Q.audit('text')} AS k FROM documents)", f
 
 @register("containment_match", f"SELECT DISTINCT d.doc_id, e.item_id FROM {_DOC} d JOIN {_ITEM} e ON contains(d.k, e.k) WHERE length(e.k) >= 80 AND length(d.k) <> length(e.k)")
 def containment_match(spark, d):
-    return M.containment(_docs(spark, d), "doc_id", "key", _items(spark, d), "item_id", "key", 80)
+    """Either way: also documents inside a passage, which the SQL leaves out; the given tables have none."""
+    docs, items = cut(_docs(spark, d), "docs"), _items(spark, d)
+    return M.containment(docs, "doc_id", "key", items, "item_id", "key", 80).unionByName(_inside(docs, items)).distinct()
+
+
+def _inside(docs, items):
+    """(doc_id, item_id) of the documents that lie inside a passage."""
+    return M.contained(docs.select(F.col("doc_id").alias("a_id"), F.col("key").alias("text")), items.select(F.col("item_id").alias("b_id"), F.col("key").alias("text")), 80).toDF("doc_id", "item_id")
 
 
 @register("leak_by_language", f"""
     WITH h AS (SELECT DISTINCT d.doc_id FROM {_DOC} d JOIN {_ITEM} e ON contains(d.k, e.k) WHERE length(e.k) >= 80)
     SELECT coalesce(lang, 'none') AS lang, count(*) AS documents, count(h.doc_id) AS leaked, count(*) - count(h.doc_id) AS clean FROM documents LEFT JOIN h USING (doc_id) GROUP BY 1""")
 def leak_by_language(spark, d):
-    docs, items = _docs(spark, d), _items(spark, d)
+    """Containment either way, as in ``containment_match``."""
+    docs, items = cut(_docs(spark, d), "docs"), _items(spark, d)
     equal = M.exact(docs, items.where(F.length("key") >= 80), "key").select("doc_id")
-    hit = M.containment(docs, "doc_id", "key", items, "item_id", "key", 80).select("doc_id").unionByName(equal).distinct().withColumn("hit", F.lit(1))
+    hit = M.containment(docs, "doc_id", "key", items, "item_id", "key", 80).unionByName(_inside(docs, items)).select("doc_id").unionByName(equal).distinct().withColumn("hit", F.lit(1))
     j = _t(spark, d, "documents").select("doc_id", F.coalesce("lang", F.lit("none")).alias("lang")).join(hit, "doc_id", "left")
     return j.groupBy("lang").agg(F.count("*").alias("documents"), F.count("hit").alias("leaked"), F.count_if(F.col("hit").isNull()).alias("clean"))
 

@@ -187,6 +187,16 @@ def test_contained_against_all_pairs(spark):
     assert got == {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if a and b and len(a) >= 10 and a != b and a in b}
 
 
+def test_documents_inside_a_passage_leak(spark, tmp_path):
+    passage = " ".join(f"word{i:03d}" for i in range(40))
+    docs = [(1, "ru", passage[9:120]), (2, "ru", passage[9:60]), (3, "en", f"a {passage} b"), (4, None, passage), (5, "en", None)]
+    spark.createDataFrame(docs, "doc_id bigint, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, passage), (8, None)], "item_id bigint, text string").write.parquet(f"{tmp_path}/eval_passages.parquet")
+    got = lambda name: sorted(tuple(r) for r in catalog.queries()[name](spark, str(tmp_path)).collect())
+    assert got("containment_match") == [(1, 7), (3, 7)]
+    assert got("leak_by_language") == [("en", 2, 1, 1), ("none", 1, 1, 0), ("ru", 2, 1, 1)]
+
+
 def test_audit_counts_near_matches(spark, tmp_path):
     words = [f"word{i:03d}" for i in range(90)]
     rows = [
