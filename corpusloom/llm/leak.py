@@ -11,7 +11,9 @@ each block is held against all documents in one pass, so documents are never shu
 
 from __future__ import annotations
 
+import functools
 import html
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +32,7 @@ from corpusloom.session import cut
 SHINGLE = 3
 #: Words of the items of one block: what is sent to the executors at once is below 64 MB.
 BLOCK_WORDS = 1_000_000
-#: A case is a stretch of this share of the item's words with at most so many of them changed.
+#: A case is a stretch of this share of the item's words with at most so many of them changed, or a fifth of a longer one.
 SHARE, EDITS = 0.5, 4
 #: Words looked at beyond the place of an item, and diagonals of one bin.
 SLACK, BIN = 10, 32
@@ -73,6 +75,23 @@ def shingles(flat: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray,
     return h[at], owner[at], at - starts[owner[at]]
 
 
+def changes(span: int) -> int:
+    """How many words of a stretch may be changed."""
+    return max(EDITS, span // 5)
+
+
+def least_words(n: int) -> int:
+    """How many words of an item of n words are left in a case at least."""
+    least = math.ceil(n * SHARE)
+    return least - changes(least)
+
+
+@functools.cache
+def least_shared(n: int, k: int) -> int:
+    """How many k-word shingles of an item of n words a case has at least, by the changes ``judge`` allows in a stretch."""
+    return max(1, min((s - k + 1 - k * changes(s) for s in range(math.ceil(n * SHARE), n + 1)), default=1))
+
+
 @dataclass
 class Block:
     """Items, and their shingles as an inverted index: shingle -> (item, position)."""
@@ -84,7 +103,7 @@ class Block:
     item: np.ndarray
     place: np.ndarray
     need: np.ndarray  # T of each item
-    size: np.ndarray  # words of each item
+    least: np.ndarray  # words of each item that a case has at least
     rare: np.ndarray | None = None  # of each posting: is the shingle in the item's prefix
 
     @classmethod
@@ -95,9 +114,8 @@ class Block:
         by = np.lexsort((place, item, h))
         hashes, first = np.unique(h[by], return_index=True)
         n = np.array([len(w) for w in found])
-        stretch = np.ceil(n * SHARE).astype(int)
-        need = np.maximum(1, stretch - k + 1 - k * EDITS)
-        return cls(ids, found, hashes, np.append(first, len(h)), item[by], place[by], need, n)
+        need, least = (np.array([f(m) for m in n.tolist()]) for f in (lambda m: least_shared(m, k), least_words))
+        return cls(ids, found, hashes, np.append(first, len(h)), item[by], place[by], need, least)
 
     def lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index into h, index of the shingle) of the shingles that occur in the block."""
@@ -160,10 +178,10 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
 def judge(item: np.ndarray, window: np.ndarray) -> float:
     """The share of the item's words in the best stretch of a window if that is a case, else 0."""
     least = SHARE * len(item)
-    if np.isin(item, window).sum() < least - EDITS:
+    if np.isin(item, window).sum() < least_words(len(item)):
         return 0.0
     span, matched = align(item, window)
-    return span / len(item) if span >= least and span - matched <= max(EDITS, span // 5) else 0.0
+    return span / len(item) if span >= least and span - matched <= changes(span) else 0.0
 
 
 def candidates(block: Block, hit_doc: np.ndarray, hit_pos: np.ndarray, s: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -177,7 +195,7 @@ def candidates(block: Block, hit_doc: np.ndarray, hit_pos: np.ndarray, s: np.nda
     which, posting = _postings(block, s)
     doc, item = hit_doc[which], block.item[posting]
     pair = doc * len(block.ids) + item
-    ok = (sizes[doc] >= np.ceil(SHARE * block.size[item]) - EDITS) & np.isin(pair, np.unique(pair[block.rare[posting]]))
+    ok = (sizes[doc] >= block.least[item]) & np.isin(pair, np.unique(pair[block.rare[posting]]))
     pair, diagonal, item = pair[ok], (hit_pos[which] - block.place[posting])[ok], item[ok]
     out = []
     for shift in (0, BIN // 2):

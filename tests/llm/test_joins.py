@@ -186,6 +186,14 @@ def test_leaks_against_planted_cases(spark, corpus):
     assert leak.leaks(d, "doc_id", "text", e.where("item_id > 89"), "item_id", "text").count() == 0
 
 
+def test_leaks_with_a_fifth_of_a_long_stretch_changed(spark):
+    item = [f"word{i}" for i in range(85)]
+    half = [f"other{i}" if i % 5 == 4 and i < 40 else w for i, w in enumerate(item[:45])]
+    d = spark.createDataFrame([(1, " ".join(half)), (2, " ".join(half[:30]))], "doc_id bigint, text string")
+    e = spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in leak.leaks(d, "doc_id", "text", e, "item_id", "text").collect()] == [(1, 1)]
+
+
 def test_leaks_in_blocks(spark, corpus, monkeypatch):
     passages, docs, truth = corpus
     monkeypatch.setattr(leak, "BLOCK_WORDS", 100)
