@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,14 +28,15 @@ from corpusloom.llm.sketch import _mix
 from corpusloom.llm.words import WordHashes, tokens
 from corpusloom.session import cut
 
-#: Words of a shingle.  Five-word shingles can't do here: a case may be half of a passage of 26 words with a few of
-#: them changed, in which no five words in a row need to be left.
-SHINGLE = 3
+#: Words of a shingle, the largest first: an item gets the largest of which a case keeps one for certain.  Five-word
+#: shingles can't do here: half of a passage of 26 words with a few of them changed need not keep three words in a row.
+SHINGLES = (3, 2)
 #: Words of the items of one block: what is sent to the executors at once is below 64 MB.
 BLOCK_WORDS = 1_000_000
-#: A case is a stretch of this share of the item's words with at most so many of them changed, or a fifth of a longer one.
-SHARE, EDITS = 0.5, 4
-#: Words looked at beyond the place of an item, and diagonals of one bin.
+#: A case is a stretch of this share of the item's words, and of so many words at least, with at most EDITS words changed,
+#: left out or added, or a fifth of a longer stretch, or a third of a shorter one.
+SHARE, STRETCH, EDITS = 0.5, 6, 4
+#: Words looked at beyond the place of an item, and diagonals of one bin, at least.
 SLACK, BIN = 10, 32
 _U = np.uint64
 
@@ -61,35 +63,47 @@ def word_table(df: DataFrame, key: str, text: str) -> DataFrame:
     return cut(source.mapInArrow(hashed, f"id {dict(df.dtypes)[key]}, w array<bigint>"), "words")
 
 
-def shingles(flat: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, owner, position) of the k-word shingles of texts laid end to end."""
-    n = len(flat) - k + 1
+def shingles(flat: np.ndarray, starts: np.ndarray, sizes: tuple[int, ...]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """k -> (hash, owner, position) of the k-word shingles of texts laid end to end, for every k of ``sizes``."""
     owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(flat))))
-    if n <= 0:
-        return np.empty(0, np.uint64), owner[:0], owner[:0]
-    h = np.zeros(n, np.uint64)
-    for i in range(k):
-        h = _mix(h * _U(0x9E3779B97F4A7C15) + flat[i : n + i])
-    inside = owner[:n] == owner[k - 1 :]
-    at = np.flatnonzero(inside)
-    return h[at], owner[at], at - starts[owner[at]]
+    out = {}
+    h = np.zeros(len(flat), np.uint64)
+    for k in range(1, max(sizes) + 1):
+        n = len(flat) - k + 1
+        if n > 0:
+            h = _mix(h[:n] * _U(0x9E3779B97F4A7C15) + flat[k - 1 :])
+        if k in sizes:
+            at = np.flatnonzero(owner[: max(0, n)] == owner[k - 1 :]) if n > 0 else np.empty(0, np.int64)
+            out[k] = (h[at], owner[at], at - starts[owner[at]]) if len(at) else (np.empty(0, np.uint64), owner[:0], owner[:0])
+    return out
 
 
 def changes(span: int) -> int:
-    """How many words of a stretch may be changed."""
-    return max(EDITS, span // 5)
+    """How many words of a stretch may be changed, left out or added."""
+    return min(max(EDITS, span // 5), span // 3)
 
 
+def least_span(n: int) -> int:
+    """How many words of an item of n words a case covers at least."""
+    return max(STRETCH, math.ceil(n * SHARE))
+
+
+@functools.cache
 def least_words(n: int) -> int:
     """How many words of an item of n words are left in a case at least."""
-    least = math.ceil(n * SHARE)
-    return least - changes(least)
+    return min((s - changes(s) for s in range(least_span(n), n + 1)), default=n)
 
 
 @functools.cache
 def least_shared(n: int, k: int) -> int:
-    """How many k-word shingles of an item of n words a case has at least, by the changes ``judge`` allows in a stretch."""
-    return max(1, min((s - k + 1 - k * changes(s) for s in range(math.ceil(n * SHARE), n + 1)), default=1))
+    """How many k-word shingles of an item of n words a case has at least: each change that ``judge`` allows ends k of them."""
+    return min((s - k + 1 - k * changes(s) for s in range(least_span(n), n + 1)), default=0)
+
+
+@functools.cache
+def shingle_size(n: int) -> int:
+    """The largest k of SHINGLES of which every case of an item of n words has a shingle; there is one from STRETCH words on."""
+    return next((k for k in SHINGLES if least_shared(n, k) > 0), min(SHINGLES))
 
 
 @dataclass
@@ -104,18 +118,33 @@ class Block:
     place: np.ndarray
     need: np.ndarray  # T of each item
     least: np.ndarray  # words of each item that a case has at least
+    bins: np.ndarray  # diagonals of a bin of each item: two changes' worth, so that a case lies whole in one of two
+    sizes: tuple[int, ...]  # words of the shingles
     rare: np.ndarray | None = None  # of each posting: is the shingle in the item's prefix
 
     @classmethod
-    def of(cls, ids: list, found: list[np.ndarray], k: int) -> Block:
+    def of(cls, ids: list, found: list[np.ndarray]) -> Block:
         flat = np.concatenate(found)
-        starts = np.concatenate(([0], np.cumsum([len(w) for w in found])[:-1])).astype(np.int64)
-        h, item, place = shingles(flat, starts, k)
+        n = np.array([len(w) for w in found])
+        starts = np.concatenate(([0], np.cumsum(n)[:-1])).astype(np.int64)
+        size = np.array([shingle_size(m) for m in n.tolist()])
+        sizes = tuple(sorted(set(size.tolist())))
+        made = [(h[ok], item[ok], place[ok]) for k, (h, item, place) in shingles(flat, starts, sizes).items() for ok in (size[item] == k,)]
+        h, item, place = (np.concatenate(x) for x in zip(*made, strict=True))
         by = np.lexsort((place, item, h))
         hashes, first = np.unique(h[by], return_index=True)
-        n = np.array([len(w) for w in found])
-        need, least = (np.array([f(m) for m in n.tolist()]) for f in (lambda m: least_shared(m, k), least_words))
-        return cls(ids, found, hashes, np.append(first, len(h)), item[by], place[by], need, least)
+        need = np.array([least_shared(m, k) for m, k in zip(n.tolist(), size.tolist(), strict=True)])
+        least = np.array([least_words(m) for m in n.tolist()])
+        bins = np.array([max(BIN, 2 * changes(m)) for m in n.tolist()])
+        return cls(ids, found, hashes, np.append(first, len(h)), item[by], place[by], need, least, bins, sizes)
+
+    def hits(self, flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(owner, position, index of the shingle) of the shingles of texts that occur in the block."""
+        out = []
+        for h, owner, pos in shingles(flat, starts, self.sizes).values():
+            hit, s = self.lookup(h)
+            out.append((owner[hit], pos[hit], s))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     def lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index into h, index of the shingle) of the shingles that occur in the block."""
@@ -152,7 +181,7 @@ def _postings(block: Block, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """Best local alignment (match 1, change or gap -1): words of a in its span, and how many of them match."""
+    """Best local alignment (match 1, change or gap -1): words of a in its span, and the changes and gaps in it."""
     n, m = len(a), len(b)
     table = np.zeros((n + 1, m + 1), np.int32)
     steps = np.arange(m + 1, dtype=np.int32)
@@ -162,26 +191,24 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
         row[1:] = np.maximum(np.maximum(table[i - 1, :-1] + np.where(same[i - 1], 1, -1), table[i - 1, 1:] - 1), 0)
         row[:] = np.maximum.accumulate(row + steps) - steps
     i, j = np.unravel_index(int(table.argmax()), table.shape)
-    end, matched = i, 0
+    end, edits = i, 0
     while table[i, j] > 0:
         v = table[i, j]
         if v == table[i - 1, j - 1] + (1 if same[i - 1, j - 1] else -1):
-            matched += int(same[i - 1, j - 1])
+            edits += int(not same[i - 1, j - 1])
             i, j = i - 1, j - 1
-        elif v == table[i - 1, j] - 1:
-            i -= 1
         else:
-            j -= 1
-    return int(end - i), matched
+            edits += 1
+            i, j = (i - 1, j) if v == table[i - 1, j] - 1 else (i, j - 1)
+    return int(end - i), edits
 
 
 def judge(item: np.ndarray, window: np.ndarray) -> float:
     """The share of the item's words in the best stretch of a window if that is a case, else 0."""
-    least = SHARE * len(item)
     if np.isin(item, window).sum() < least_words(len(item)):
         return 0.0
-    span, matched = align(item, window)
-    return span / len(item) if span >= least and span - matched <= changes(span) else 0.0
+    span, edits = align(item, window)
+    return span / len(item) if span >= least_span(len(item)) and edits <= changes(span) else 0.0
 
 
 def candidates(block: Block, hit_doc: np.ndarray, hit_pos: np.ndarray, s: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -189,8 +216,9 @@ def candidates(block: Block, hit_doc: np.ndarray, hit_pos: np.ndarray, s: np.nda
 
     Length bound: the document has the words of a stretch.  Prefix: one shingle of the item's
     prefix is there.  Position and count bounds: the shingles of a case lie on neighbouring
-    diagonals (place in the document less place in the item), so at least T of them fall
-    into one of two overlapping bins of diagonals.
+    diagonals (place in the document less place in the item), no further apart than words may
+    be added or left out, so at least T of them fall into one of two overlapping bins of
+    diagonals.
     """
     which, posting = _postings(block, s)
     doc, item = hit_doc[which], block.item[posting]
@@ -198,8 +226,9 @@ def candidates(block: Block, hit_doc: np.ndarray, hit_pos: np.ndarray, s: np.nda
     ok = (sizes[doc] >= block.least[item]) & np.isin(pair, np.unique(pair[block.rare[posting]]))
     pair, diagonal, item = pair[ok], (hit_pos[which] - block.place[posting])[ok], item[ok]
     out = []
-    for shift in (0, BIN // 2):
-        bin_ = (pair << 24) + (diagonal + shift + (1 << 23)) // BIN
+    width = block.bins[item]
+    for shift in (0, width // 2):
+        bin_ = (pair << 24) + (diagonal + shift + (1 << 23)) // width
         by = np.argsort(bin_, kind="stable")
         key, begin, count = np.unique(bin_[by], return_index=True, return_counts=True)
         enough = count >= block.need[item[by][begin]]
@@ -212,29 +241,36 @@ def candidates(block: Block, hit_doc: np.ndarray, hit_pos: np.ndarray, s: np.nda
     return pair // len(block.ids), pair % len(block.ids), low, high
 
 
-def leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item: str, passage: str, shingle: int = SHINGLE) -> DataFrame:
+def leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item: str, passage: str) -> DataFrame:
     """(key, item, share): every document and item with a case in it; share is that of the longest stretch.
 
-    Null and blank texts, and items of fewer words than a shingle, have no case.  An item id
-    or document id that stands on several rows gives one row with the largest share.
+    Null and blank texts, and items of fewer than STRETCH words, have no case.  An item id or
+    document id that stands on several rows gives one row with the largest share.  Of more
+    than one block each is worked off and written before the next, so that the driver and
+    the executors hold one block at a time.
     """
     spark = corpus.sparkSession
     table = word_table(corpus, key, text)
     kinds = dict(corpus.dtypes)[key], dict(items.dtypes)[item]
-    out = None
-    for ids, found in _blocks(items.select(F.col(item).alias("i"), F.col(passage).cast("string").alias("t")), shingle):
-        part = _against(spark, table, Block.of(ids, found, shingle), shingle, kinds)
+    blocks = _blocks(items.select(F.col(item).alias("i"), F.col(passage).cast("string").alias("t")))
+    out, block = None, next(blocks, None)
+    while block is not None:
+        part, sent = _against(spark, table, Block.of(*block), kinds)
+        block = next(blocks, None)
+        if block is not None or out is not None:
+            part = cut(part, "leaks")
+            sent.destroy()
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = spark.createDataFrame([], f"id {kinds[0]}, item {kinds[1]}, share double")
     return out.groupBy(F.col("id").alias(key), F.col("item").alias(item)).agg(F.max("share").alias("share"))
 
 
-def _blocks(items: DataFrame, k: int) -> Iterator[tuple[list, list[np.ndarray]]]:
+def _blocks(items: DataFrame) -> Iterator[tuple[list, list[np.ndarray]]]:
     known, ids, found, size = WordHashes(), [], [], 0
     for r in items.toLocalIterator():
         w = text_words(r["t"])
-        if len(w) < k:
+        if len(w) < STRETCH:
             continue
         if size + len(w) > BLOCK_WORDS and ids:
             yield ids, found
@@ -246,15 +282,15 @@ def _blocks(items: DataFrame, k: int) -> Iterator[tuple[list, list[np.ndarray]]]
         yield ids, found
 
 
-def _against(spark, table: DataFrame, block: Block, k: int, kinds: tuple[str, str]) -> DataFrame:
+def _against(spark, table: DataFrame, block: Block, kinds: tuple[str, str]) -> tuple[DataFrame, Broadcast]:
+    """The cases of one block, and the broadcast they are computed from."""
     sent = spark.sparkContext.broadcast(block)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(sent.value.hashes), np.int64)
         for b in batches:
-            h, owner, _ = shingles(*_texts(b), k)
-            hit, s = sent.value.lookup(h)
-            once = np.unique(owner[hit] * len(total) + s) if len(hit) else np.empty(0, np.int64)
+            owner, _, s = sent.value.hits(*_texts(b))
+            once = np.unique(owner * len(total) + s)
             total += np.bincount(once % max(1, len(total)), minlength=len(total))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"s": some.astype(np.int64), "n": total[some]})
@@ -262,6 +298,7 @@ def _against(spark, table: DataFrame, block: Block, k: int, kinds: tuple[str, st
     df = np.zeros(len(block.hashes), np.int64)
     for r in table.select("w").mapInArrow(count, "s bigint, n bigint").groupBy("s").agg(F.sum("n").alias("n")).toLocalIterator():
         df[r["s"]] = r["n"]
+    sent.destroy()
     block.order(df)
     ready = spark.sparkContext.broadcast(block)
 
@@ -270,19 +307,20 @@ def _against(spark, table: DataFrame, block: Block, k: int, kinds: tuple[str, st
         for b in batches:
             flat, starts = _texts(b)
             ends = np.append(starts[1:], len(flat))
-            h, owner, pos = shingles(flat, starts, k)
-            hit, s = q.lookup(h)
+            owner, pos, s = q.hits(flat, starts)
             best: dict[tuple[int, int], float] = {}
-            for d, i, low, high in zip(*(x.tolist() for x in candidates(q, owner[hit], pos[hit], s, ends - starts)), strict=True):
+            for d, i, low, high in zip(*(x.tolist() for x in candidates(q, owner, pos, s, ends - starts)), strict=True):
                 if best.get((d, i), 0) < 1:
                     text = flat[starts[d] : ends[d]]
-                    if share := judge(q.words[i], text[max(0, low - SLACK) : high + len(q.words[i]) + SLACK]):
+                    n = len(q.words[i])
+                    slack = max(SLACK, changes(n))
+                    if share := judge(q.words[i], text[max(0, low - slack) : high + n + slack]):
                         best[d, i] = max(share, best.get((d, i), 0))
             rows, ids, shares = [d for d, _ in best], [q.ids[i] for _, i in best], list(best.values())
             found = b.column("id").take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([found, pa.array(ids, _arrow(kinds[1])), pa.array(shares, pa.float64())], ["id", "item", "share"])
 
-    return table.mapInArrow(find, f"id {kinds[0]}, item {kinds[1]}, share double")
+    return table.mapInArrow(find, f"id {kinds[0]}, item {kinds[1]}, share double"), ready
 
 
 def _arrow(kind: str) -> pa.DataType:

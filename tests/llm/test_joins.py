@@ -204,8 +204,45 @@ def test_leaks_in_blocks(spark, corpus, monkeypatch):
 
 def test_alignment():
     a = np.arange(20)
-    assert leak.align(a, a) == (20, 20)
-    assert leak.align(a, np.concatenate((np.full(5, 99), a[5:15], np.full(5, 98)))) == (10, 10)
+    assert leak.align(a, a) == (20, 0)
+    assert leak.align(a, np.concatenate((np.full(5, 99), a[5:15], np.full(5, 98)))) == (10, 0)
     b = a.copy()
     b[9] = 77
-    assert leak.align(a, b) == (20, 19)
+    assert leak.align(a, b) == (20, 1)
+    assert leak.align(a, np.concatenate((a[:9], [55, 56], a[9:]))) == (20, 2) and leak.align(a, np.delete(a, 9)) == (20, 1)
+
+
+def edited(rng, stretch, edits, kind):
+    """The stretch with so many words changed, left out or added, spread evenly or anywhere."""
+    n = len(stretch)
+    at = [(2 * j + 1) * n // (2 * edits) for j in range(edits)] if rng.random() < 0.5 else rng.sample(range(1, n - 1), edits)
+    out = list(stretch)
+    for i in sorted(at, reverse=True):
+        what = kind if kind != "any" else rng.choice(("change", "drop", "add"))
+        out[i : i + (what != "add")] = [] if what == "drop" else [rng.randrange(10**9, 2 * 10**9)]
+    return out
+
+
+@pytest.mark.parametrize("n", [6, 8, 13, 20, 26, 28, 29, 60, 100, 200, 400])
+def test_no_case_of_the_judge_is_lost(n):
+    """The candidate windows against the judge alone, on stretches edited up to what it allows."""
+    rng = random.Random(n)
+    items = [np.array([rng.randrange(10**9) for _ in range(n)], np.uint64) for _ in range(30)]
+    block = leak.Block.of(list(range(30)), items)
+    block.order(np.zeros(len(block.hashes), np.int64))
+    accepted = found = 0
+    for k in range(240):
+        item = items[k % 30].tolist()
+        span = rng.randint(leak.least_span(n), n) if k % 3 else leak.least_span(n)
+        begin = rng.randrange(n - span + 1)
+        edits = min(leak.changes(span), span - 2)
+        part = edited(rng, item[begin : begin + span], edits if k % 2 else rng.randint(0, edits), rng.choice(("change", "drop", "add", "any")))
+        around = [[rng.randrange(10**9, 2 * 10**9) for _ in range(rng.randrange(60))] for _ in range(2)]
+        text = np.array(around[0] + part + around[1], np.uint64)
+        if leak.judge(items[k % 30], text):
+            accepted += 1
+            owner, pos, s = block.hits(text, np.zeros(1, np.int64))
+            windows = [(low, high) for _, i, low, high in zip(*leak.candidates(block, owner, pos, s, np.array([len(text)])), strict=True) if i == k % 30]
+            slack = max(leak.SLACK, leak.changes(n))
+            found += any(leak.judge(items[k % 30], text[max(0, low - slack) : high + n + slack]) for low, high in windows)
+    assert accepted > 60 and found == accepted
