@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.components import components
-from corpusloom.llm.setjoin import Seen, bucket_pairs, set_table, verified
+from corpusloom.llm.setjoin import Buckets, Seen, crowds, in_blocks, set_table, verified
 from corpusloom.llm.sketch import band_keys, flatten, similarity_sketch
 from corpusloom.session import cut
 
@@ -21,10 +21,10 @@ BANDS, ROWS = 25, 6
 SUB_BANDS, SUB_ROWS = 16, 3
 
 
-def _keys(sets: DataFrame, fields: int, bands: int, rows: int, seed: int) -> DataFrame:
-    """(key, id): the band keys of every class, from fast similarity sketches of the tagged union of its sets."""
+def _keys(sets: DataFrame, fields: int, bands: int, rows: int, seed: int, hot: int | None = None) -> DataFrame:
+    """(key, id): the band keys of every class, from fast similarity sketches of the tagged union of its sets; crowded keys as in ``crowds``."""
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
         seen = Seen()
         for b in batches:
             ids = b.column("k1").to_numpy(zero_copy_only=False)
@@ -33,57 +33,61 @@ def _keys(sets: DataFrame, fields: int, bands: int, rows: int, seed: int) -> Dat
             for k in range(0, len(rest), 1000):
                 tagged = [np.concatenate([w ^ np.uint64(i * 0x9E3779B97F4A7C15 & (2**64 - 1)) for i, w in enumerate(ws)]) for ws in zip(*[c[k : k + 1000] for c in cols], strict=True)]
                 keys = band_keys(similarity_sketch(*flatten(tagged), bands * rows, seed), rows, seed)
-                yield pa.RecordBatch.from_pydict({"key": keys.ravel(), "id": np.repeat(ids[rest[k : k + 1000]], bands)})
+                yield {"key": keys.ravel(), "id": np.repeat(ids[rest[k : k + 1000]], bands)}
 
-    return sets.select("k1", *[f"w{i}" for i in range(fields)]).mapInArrow(sketch, "key bigint, id bigint")
+    def limited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return crowds(sketch(batches), 1 << 62 if hot is None else hot)
 
+    return sets.select("k1", *[f"w{i}" for i in range(fields)]).mapInArrow(limited, "key bigint, id bigint")
 
-def near_classes(df: DataFrame, key: str, texts: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(members, matches).
 
-    members: (id, k1, k2, ...) of all records with words in every text; matches: the pairs of
-    different classes whose sets match in every text, (a1, a2, b1, b2, sim).
-    """
-    n = len(texts)
-    members = set_table(df, key, texts)
+def buckets(members: DataFrame, fields: int, hot: int = 64) -> Buckets:
+    """The classes of ``members`` in the buckets of their bands, crowded ones to be refined by further bands."""
 
     def refine(ids: DataFrame, level: int) -> DataFrame:
         own = members.join(ids, members.k1 == ids.id, "left_semi")
-        return _keys(own, n, SUB_BANDS, SUB_ROWS, 100 + level).select("id", F.col("key").alias("sub"))
+        return _keys(own, fields, SUB_BANDS, SUB_ROWS, 100 + level).select("id", F.col("key").alias("sub")).distinct()
 
-    candidates = bucket_pairs(_keys(members, n, BANDS, ROWS, 1), refine).distinct()
-    return members, verified(candidates, members, n)
+    return Buckets(lambda most: _keys(members, fields, BANDS, ROWS, 1, most), refine, F.col("x_id") < F.col("y_id"), hot)
 
 
 def near_pairs(df: DataFrame, key: str, texts: list[str]) -> DataFrame:
     """Every pair (key_a, key_b), key_a < key_b, of records that match in every text.
 
     Null, blank and wordless texts match nothing; copies of a text are listed with all their
-    pairs; a repeated key counts once.
+    pairs; a repeated key counts once.  Pairs of classes are found first; only the last step
+    makes pairs of records, since these are the result, and those of copies in blocks.
     """
-    members, matches = near_classes(df, key, texts)
+    n = len(texts)
+    members = set_table(df, key, texts)
+    matches = verified(buckets(members, n).pairs().distinct(), members, n)
     who = members.select("id", "k1", "k2").distinct()
     matches = cut(matches.select("a1", "a2", "b1", "b2"), "matches")
     left = matches.join(who.select(F.col("id").alias("x"), F.col("k1").alias("a1"), F.col("k2").alias("a2")), ["a1", "a2"])
     both = left.join(who.select(F.col("id").alias("y"), F.col("k1").alias("b1"), F.col("k2").alias("b2")), ["b1", "b2"]).select("x", "y")
-    copies = who.select("k1", "k2", F.col("id").alias("x")).join(who.select("k1", "k2", F.col("id").alias("y")), ["k1", "k2"]).where("x < y").select("x", "y")
-    every = both.unionByName(copies)
+    copied = who.join(who.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1"), ["k1", "k2"])
+    x, y, on = in_blocks(copied, ["k1", "k2"])
+    every = both.unionByName(x.join(y, on & (F.col("x_id") < F.col("y_id"))).select(F.col("x_id").alias("x"), F.col("y_id").alias("y")))
     return every.select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b"))
 
 
 def near_groups(df: DataFrame, key: str, texts: list[str]) -> DataFrame:
-    """One row per record with words in every text: key, group_id (the least key of the group), group_size, links.
+    """One row per record with words in every text: key, group_id (the least key of the group), group_size, classes.
 
-    Groups are the connected components of the matches; links counts the other classes that
-    the record's own class matches.  Pairs of copies are never formed.
+    Groups are the connected components of the matches; classes: how many different word sets
+    the group has.  Pairs of copies are never formed, nor all pairs of a family of like texts.
     """
-    members, matches = near_classes(df, key, texts)
+    n = len(texts)
+    members = set_table(df, key, texts)
+    candidates, found = buckets(members, n).links(lambda pairs: verified(pairs, members, n))
+    matches = verified(candidates.distinct(), members, n)
+    for more in found:
+        matches = matches.unionByName(more)
     name = lambda p: F.concat_ws(":", f"{p}1", f"{p}2")
-    edges = cut(matches.select(name("a").alias("a"), name("b").alias("b")), "edges")
-    found = components(edges)
-    links = edges.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("links"))
+    found = components(matches.select(name("a").alias("a"), name("b").alias("b")))
     who = members.select("id", name("k").alias("class")).distinct()
-    named = who.join(found.withColumnRenamed("node", "class"), "class", "left").join(links, "class", "left")
-    named = cut(named.select("id", F.coalesce("component", "class").alias("component"), F.coalesce("links", F.lit(0)).alias("links")), "named")
-    size = named.groupBy("component").agg(F.min("id").alias("group_id"), F.count("*").alias("group_size"))
-    return named.join(size, "component").select(F.col("id").alias(key), "group_id", "group_size", "links")
+    named = who.join(found.withColumnRenamed("node", "class"), "class", "left")
+    named = cut(named.select("id", "class", F.coalesce("component", "class").alias("component")), "named")
+    sizes = named.groupBy("component", "class").agg(F.min("id").alias("i"), F.count("*").alias("n"))
+    sizes = sizes.groupBy("component").agg(F.min("i").alias("group_id"), F.sum("n").alias("group_size"), F.count("*").alias("classes"))
+    return named.join(sizes, "component").select(F.col("id").alias(key), "group_id", "group_size", "classes")

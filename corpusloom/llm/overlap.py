@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,39 +10,58 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.setjoin import Seen, set_table, verified
-from corpusloom.llm.sketch import bit_fingerprints, flatten, pack
+from corpusloom.llm.setjoin import Buckets, Seen, crowds, set_table, verified
+from corpusloom.llm.sketch import flatten, grouped_fingerprints
 from corpusloom.session import cut
 
-#: The fingerprint: BLOCKS segments of BLOCK_BITS bits, and CHECK_BITS more for the Hamming test of a candidate.
-BLOCKS, BLOCK_BITS, CHECK_BITS = 20, 24, 31
-#: A block may differ in one bit, and the check bits in CHECK_RADIUS; two sets of similarity 2/3 differ in a sixth of the bits.
-CHECK_RADIUS = 13
+#: Bits of the fingerprint that each min-wise hash gives to a segment; a segment is some such groups.
+GROUP_BITS = 8
+#: Share of the pairs of similarity 2/3 that agree in a segment at least, which the number of segments follows.
+RECALL = 0.93
+#: How often two texts that have nothing to do with each other agree in a group, about: common words, and chance.
+BACKGROUND = 0.035
+#: Further bits for the Hamming test of a candidate, and the radius; of pairs of similarity 2/3 a sixth of the bits differ (21.3 +- 4.2).
+CHECK_BITS, CHECK_RADIUS = 128, 34
+#: Groups of a segment of a crowded code, and such segments: 0.998 of the pairs of similarity 2/3 agree in one.
+SUB_GROUPS, SUB_SEGMENTS = 3, 18
 
 
-def _blocks(sets: DataFrame, probe: bool) -> DataFrame:
-    """(block, mark, id) of each class: its segments, with ``probe`` also every code at Hamming distance one."""
+def segments(groups: int) -> int:
+    return math.ceil(math.log(1 - RECALL) / math.log(1 - (2 / 3) ** groups))
 
-    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def layout(classes: int) -> tuple[int, int]:
+    """(groups of a segment, segments): wide enough that a text meets less than one unlike one of so many classes by chance.
+
+    Wider segments are more, so that the recall is the same for any number of classes.
+    """
+    groups = 6
+    while classes * segments(groups) * BACKGROUND**groups > 1:
+        groups += 1
+    return groups, segments(groups)
+
+
+def _codes(sets: DataFrame, groups: int, many: int, seed: int, hot: int | None = None) -> DataFrame:
+    """(key, id, side, m1, m2) of each class: its segments' codes, with the check bits; crowded codes as in ``crowds``."""
+
+    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
         seen = Seen()
-        flips = np.concatenate(([0], 1 << np.arange(BLOCK_BITS))) if probe else np.zeros(1, np.int64)
         for b in batches:
-            ids = b.column("k1").to_numpy(zero_copy_only=False)
-            rest = seen.fresh(ids.tolist())
+            ids, side = (b.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "side"))
+            rest = np.array(seen.fresh(list(zip(ids.tolist(), side.tolist(), strict=True))), np.int64)
             w = [np.asarray(x, np.int64).view(np.uint64) for x in b.column("w0").take(pa.array(rest, pa.int64())).to_numpy(zero_copy_only=False)]
             for k in range(0, len(rest), 1000):
-                bits = bit_fingerprints(*flatten(w[k : k + 1000]), BLOCKS * BLOCK_BITS + CHECK_BITS)
-                check = pack(bits[:, BLOCKS * BLOCK_BITS :])
-                code = np.stack([pack(bits[:, j * BLOCK_BITS : (j + 1) * BLOCK_BITS]) for j in range(BLOCKS)], 1)
-                near = (code[:, :, None] ^ flips) | (np.arange(BLOCKS)[None, :, None] << BLOCK_BITS)
-                per = near.shape[1] * near.shape[2]
-                cols = {"block": near.ravel().astype(np.int32), "mark": np.repeat(check, per).astype(np.int32), "id": np.repeat(ids[rest[k : k + 1000]], per)}
-                yield pa.RecordBatch.from_pydict(cols)
+                at = rest[k : k + 1000]
+                code, check = grouped_fingerprints(*flatten(w[k : k + 1000]), groups, many, GROUP_BITS, CHECK_BITS, seed)
+                yield {"key": code.ravel(), "id": np.repeat(ids[at], many), "side": np.repeat(side[at], many), **{f"m{j + 1}": np.repeat(check[:, j], many) for j in range(2)}}
+
+    def limited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return crowds(codes(batches), 1 << 62 if hot is None else hot)
 
-    return sets.select("k1", "w0").mapInArrow(codes, "block int, mark int, id bigint")
+    return sets.select("k1", "w0", F.col("eval").alias("side")).mapInArrow(limited, "key bigint, id bigint, side boolean, m1 bigint, m2 bigint")
 
 
-def overlap_classes(df: DataFrame, key: str, text: str, split: str, train: str = "train", source: str | None = None) -> tuple[DataFrame, DataFrame]:
+def overlap_classes(df: DataFrame, key: str, text: str, split: str, train: str = "train", source: str | None = None, hot: int = 64) -> tuple[DataFrame, DataFrame]:
     """(members, matches) of classes across splits.
 
     members: (id, eval, k1, k2, ...) of all records that have words; matches: (a1, a2, b1, b2,
@@ -50,11 +70,15 @@ def overlap_classes(df: DataFrame, key: str, text: str, split: str, train: str =
     """
     keep = {"eval": F.col(split) != train, "split": F.col(split)} | ({"source": F.col(source)} if source else {})
     members = set_table(df.where(F.col(split).isNotNull()), key, [text], **keep)
-    held, trained = members.where("eval"), members.where("not eval")
-    left = _blocks(held, True).select("block", F.col("mark").alias("m"), F.col("id").alias("a"))
-    right = _blocks(trained, False).select("block", "mark", F.col("id").alias("b"))
-    near = F.bit_count(F.col("m").bitwiseXOR(F.col("mark"))) <= CHECK_RADIUS
-    candidates = left.join(right, (left.block == right.block) & near).select("a", "b").distinct()
+    groups, many = layout(members.where("eval").count())
+
+    def refine(ids: DataFrame, level: int) -> DataFrame:
+        own = members.join(ids, members.k1 == ids.id, "left_semi")
+        return _codes(own, SUB_GROUPS, SUB_SEGMENTS, 100 + level).select("id", F.col("key").alias("sub")).distinct()
+
+    differ = F.bit_count(F.col("x_m1").bitwiseXOR(F.col("y_m1"))) + F.bit_count(F.col("x_m2").bitwiseXOR(F.col("y_m2")))
+    across = F.col("x_side") & ~F.col("y_side") & (differ <= CHECK_RADIUS)
+    candidates = Buckets(lambda most: _codes(members, groups, many, 1, most), refine, across, hot).pairs().distinct()
     return members, cut(verified(candidates, members, 1), "matches")
 
 

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.llm.words import WordHashes, word_set
@@ -139,28 +140,129 @@ def verified(pairs: DataFrame, members: DataFrame, fields: int, share: tuple[int
     return joined.where(ok).select(F.col("a").alias("a1"), F.col("sa.k2").alias("a2"), F.col("b").alias("b1"), F.col("sb.k2").alias("b2"), least.alias("sim"))
 
 
-def bucket_pairs(keys: DataFrame, refine: Callable[[DataFrame, int], DataFrame], hot: int = 64, level: int = 0, deepest: int = 2) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of ids that share a key.
+def crowds(rows: Iterator[dict[str, np.ndarray]], hot: int, most: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """Rows with a key and an id as batches of about ``most``; of a key with more than ``hot`` of them only one row with a null id.
 
-    keys: (key, id).  One shuffle brings the rows of a key together.  A bucket of more than
-    ``hot`` ids is not paired: ``refine`` gives further keys to its ids, each independent of
-    the first, and only ids that share one of these too are paired, up to ``deepest``
-    levels.  So a bucket of many unlike texts doesn't emit all its pairs, none is dropped,
-    and what remains at the last level shares all coordinates of three sketches.
+    So a key that very many rows have sends few rows of each batch through the shuffle that
+    finds out about it; its rows are computed again once it is known.
     """
-    from pyspark.sql import Window as W
-
-    spread = keys.repartition("key").dropDuplicates(["key", "id"])
-    sized = spread.withColumn("_n", F.count("*").over(W.partitionBy("key"))).where("_n > 1")
-    sized = cut(sized, f"buckets{level}")  # most keys have one id, so little is left, and it is read more than once
-    small = sized if level == deepest else sized.where(F.col("_n") <= hot)
-    a, b = small.select("key", F.col("id").alias("a")), small.select("key", F.col("id").alias("b"))
-    pairs = a.join(b, "key").where("a < b").select("a", "b")
-    if level == deepest:
-        return pairs
-    crowded = sized.where(F.col("_n") > hot).select("key", "id")
-    if not crowded.isEmpty():
-        more = refine(crowded.select("id").distinct(), level + 1)
-        finer = crowded.join(more, "id").select(F.xxhash64("key", "sub").alias("key"), "id")
-        pairs = pairs.unionByName(bucket_pairs(finer, refine, hot, level + 1, deepest))
-    return pairs
+
+    def flush(held: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
+        cols = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+        _, first, inverse, n = np.unique(cols["key"], return_index=True, return_inverse=True, return_counts=True)
+        few = n[inverse] <= hot
+        few[first] = True
+        return pa.RecordBatch.from_pydict({c: pa.array(v[few], mask=(n[inverse] > hot)[few] if c == "id" else None) for c, v in cols.items()})
+
+    held, size = [], 0
+    for r in rows:
+        held.append(r)
+        size += len(r["key"])
+        if size >= most:
+            yield flush(held)
+            held, size = [], 0
+    if held:
+        yield flush(held)
+
+
+def in_blocks(rows: DataFrame, keys: list[str], block: int = 512) -> tuple[DataFrame, DataFrame, Column]:
+    """Two copies x, y of rows (keys, id, n, ...) and the condition of their join: all pairs within a key, in blocks of about ``block``².
+
+    n: how many rows the key has.  A row comes once for each block of its key, so a key of
+    any size is spread over as many tasks as it has pairs of blocks.  The condition holds
+    once for each ordered pair of rows; which of the two orders is wanted the caller adds.
+    """
+    k = F.ceil(F.col("n") / block).cast("int")
+    own = rows.withColumn("_b", F.pmod(F.xxhash64("id"), k).cast("int"))
+    each = own.withColumn("_o", F.explode(F.sequence(F.lit(0), k - 1))).withColumn("_u", F.least("_b", "_o")).withColumn("_v", F.greatest("_b", "_o"))
+    x, y = (each.select(*[F.col(c).alias(f"{side}_{c}") for c in (*rows.columns, "_b", "_u", "_v")]) for side in "xy")
+    on = (F.col("x__u") == F.col("y__u")) & (F.col("x__v") == F.col("y__v")) & ((F.col("x__u") == F.col("x__v")) | (F.col("x__b") != F.col("y__b")))
+    for c in keys:
+        on = on & (F.col(f"x_{c}") == F.col(f"y_{c}"))
+    return x, y, on
+
+
+class Buckets:
+    """Candidate pairs (a, b) of ids that share a key, whatever the number of ids of a key.
+
+    keys(hot): (key, id, ...) in which a crowded key may have rows with a null id instead of
+    its own (``crowds``); with hot None all rows.  refine(ids, level): (id, sub), further
+    keys of ids that crowd, independent of the first.  pair: the condition on the rows x and
+    y of a pair.  Ids of a bucket of more than ``hot`` are candidates only if they share one
+    of the further keys too, up to ``deepest`` levels; what then still crowds is paired in
+    blocks.  No pair is dropped but those that share no further key.
+    """
+
+    def __init__(self, keys: Callable[[int | None], DataFrame], refine: Callable[[DataFrame, int], DataFrame], pair: Column, hot: int = 64, deepest: int = 2) -> None:
+        self.keys, self.refine, self.pair, self.hot, self.deepest = keys, refine, pair, hot, deepest
+
+    def first(self) -> tuple[DataFrame, DataFrame | None]:
+        """(sized rows of the small buckets, all rows of the crowded ones), the second None if there are none."""
+        rows = self.keys(self.hot)
+        spread = rows.repartition("key").dropDuplicates(["key", "id", *[c for c in rows.columns if c == "side"]])
+        w = W.partitionBy("key")
+        sized = spread.withColumn("n", F.count("*").over(w) + F.when(F.count("*").over(w) > F.count("id").over(w), self.hot).otherwise(0)).where("n > 1")
+        sized = cut(sized, "buckets")  # most keys have one id, so little is left, and it is read more than once
+        full = sized.where(F.col("n") > self.hot).select("key").distinct()
+        if full.isEmpty():
+            return sized, None
+        every = self.keys(None).join(full, "key", "left_semi")
+        return sized.where(F.col("n") <= self.hot), cut(every.distinct(), "crowded")
+
+    def finer(self, crowded: DataFrame, level: int) -> tuple[DataFrame, DataFrame | None]:
+        """The same one level further; sizes are counted by an aggregation before rows are brought together."""
+        more = self.refine(crowded.select("id").distinct(), level)
+        rest = [c for c in crowded.columns if c not in ("key", "id", "n")]
+        rows = cut(crowded.join(more, "id").select(F.xxhash64("key", "sub").alias("key"), "id", *rest).distinct(), "finer")
+        sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        sized = cut(rows.join(sizes, "key"), "buckets")
+        full = sized.where(F.col("n") > self.hot)
+        return sized.where(F.col("n") <= self.hot), None if full.isEmpty() else full
+
+    def within(self, sized: DataFrame) -> DataFrame:
+        x, y, on = in_blocks(sized, ["key"])
+        return x.join(y, on & self.pair).select(F.col("x_id").alias("a"), F.col("y_id").alias("b"))
+
+    def small(self, sized: DataFrame) -> DataFrame:
+        x, y = (sized.select(*[F.col(c).alias(f"{side}_{c}") for c in sized.columns]) for side in "xy")
+        return x.join(y, (F.col("x_key") == F.col("y_key")) & self.pair).select(F.col("x_id").alias("a"), F.col("y_id").alias("b"))
+
+    def pairs(self) -> DataFrame:
+        """All candidate pairs; one may come several times."""
+        sized, crowded = self.first()
+        out, level = self.small(sized), 1
+        while crowded is not None:
+            sized, crowded = self.finer(crowded, level)
+            out = out.unionByName(self.small(sized))
+            if crowded is not None and level == self.deepest:
+                return out.unionByName(self.within(crowded))
+            level += 1
+        return out
+
+    def links(self, check: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, list[DataFrame]]:
+        """(candidate pairs, checked matches) that connect the same ids as all pairs do, for groups.
+
+        check(pairs): the matches (a1, a2, b1, b2, sim) of candidate pairs.  Of a crowded bucket one
+        id is held against all others first.  Those that match it are in one group, so their
+        pairs among themselves aren't needed; a family of a template thus costs one check an id.
+        Only pairs with an id that doesn't match are looked for on the next level.
+        """
+        sized, crowded = self.first()
+        out, found, level = self.small(sized), [], 1
+        while crowded is not None:
+            own = crowded.select("key", "id")
+            star = own.join(own.groupBy("key").agg(F.min_by("id", F.xxhash64("id", F.lit(level))).alias("a")), "key").where("a != id")
+            star = cut(star.select("key", "a", F.col("id").alias("b")), "star")
+            met = cut(check(star.select("a", "b").distinct()), "met")
+            found.append(met)
+            unlike = cut(star.join(met.select(F.col("a1").alias("a"), F.col("b1").alias("b")).distinct(), ["a", "b"], "left_anti").select("key", F.col("b").alias("id")), "unlike")
+            if unlike.isEmpty():
+                return out, found
+            again = own.join(unlike.select("key").distinct(), "key", "left_semi").join(unlike.withColumn("odd", F.lit(True)), ["key", "id"], "left")
+            sized, crowded = self.finer(again.withColumn("odd", F.coalesce("odd", F.lit(False))), level)
+            some = F.col("x_odd") | F.col("y_odd")
+            out = out.unionByName(Buckets(self.keys, self.refine, self.pair & some).small(sized))
+            if crowded is not None and level == self.deepest:
+                return out.unionByName(Buckets(self.keys, self.refine, self.pair & some).within(crowded)), found
+            level += 1
+        return out, found

@@ -27,32 +27,41 @@ def flatten(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(sets) if sets else np.empty(0, np.uint64)), np.concatenate(([0], np.cumsum(lens)[:-1])).astype(np.int64)
 
 
-def bit_fingerprints(flat: np.ndarray, starts: np.ndarray, bits: int, seed: int = 1) -> np.ndarray:
-    """(sets, bits) of 0 and 1: each bit is one bit of a min-wise hash of the set.
-
-    Two sets of Jaccard similarity J agree in a bit with probability (1 + J) / 2, so the
-    Hamming distance of two fingerprints measures their similarity.
+def grouped_fingerprints(flat: np.ndarray, starts: np.ndarray, groups: int, segments: int, bits: int, check: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """((sets, segments) codes, (sets, check / 64) words of check bits) of bit fingerprints.
+
+    Each bit is a bit of a min-wise hash of the set, so two sets of Jaccard similarity J agree
+    in it with probability (1 + J) / 2 and their Hamming distance measures their similarity.
+    A hash gives a group of ``bits`` neighbouring bits to a segment, which two sets agree in
+    with probability J and a little, and one more bit to the check bits, as long as these last.
+    A code is the hash of a segment's number and of its groups.
     """
-    out = np.empty((len(starts), bits), np.uint8)
-    if not len(starts):
-        return out
+    n = len(starts)
+    codes, checks = np.empty((n, segments), np.uint64), np.zeros((n, check), np.uint8)
     low = (flat ^ (flat >> _U(32))).astype(np.uint32)
+    of = seeds(max(groups * segments, check), seed)
     with np.errstate(over="ignore"):
-        for j, s in enumerate(seeds(bits, seed)):
-            s = int(s)
-            h = low * np.uint32(s & 0xFFFFFFFF | 1)
-            h += np.uint32(s >> 32)
-            h ^= h >> np.uint32(15)
-            least = np.minimum.reduceat(h, starts)
-            least *= np.uint32(0x9E3779B1)
-            out[:, j] = (least >> np.uint32(31)).astype(np.uint8)
-    return out
-
-
-def pack(bits: np.ndarray) -> np.ndarray:
-    """The columns of (sets, k <= 31) bits as one number, the first column highest."""
-    weights = (1 << np.arange(bits.shape[1])[::-1]).astype(np.int64)
-    return bits.astype(np.int64) @ weights
+        for j in range(segments if n else 0):
+            code = np.full(n, j + 1, np.uint64)
+            for g in range(groups):
+                least = _least(low, starts, int(of[j * groups + g]))
+                code = _mix(code * _U(0x9E3779B97F4A7C15) + (least >> np.uint32(32 - bits)).astype(np.uint64))
+                if j * groups + g < check:
+                    checks[:, j * groups + g] = (least >> np.uint32(31 - bits)).astype(np.uint8) & 1
+            codes[:, j] = code
+        for j in range(groups * segments, check if n else 0):
+            checks[:, j] = (_least(low, starts, int(of[j])) >> np.uint32(31)).astype(np.uint8)
+    return codes.view(np.int64), np.packbits(checks, axis=1).view(np.int64)
+
+
+def _least(low: np.ndarray, starts: np.ndarray, s: int) -> np.ndarray:
+    """The mixed least hash of each set."""
+    h = low * np.uint32(s & 0xFFFFFFFF | 1)
+    h += np.uint32(s >> 32)
+    h ^= h >> np.uint32(15)
+    least = np.minimum.reduceat(h, starts)
+    least *= np.uint32(0x9E3779B1)
+    return least
 
 
 def similarity_sketch(flat: np.ndarray, starts: np.ndarray, t: int, seed: int = 1) -> np.ndarray:

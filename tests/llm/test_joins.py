@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import leak, neardup, overlap, setjoin
 from corpusloom.llm.components import components
-from corpusloom.llm.sketch import band_keys, bit_fingerprints, flatten, similarity_sketch
+from corpusloom.llm.sketch import band_keys, flatten, grouped_fingerprints, similarity_sketch
 from corpusloom.llm.words import words
 
 VOCABULARY = [f"{a}{b}{c}" for a in "абвгд" for b in "еёиоу" for c in "клмнпрст"]
@@ -99,15 +99,92 @@ def test_empty_and_repeated_rows(spark, records):
 def test_crowded_buckets_lose_nothing(spark, records):
     data, df = records
     members = setjoin.set_table(df, "pos", ["query", "positive"])
-    keys = members.select(F.lit(7).cast("bigint").alias("key"), F.col("k1").alias("id"))  # one bucket for all
+    found, every = (neardup.buckets(members, 2, hot) for hot in (20, 10**9))
+    for b in (found, every):  # one bucket for all
+        b.keys = lambda most: members.select(F.lit(7).cast("bigint").alias("key"), F.col("k1").alias("id"))
+    found, every = (setjoin.verified(b.pairs().distinct(), members, 2).count() for b in (found, every))
+    assert found >= 0.99 * every > 0
 
-    def refine(ids, level):
-        own = members.join(ids, members.k1 == ids.id, "left_semi")
-        return neardup._keys(own, 2, neardup.SUB_BANDS, neardup.SUB_ROWS, 100 + level).select("id", F.col("key").alias("sub"))
 
-    found = setjoin.verified(setjoin.bucket_pairs(keys, refine, hot=20).distinct(), members, 2).count()
-    every = setjoin.verified(setjoin.bucket_pairs(keys, refine, hot=10**9).distinct(), members, 2).count()
-    assert found >= 0.99 * every > 0
+def family(spark, n, unlike=0):
+    """Texts of one template that differ in two words of thirty, and some others that share half of it."""
+    rng = random.Random(3)
+    base = VOCABULARY[:30]
+    rows = []
+    for i in range(n + unlike):
+        w = list(base)
+        for _ in range(2 if i < n else 15):
+            w[rng.randrange(30)] = f"слово{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w), "test" if i % 9 == 0 else "train", "s"))
+    return spark.createDataFrame(rows, "pos bigint, query string, split string, source string")
+
+
+def test_a_family_costs_one_check_a_text(spark, monkeypatch):
+    df = family(spark, 3000, 30)
+    checked = []
+    real = neardup.verified
+
+    def spy(pairs, members, n):
+        checked.append(pairs.count())
+        return real(pairs, members, n)
+
+    monkeypatch.setattr(neardup, "verified", spy)
+    got = neardup.near_groups(df, "pos", ["query"]).toPandas()
+    assert (got["group_id"][got["pos"] < 3000] == 0).all() and len(got) == 3030
+    assert sum(checked) < 3030 * neardup.BANDS * 8  # all pairs are four and a half millions
+
+
+def test_groups_of_families_against_all_pairs(spark):
+    df = family(spark, 150, 150)
+    rows = [(r["pos"], set(words(r["query"]))) for r in df.collect()]
+    parent = {p: p for p, _ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, (p, a) in enumerate(rows):
+        for q, b in rows[i + 1 :]:
+            if 3 * len(a & b) >= 2 * len(a | b):
+                x, y = sorted((find(p), find(q)))
+                parent[y] = x
+    got = {r["pos"]: r["group_id"] for r in neardup.near_groups(df, "pos", ["query"]).collect()}
+    assert sum(got[p] == find(p) for p, _ in rows) >= 299
+    pairs = {tuple(r) for r in overlap.overlap_classes(df, "pos", "query", "split", hot=8)[1].select("a1", "b1").collect()}
+    every = {tuple(r) for r in overlap.overlap_classes(df, "pos", "query", "split", hot=10**9)[1].select("a1", "b1").collect()}
+    assert pairs <= every and len(pairs) >= 0.99 * len(every) > 0
+
+
+def test_pairs_in_blocks(spark):
+    rows = [(k, i) for k, n in ((1, 40), (2, 1), (3, 7)) for i in range(100 * k, 100 * k + n)]
+    df = spark.createDataFrame(rows, "key bigint, id bigint")
+    x, y, on = setjoin.in_blocks(df.join(df.groupBy("key").agg(F.count("*").alias("n")), "key"), ["key"], block=6)
+    got = [tuple(r) for r in x.join(y, on & (F.col("x_id") < F.col("y_id"))).select("x_id", "y_id").collect()]
+    want = {(a, b) for k, a in rows for m, b in rows if k == m and a < b}
+    assert set(got) == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize(("shared", "least"), [((20, 30), 0.9), ((21, 30), 0.93), ((24, 32), 0.98), ((24, 30), 0.99)])
+def test_recall_at_the_threshold(spark, shared, least):
+    """Pairs of a given similarity, far from all others: at 2/3, 0.7, 0.75 and 0.8."""
+    rng = np.random.default_rng(shared[0] * shared[1])
+    both, either = shared
+    left = (either - both) // 2
+    rows = []
+    for i in range(600):
+        w = [f"w{x}" for x in rng.integers(0, 10**8, either)]
+        rows += [(2 * i, " ".join(w[: both + left]), "train"), (2 * i + 1, " ".join(w[:both] + w[both + left :]), "test")]
+    df = spark.createDataFrame(rows, "pos bigint, query string, split string")
+    for got in (overlap.overlap_pairs(df, "pos", "query", "split"), neardup.near_pairs(df, "pos", ["query"])):
+        assert sum(b == a + 1 and a % 2 == 0 for a, b in got.collect()) / 600 >= least
+
+
+def test_layout_keeps_the_recall():
+    for n in (0, 10**6, 10**9, 10**12):
+        groups, many = overlap.layout(n)
+        assert 1 - (1 - (2 / 3) ** groups) ** many >= overlap.RECALL and n * many * overlap.BACKGROUND**groups <= 1
+    assert overlap.layout(1000) == (6, 29) and overlap.layout(10**9)[0] > 6
 
 
 def test_long_texts_and_ties(spark):
@@ -135,8 +212,9 @@ def test_sketches_estimate_similarity():
         j = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
         s = similarity_sketch(*flatten([a, b]), 600)
         assert (s != np.iinfo(np.uint64).max).all() and abs((s[0] == s[1]).mean() - j) < 0.07
-        bits = bit_fingerprints(*flatten([a, b]), 1200)
-        assert abs((bits[0] == bits[1]).mean() - (1 + j) / 2) < 0.05
+        codes, check = grouped_fingerprints(*flatten([a, b]), 1, 600, 8, 1280)
+        bits = np.unpackbits(check.view(np.uint8), axis=1)
+        assert abs((bits[0] == bits[1]).mean() - (1 + j) / 2) < 0.05 and abs((codes[0] == codes[1]).mean() - j) < 0.07
     tiny = similarity_sketch(*flatten([np.array([5], np.uint64)]), 50)
     assert (tiny != np.iinfo(np.uint64).max).all()
     assert band_keys(tiny, 5).shape == (1, 10)
