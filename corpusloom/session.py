@@ -76,11 +76,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` where the cluster names one.
 
-    Only where it is unset, as in tests on one machine, a temporary folder is made and set.
+    Only where it is unset and the master is local, as in tests on one machine, a temporary
+    folder is made and set; on a cluster an unset folder is an error, since the executors
+    would each write to a disk of their own.
     """
     key = "spark.checkpoint.dir"
     found = spark.sparkContext.getConf().get(key) or spark.conf.get(key, None)
     if not found:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise RuntimeError(f"{key} names no folder that all executors share")
         local = tempfile.mkdtemp(prefix="corpusloom-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         found = "file://" + local
