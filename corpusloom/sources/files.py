@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
+from pyarrow import fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,14 +32,14 @@ def read_text_tree(spark: SparkSession, root: str, pattern: str = "*.txt") -> Da
 
 def read_arrow(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Arrow files, each opened where it is read and handed on batch by batch (S10); all have the schema of the first."""
-    with pa.OSFile(paths[0]) as f:
+    with _input(paths[0]) as f:
         first = _open(f).schema
     kinds = T.StructType(spark.createDataFrame(first.empty_table()).schema.fields)
 
     def load(batches):
         for b in batches:
             for path in b.column(0).to_pylist():
-                with pa.OSFile(path) as f:
+                with _input(path) as f:
                     reader = _open(f)
                     yield from (reader.get_batch(i) for i in range(reader.num_record_batches)) if hasattr(reader, "num_record_batches") else reader
 
@@ -46,6 +47,24 @@ def read_arrow(spark: SparkSession, paths: list[str]) -> DataFrame:
     return names.mapInArrow(load, kinds)
 
 
+def _input(path: str):
+    """A file of any file system that Arrow knows; a path without scheme is local."""
+    if "://" not in path and not path.startswith("file:"):
+        return pa.OSFile(path)
+    system, place = pa_fs.FileSystem.from_uri("file://" + path.removeprefix("file:").removeprefix("//") if path.startswith("file:") else path)
+    return system.open_input_file(place)
+
+
+def put(spark: SparkSession, path: str, content: bytes | str) -> None:
+    """One small file in any file system that Spark knows; one that is there is replaced."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(content.encode() if isinstance(content, str) else content))
+    finally:
+        out.close()
+
+
 def _open(f):
     try:
         return pa.ipc.open_file(f)

@@ -48,8 +48,7 @@ class _Reader(DataSourceReader):
         seen: set[str] = set()
         while url and url not in seen and left < most:
             seen.add(url)
-            with urllib.request.urlopen(url, timeout=60) as r:  # noqa: S310
-                page = json.load(r)
+            page = json.loads(_read(url))
             for item in _at(page, self.options.get("items", "results")) or []:
                 if left >= most:
                     return
@@ -58,14 +57,24 @@ class _Reader(DataSourceReader):
             after = _at(page, self.options.get("next", "meta.next_cursor"))
             if not after:
                 return
-            if url.startswith("file:"):
-                url = urllib.parse.urljoin(url, str(after))
+            if not url.startswith(("http:", "https:")):
+                url = f"{url.rpartition('/')[0]}/{after}"
             else:
                 parts = urllib.parse.urlsplit(partition.url)
                 query = dict(urllib.parse.parse_qsl(parts.query)) | {self.options.get("cursor", "cursor"): str(after)}
                 url = urllib.parse.urlunsplit(parts._replace(query=urllib.parse.urlencode(query)))
 
 
+def _read(url: str) -> bytes:
+    if url.startswith(("http:", "https:")):
+        with urllib.request.urlopen(url, timeout=60) as r:  # noqa: S310
+            return r.read()
+    from corpusloom.sources.files import _input
+
+    with _input(url) as f:
+        return f.read()
+
+
 def _at(page: object, path: str) -> object:
     for name in path.split("."):
         page = page.get(name) if isinstance(page, dict) else None
