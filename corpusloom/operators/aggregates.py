@@ -136,28 +136,24 @@ def apportion(weights: DataFrame, group: str, weight: str, total: int, order: st
     return r.withColumn("_r", rank).select(group, (F.col("_f") + (F.col("_r") <= F.col("_left")).cast("int")).cast("bigint").alias("quota"))
 
 
-def cap_and_redistribute(targets: dict[str, int], pools: dict[str, int]) -> dict[str, int]:
-    """Quotas clipped to the pools; what is missing goes one by one to the group with most slack, then the least name.
+def cap_and_redistribute(groups: DataFrame, group: str, target: str, pool: str) -> DataFrame:
+    """(group, quota): targets clipped to the pools; what is missing goes one by one to every group with room, pass after pass.
 
-    Works on one number a group, whole levels at a time, so the size of the pools doesn't matter.
+    The last pass may not reach all: those with most room left come first, then by name.  The
+    passes are counted and not walked: with the rooms in order, L whole passes give each
+    group min(room, L).  groups: one row a group, a small table; null numbers count as 0.
     """
-    out = {g: min(t, pools.get(g, 0)) for g, t in targets.items()}
-    missing = min(sum(targets.values()), sum(min(pools.get(g, 0), 1 << 62) for g in targets)) - sum(out.values())
-    slack = {g: pools.get(g, 0) - out[g] for g in out}
-    low, high = 0, max(slack.values(), default=0)
-    while low < high:  # the lowest level to which the slack may be brought down
-        level = (low + high) // 2
-        if sum(max(0, s - level) for s in slack.values()) <= missing:
-            high = level
-        else:
-            low = level + 1
-    for g, s in slack.items():
-        give = max(0, s - low)
-        out[g] += give
-        missing -= give
-    for g in sorted(g for g in slack if slack[g] >= low and low > 0)[:missing]:
-        out[g] += 1
-    return out
+    whole = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(0)), F.lit(0)).cast("bigint")
+    clipped = groups.select(group, whole(target).alias("_t"), whole(pool).alias("_p")).withColumn("_q", F.least("_t", "_p")).withColumn("_room", F.col("_p") - F.col("_q"))
+    every, before = W.partitionBy(), W.orderBy("_room", group).rowsBetween(W.unboundedPreceding, -1)
+    s = clipped.withColumn("_missing", F.least(F.sum("_t").over(every), F.sum("_p").over(every)) - F.sum("_q").over(every))
+    s = s.withColumn("_smaller", F.coalesce(F.sum("_room").over(before), F.lit(0))).withColumn("_from", F.count("*").over(every) - F.count("*").over(before))
+    s = s.withColumn("_full", F.col("_smaller") + F.col("_room") * F.col("_from") <= F.col("_missing"))  # so many passes fill the group
+    left, many = F.col("_missing") - F.sum(F.when(F.col("_full"), F.col("_room")).otherwise(0)).over(every), F.count_if(~F.col("_full")).over(every)
+    s = s.withColumn("_passes", F.when(F.col("_full"), F.col("_room")).otherwise(F.floor(left / F.greatest(many, F.lit(1)))))
+    s = s.withColumn("_rest", F.col("_missing") - F.sum("_passes").over(every)).withColumn("_more", F.col("_room") - F.col("_passes"))
+    last = F.row_number().over(W.orderBy(F.desc("_more"), group)) <= F.col("_rest")
+    return s.select(group, (F.col("_q") + F.col("_passes") + last.cast("int")).cast("bigint").alias("quota"))
 
 
 def case(pairs: list[tuple[Column, object]], other: object = None) -> Column:

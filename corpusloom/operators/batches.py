@@ -70,10 +70,13 @@ def hierarchical(df: DataFrame, key: str, outer: str, inner: str, inners: int, r
     both = df.where(F.col(outer).isNotNull() & F.col(inner).isNotNull()).withColumn("_p", F.struct(outer, inner).cast("string"))
     ranked = _ranked(both, key, "_p", seed).join(both.select(F.col(key).alias("_key"), outer, inner), F.col(key) == F.col("_key"))
     groups = ranked.where(F.col("i") < F.floor(F.col("n") / records) * records).withColumn("_chunk", F.floor(F.col("i") / records))
-    cells = groups.select(outer, inner, "_chunk").distinct().withColumn("_c", F.row_number().over(W.partitionBy(outer).orderBy("_chunk", inner)) - 1)
-    full = cells.withColumn("_n", F.count("*").over(W.partitionBy(outer))).where(F.col("_c") < F.floor(F.col("_n") / inners) * inners)
-    firsts = full.select(outer, F.floor(F.col("_c") / inners).alias("_b")).distinct()
-    ids = firsts.withColumn("batch_id", (F.row_number().over(W.orderBy("_b", outer)) - 1).cast("bigint"))
+    range_of = lambda c: F.floor(F.col(c) / 1000)  # noqa: E731  -- neighbouring numbers are ranked in one task, not all
+    chunks = groups.select(outer, inner, "_chunk").distinct().withColumn("_range", range_of("_chunk"))
+    cells = numbered(chunks, [outer], "_range", ["_chunk", inner], "_c").drop("_range")
+    sizes = cells.groupBy(F.col(outer).alias("_outer")).agg(F.count("*").alias("_n"))
+    full = cells.join(sizes, F.col(outer) == F.col("_outer")).drop("_outer").where(F.col("_c") < F.floor(F.col("_n") / inners) * inners)
+    firsts = full.select(outer, F.floor(F.col("_c") / inners).alias("_b")).distinct().withColumn("_all", F.lit(0)).withColumn("_range", range_of("_b"))
+    ids = numbered(firsts, ["_all"], "_range", ["_b", outer], "batch_id").drop("_all", "_range")
     j = groups.join(full, [outer, inner, "_chunk"]).withColumn("_b", F.floor(F.col("_c") / inners)).join(ids, [outer, "_b"])
     return j.select("batch_id", (F.pmod("_c", F.lit(inners)) * records + F.pmod("i", F.lit(records))).alias("slot"), outer, inner, key)
 

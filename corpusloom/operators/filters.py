@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
@@ -58,10 +59,22 @@ def window(df: DataFrame, x: str, chars: tuple[int, int] | None = None, words: t
     return df
 
 
-def social_ok(x: str, cyrillic: float = 0.5, mentions: int = 2) -> Column:
-    """Mostly Cyrillic, no character six times in a row, few mentions and links (P5)."""
+#: Marks of careless writing in social texts: smileys, brackets and exclamation marks in a row.
+INFORMAL = r"[:;]-?[)(DP]|\)\)+|\(\(+|!!+|\?\?+"
+
+
+def social_ok(x: str, chars: tuple[int, int] = (24, 220), words: tuple[int, int] = (4, 40), cyrillic: float = 0.6, keep_informal: bool = True) -> Column:
+    """Whether a social text is fit for use (P5): lengths inside the windows, mostly Cyrillic letters, no character seven times in a row.
+
+    A link in fewer than seven words is out, and so are three mentions in fewer than eight.
+    Texts at the lower end of the words are in only if they are informal.
+    """
     c = F.col(x)
-    return F.coalesce((X.cyrillic_ratio(c) >= cyrillic) & ~c.rlike(r"(.)\1{5,}") & (F.regexp_count(c, F.lit(r"@[\p{L}\p{N}_]+|https?://")) <= mentions), F.lit(False))
+    n, count = X.word_count(c), lambda p: F.regexp_count(c, F.lit(p))
+    ok = F.length(c).between(*chars) & n.between(*words) & (X.cyrillic_ratio(c) >= cyrillic) & ~c.rlike(r"(?s)(.)\1{6,}")
+    ok = ok & ~((count(r"https?://|www\.") > 0) & (n < 7)) & ~((count(r"@[\p{L}\p{N}_]+") >= 3) & (n < 8))
+    informal = F.lit(keep_informal) & c.rlike(INFORMAL)
+    return F.coalesce(ok & (informal | (n > words[0])), F.lit(False))
 
 
 def neutral_ok(x: str, least: int = 80, alpha: float = 0.58) -> Column:
@@ -113,13 +126,17 @@ def valid_tag(tag: Column, noise: list[str], least: int = 3) -> Column:
     return F.coalesce(flat.rlike(r"\p{IsCyrillic}") & ~flat.rlike(r"^[0-9\-–]+( г(од|ода)?\.?)?$") & ~flat.isin(noise) & (F.length(flat) >= least), F.lit(False))
 
 
-def templates(form: str, *slots: DataFrame) -> DataFrame:
+def templates(form: str, *slots: DataFrame, most: int = 10_000_000) -> DataFrame:
     """(text): the template filled with every combination of the slots' values.
 
     The slots are small tables of constants; each is read once and joined by a broadcast
-    product, which is what the operator asks for.
+    product, which is what the operator asks for.  Their rows are counted first: more than
+    ``most`` combinations, or 100,000 values of a slot, are an error.
     """
     if any(len(s.columns) != 1 for s in slots):
         raise ValueError("a slot has one column")
+    sizes = [s.count() for s in slots]
+    if math.prod(sizes) > most or max(sizes, default=0) > 100_000:
+        raise ValueError(f"the slots have {sizes} values")
     product = reduce(lambda a, b: a.crossJoin(b), [s.toDF(f"_{i}") for i, s in enumerate(slots)])
     return product.select(F.format_string(form, *[F.col(f"_{i}") for i in range(len(slots))]).alias("text")).distinct()

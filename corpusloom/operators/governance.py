@@ -52,6 +52,18 @@ def main_scores(results: DataFrame, task: str = "task_name", scores: str = "scor
     return results.select(task, mean(each).alias("mean_score"), first.alias("first_score"))
 
 
+def result_summary(results: DataFrame, task: str, score: str, rules: list[tuple[str, str]], contaminated: DataFrame) -> DataFrame:
+    """(scope, category, tasks, mean, worst_task): averages over the tasks with a score, all, clean and contaminated ones, by category and over all (M5).
+
+    contaminated: (task, ...), the tasks that training data contaminate.  Null and NaN scores are none.
+    """
+    bad = contaminated.select(F.col("task").alias("_bad")).distinct()
+    rows = results.where(F.col(score).isNotNull() & ~F.isnan(score)).join(bad, F.col(task) == F.col("_bad"), "left")
+    scopes = F.array(F.lit("all"), F.when(F.col("_bad").isNull(), "clean").otherwise("contaminated"))
+    each = rows.select(F.explode(scopes).alias("scope"), F.explode(F.array(F.lit("all"), category(F.col(task), rules))).alias("category"), F.col(task).alias("_t"), F.col(score).alias("_s"))
+    return each.groupBy("scope", "category").agg(F.count("*").alias("tasks"), F.avg("_s").alias("mean"), F.min_by("_t", F.struct("_s", "_t")).alias("worst_task"))
+
+
 def gate(runs: DataFrame, run: str, task: str, delta: str, worst: float = -0.01, mean: float = 0.0) -> DataFrame:
     """(run, tasks, mean_delta, worst_delta, shortfall, promoted, place): runs ranked by what they fall short of (M7).
 

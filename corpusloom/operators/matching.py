@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
@@ -11,7 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
-from corpusloom.operators.ranking import numbered, ordered, others
+from corpusloom.functions import arrow
+from corpusloom.operators.ranking import in_blocks, numbered, ordered, others
 
 #: Characters of the needles that are searched at once, at most: what is sent to the executors stays below 64 MB.
 BLOCK_CHARS = 8_000_000
@@ -38,6 +40,18 @@ def copies(df: DataFrame, row: str, key: str) -> DataFrame:
     return some.join(groups, key).select(row, "first", "n")
 
 
+def digest(key: Column | str) -> Column:
+    """128 bits that stand for a text in a join, so that texts aren't shuffled; null for null."""
+    c = F.col(key) if isinstance(key, str) else key
+    return F.when(c.isNotNull(), F.struct(F.xxhash64(c).alias("a"), F.xxhash64(F.lit(1), c).alias("b")))
+
+
+def hit_by(df: DataFrame, row: str, keys: Column, wanted: DataFrame) -> DataFrame:
+    """(row): the rows of which one of the keys is among those of ``wanted`` (key); keys meet as digests."""
+    each = df.select(row, F.explode(F.transform(keys, digest)).alias("_d")).where("_d IS NOT NULL")
+    return each.join(wanted.select(digest("key").alias("_d")).where("_d IS NOT NULL").distinct(), "_d", "left_semi").select(row).distinct()
+
+
 def keys_of(df: DataFrame, *texts: Column | str) -> DataFrame:
     """(key): the different non-empty values of several text expressions."""
     each = F.array(*[F.col(t) if isinstance(t, str) else t for t in texts])
@@ -47,12 +61,10 @@ def keys_of(df: DataFrame, *texts: Column | str) -> DataFrame:
 def decontaminate(df: DataFrame, row: str, fields: list[Column], keys: DataFrame, empty_is_bad: bool = True) -> DataFrame:
     """Rows of which no field's key is among ``keys`` (J3); rows without any key are dropped too, unless told otherwise.
 
-    One shuffle of (row, key) against the keys, an aggregation to rows, and an anti join on the row id.
+    One shuffle of row ids and digests of keys, an aggregation to rows, and an anti join on the row id.
     """
     present = [F.when(f != "", f) for f in fields]
-    each = df.select(F.col(row), F.explode(F.array_compact(F.array(*present))).alias("key"))
-    bad = each.join(keys, "key", "left_semi").select(row).distinct()
-    out = df.join(bad, row, "left_anti")
+    out = df.join(hit_by(df, row, F.array(*present), keys), row, "left_anti")
     return out.where(F.size(F.array_compact(F.array(*present))) > 0) if empty_is_bad else out
 
 
@@ -184,9 +196,10 @@ def jaccard_pairs(a: DataFrame, b: DataFrame, at_least: float, least: int = 1) -
 
     a: (a_id, words), b: (b_id, words).  Prefix filter: with the words of a set ordered from
     rare to common, two sets that are similar enough share a word among the first
-    n - ceil(t n) + 1 of each.  So only rare words are joined, each with the set itself and
-    its length for the length bound; the similarity is exact, and no candidate is capped.
-    Sets of fewer than ``least`` words match nothing.
+    n - ceil(t n) + 1 of each.  So only rare words are joined, with the length of the set for
+    the length bound; the sets themselves are fetched for the different candidates only.
+    The similarity is exact, and no candidate is capped.  Sets of fewer than ``least`` words
+    match nothing; of rows with the same id any may stand for it.
     """
     sets = [s.select(F.col(i).alias("id"), F.array_distinct("words").alias("words")).where(F.size("words") >= least) for s, i in ((a, "a_id"), (b, "b_id"))]
     often = sets[0].unionByName(sets[1]).select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("f"))
@@ -195,16 +208,32 @@ def jaccard_pairs(a: DataFrame, b: DataFrame, at_least: float, least: int = 1) -
         rare = s.select("id", F.size("words").alias("n"), F.explode("words").alias("w")).join(often, "w")
         ordered = rare.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "w"))).alias("o"), F.first("n").alias("n"))
         length = (F.col("n") - F.ceil(F.col("n") * at_least - 1e-9) + 1).cast("int")
-        return ordered.select(F.col("id").alias(f"{name}_id"), F.transform("o", lambda x: x["w"]).alias(f"{name}_words"), F.explode(F.slice(F.transform("o", lambda x: x["w"]), F.lit(1), length)).alias("w"))
+        return ordered.select(F.col("id").alias(f"{name}_id"), F.col("n").alias(f"{name}_n"), F.explode(F.transform(F.slice("o", F.lit(1), length), lambda x: x["w"])).alias("w"))
 
     left, right = prefixes(sets[0], "a"), prefixes(sets[1], "b")
+    n, m = F.col("a_n"), F.col("b_n")
+    pairs = left.join(right, "w").where((n >= m * at_least - 1e-9) & (m >= n * at_least - 1e-9)).select("a_id", "b_id").distinct()
+    own = [s.select(F.col("id").alias(f"{x}_id"), F.col("words").alias(f"{x}_words")) for s, x in zip(sets, "ab", strict=True)]
+    candidates = pairs.join(own[0], "a_id").join(own[1], "b_id")
     n, m = F.size("a_words"), F.size("b_words")
-    candidates = left.join(right, "w").where((n >= m * at_least - 1e-9) & (m >= n * at_least - 1e-9))
     shared = F.size(F.array_intersect("a_words", "b_words"))
     sim = shared / (n + m - shared)
     return candidates.where(sim >= at_least - 1e-12).select("a_id", "b_id", shared.alias("shared"), sim.alias("sim")).distinct()
 
 
+def refined(pairs: DataFrame, a: DataFrame, b: DataFrame, ratio: float = 92.0, letters: int = 4) -> DataFrame:
+    """The pairs of ``jaccard_pairs`` that share a word of ``letters`` letters and whose texts agree in one of two ratios.
+
+    a: (a_id, a_text), b: (b_id, b_text).  token_set_ratio: shared words and the rest of either
+    side compared; partial_ratio: the shorter text against its best place in the longer.
+    """
+    both = pairs.join(a, "a_id").join(b, "b_id")
+    long_words = lambda c: F.filter(F.split(c, " "), lambda w: F.length(w) >= letters)
+    both = both.where(F.arrays_overlap(long_words(F.col("a_text")), long_words(F.col("b_text"))))
+    both = both.withColumn("token_set", arrow.token_set_ratio("a_text", "b_text")).withColumn("partial", arrow.partial_ratio("a_text", "b_text"))
+    return both.where((F.col("token_set") >= ratio) | (F.col("partial") >= ratio)).drop("a_text", "b_text")
+
+
 def without_flagged(df: DataFrame, flagged: DataFrame, *keys: str) -> DataFrame:
     """Rows that an audit didn't flag."""
     return df.join(flagged.select(*keys), list(keys), "left_anti")
@@ -300,10 +329,14 @@ def label_statements(df: DataFrame, key: str, label: str, labels: DataFrame, for
 
 
 def sharing_labels(df: DataFrame, key: str, labels: str) -> DataFrame:
-    """(a, b, shared): pairs of rows, a < b, that share labels, through the labels and not by all pairs."""
-    each = df.select(F.col(key).alias("a"), F.explode(F.array_distinct(labels)).alias("_l")).where("_l IS NOT NULL")
-    other = each.withColumnRenamed("a", "b")
-    return each.join(other, "_l").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    """(a, b, shared): pairs of rows, a < b, that share labels, through the labels and not by all pairs.
+
+    The pairs are the result; those of one label are made in blocks, so a label that very many
+    rows have is spread over tasks.
+    """
+    each = df.select(F.col(key).alias("id"), F.explode(F.array_distinct(labels)).alias("_l")).where("_l IS NOT NULL")
+    x, y, on = in_blocks(each.join(each.groupBy("_l").agg(F.count("*").alias("n")).where("n > 1"), "_l"), ["_l"])
+    return x.join(y, on & (F.col("x_id") < F.col("y_id"))).groupBy(F.col("x_id").alias("a"), F.col("y_id").alias("b")).agg(F.count("*").alias("shared"))
 
 
 def confusable_negatives(df: DataFrame, key: str, label: str, edges: DataFrame, seed: int, k: int = 1) -> DataFrame:
@@ -318,6 +351,38 @@ def confusable_negatives(df: DataFrame, key: str, label: str, edges: DataFrame,
     return want.join(rows, ["_l", "_i"]).select(key, F.col("_k").alias("negative"))
 
 
+def trigger_records(df: DataFrame, key: str, group: str, neutral: Column, per_group: int, positives: int, negatives: int, seed: int) -> DataFrame:
+    """(group, i, query, positives, negatives): records of neutral rows against rows of the same trigger group.
+
+    The i-th record of a group has its i-th neutral row as query, the next ``positives`` neutral
+    rows of other groups, and as negatives rows that aren't neutral: all but two of the same
+    group, the rest of other groups.  Pools are in seeded order and come again when used up;
+    other groups take turns.  Groups without a neutral or without another row have no records.
+    """
+    rows = df.where(F.col(group).isNotNull()).select(F.col(key).alias("_k"), F.col(group).alias("_g"), F.coalesce(neutral, F.lit(False)).alias("_e")).withColumn("_h", hashed(seed, "_k")).withColumn("_b", F.substring("_h", 1, 2))
+    sizes = rows.groupBy("_g").agg(F.count_if("_e").alias("_n"), F.count_if(~F.col("_e")).alias("_m")).where("_n > 0 AND _m > 0")
+    sizes = sizes.withColumn("_no", (F.row_number().over(W.orderBy("_g")) - 1).cast("bigint"))
+    many = sizes.count()
+    pool = numbered(rows, ["_g", "_e"], "_b", ["_h", "_k"], "_at").select("_g", "_e", "_at", "_k").join(sizes.select("_g", "_no"), "_g")
+    records = sizes.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(per_group - 1)))).withColumnRenamed("_no", "_own")
+
+    def picks(role: str, n: int, same: bool, neutral_ones: bool, step: int) -> DataFrame | None:
+        if n <= 0 or not same and many < 2:
+            return None
+        each = records.select(F.col("_g").alias("_group"), "_own", "i", F.posexplode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_j", "_x")).withColumn("_p", F.col("i").cast("bigint") * step + F.col("_j"))
+        turn = many - 1
+        each = each.withColumn("_no", F.col("_own") if same else others(F.col("_own"), F.pmod(F.col("_p"), F.lit(turn)), many)).withColumn("_p", F.col("_p") if same else F.floor(F.col("_p") / turn))
+        each = each.join(sizes.select("_no", (F.col("_n") if neutral_ones else F.col("_m")).alias("_size")), "_no").withColumn("_at", F.pmod("_p", F.col("_size")))
+        of = pool.where(F.col("_e") == neutral_ones).select("_no", "_at", "_k")
+        return each.join(of, ["_no", "_at"]).select("_group", "i", F.lit(role).alias("_role"), F.lit(0 if same else 1).alias("_s"), "_j", "_k")
+
+    parts = [picks("query", 1, True, True, 1), picks("positive", positives, False, True, positives), picks("negative", max(1, negatives - 2), True, False, negatives), picks("negative", min(2, negatives), False, False, negatives)]
+    every = reduce(lambda a, b: a.unionByName(b), [p for p in parts if p is not None])
+    of = lambda role: F.transform(F.array_sort(F.collect_list(F.when(F.col("_role") == role, F.struct("_s", "_j", "_k")))), lambda x: x["_k"])
+    g = every.groupBy("_group", "i").agg(F.max(F.when(F.col("_role") == "query", F.col("_k"))).alias("query"), of("positive").alias("positives"), of("negative").alias("negatives"))
+    return g.withColumnRenamed("_group", group)
+
+
 def verdict(exact_n: Column, contained_n: Column, lexical_n: Column) -> Column:
     """What an audit concludes, lexical near matches included."""
     return F.when(exact_n + contained_n > 0, "contaminated").when(lexical_n > 0, "near_duplicates").otherwise("clean")
@@ -327,11 +392,17 @@ def sampled_lexical(anchors: DataFrame, pool: DataFrame, key: str, label: str, w
     """(key, other, sim): of a seeded sample of each label's pool the k rows most similar in words.
 
     The sample is the feature: at most ``sample`` rows a label, drawn once and shared by all
-    anchors, so the join is anchors times labels times sample and not all pairs.
+    anchors, so the join is anchors times labels times sample and not all pairs.  For rows of
+    other labels each anchor is given these by name first: an equi-join, whichever is asked.
     """
     own = pool.where(F.col(label).isNotNull() & F.col(words).isNotNull()).select(F.col(key).alias("other"), F.col(label).alias("_l"), F.col(words).alias("_w"))
     few = own.withColumn("_r", F.row_number().over(W.partitionBy("_l").orderBy(hashed(seed, "other"), "other"))).where(F.col("_r") <= sample).drop("_r")
     a = anchors.where(F.col(label).isNotNull() & F.col(words).isNotNull()).select(key, label, F.col(words).alias("_a"))
-    j = a.join(few, (F.col(label) == F.col("_l")) if same else (F.col(label) != F.col("_l"))).where(F.col(key) != F.col("other"))
+    if same:
+        a = a.withColumn("_l", F.col(label))
+    else:
+        names, n = _numbered_labels(own.select("_l").distinct())
+        a = a.withColumn("_no", F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)))).join(names, "_no").where(F.col("_l") != F.col(label)).drop("_no")
+    j = a.join(few, "_l").where(F.col(key) != F.col("other"))
     j = j.select(key, "other", X.jaccard("_a", "_w").alias("sim"))
     return j.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(F.desc("sim"), "other"))).where(F.col("_r") <= k).drop("_r")

@@ -147,6 +147,49 @@ def json_field(x: Column | str, path: str) -> Column:
     return F.coalesce(F.get_json_object(c, f"$.{path}"), F.get_json_object(repaired, f"$.{path}"), F.nullif(found, F.lit("")))
 
 
+def _repaired(x: Column | str) -> Column:
+    c = F.col(x) if isinstance(x, str) else x
+    return F.regexp_replace(c, r'\\(?!["\\/bfnrtu])', r"\\\\")
+
+
+def _spoken(c: Column) -> Column:
+    """The trimmed texts of a list that aren't empty, with blanks between them."""
+    return F.array_join(F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")), " ")
+
+
+def json_text(x: Column | str) -> Column:
+    """The texts of {"text": [{"text": ...}, ...]} in one, after repair of invalid escapes; other texts as they are, trimmed (C14)."""
+    c = F.col(x) if isinstance(x, str) else x
+    parts = F.from_json(_repaired(c), "text array<string>")["text"]
+    return F.coalesce(F.when(parts.isNotNull(), _spoken(F.transform(parts, lambda p: F.get_json_object(p, "$.text")))), F.trim(c))
+
+
+def json_answer(x: Column | str) -> Column:
+    """Conditions and solutions of a list of tasks in one text (C14).
+
+    A list that can't be read, repaired or not, is searched by patterns for conditions, then
+    solutions, then first answers; where there is none the text itself stays, trimmed.
+    """
+    c = F.col(x) if isinstance(x, str) else x
+    fixed = _repaired(c)
+    items = F.from_json(fixed, "array<string>")
+    solution = lambda p: F.when(F.get_json_object(p, "$.solution").startswith("{"), F.get_json_object(p, "$.solution.text")).otherwise(F.get_json_object(p, "$.solution"))
+    listed = F.when(F.trim(fixed).startswith("[") & items.isNotNull(), _spoken(F.transform(items, lambda p: _spoken(F.array(F.get_json_object(p, "$.condition"), solution(p))))))
+    string = r'"((?:\\.|[^"\\])*)"'
+    plain = lambda v: F.coalesce(F.from_json(F.concat(F.lit('["'), v, F.lit('"]')), "array<string>")[0], v)
+    found = [F.regexp_extract_all(fixed, F.lit(f"(?s){before}{string}"), F.lit(1)) for before in (r'"condition"\s*:\s*', r'"solution"\s*:\s*\{\s*"text"\s*:\s*', r'"answers"\s*:\s*\[\s*')]
+    matched = F.nullif(_spoken(F.transform(F.concat(*found), plain)), F.lit(""))
+    return F.coalesce(listed, matched, F.trim(c))
+
+
+def json_tags(x: Column | str) -> Column:
+    """The tags of a JSON list, of one JSON value, or the text itself as the only tag; none for null and empty texts (C14)."""
+    c = F.col(x) if isinstance(x, str) else x
+    one = F.when(c.rlike(r'^\s*"'), F.from_json(F.concat(F.lit("["), c, F.lit("]")), "array<string>"))
+    many = F.when(F.trim(c).startswith("["), F.from_json(c, "array<string>"))
+    return F.when(F.coalesce(c, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.coalesce(many, one, F.array(c)))
+
+
 def active_labels(df: DataFrame, *columns: str) -> Column:
     """The names of the columns that hold 1 or true."""
     return F.array_compact(F.array(*[F.when(F.col(c).cast("int") == 1, F.lit(c)) for c in columns]))

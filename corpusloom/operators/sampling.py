@@ -6,17 +6,23 @@ seed only.  Rows with the same key are one row to a draw.
 
 from __future__ import annotations
 
+import itertools
+import random
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.operators.matching import hashed, number_of
+from corpusloom.operators.matching import hashed
 from corpusloom.operators.ranking import numbered, ordered
+from corpusloom.session import cut
 
 #: Buckets of the hash in which a total order is numbered.
 BUCKETS = 256
+#: Different sets of labels that ``need_selection`` chooses among, at most.
+MOST_SETS = 100_000
 
 
 def shuffled(df: DataFrame, key: str, seed: int | str, name: str = "rank") -> DataFrame:
@@ -104,33 +110,81 @@ def quality_pick(df: DataFrame, key: str, group: str, quality: list[Column], mos
     return top.withColumn("_r", F.row_number().over(rest)).where(F.col("_r") <= most).drop("_r")
 
 
-def need_selection(df: DataFrame, key: str, labels: str, quotas: dict[str, int], seed: int | str, pool: int = 100_000, over: int = 0) -> DataFrame:
-    """(key, labels): rows of several labels taken while they fill an unmet quota, none if a label got ``over`` too many.
+def need_selection(df: DataFrame, key: str, labels: str, targets: dict[str, int], count: int, seed: int | str, overfill: float = 1.0, weights: dict[str, float] | None = None) -> DataFrame:
+    """(key, labels): ``count`` rows, each the one whose labels are still needed most, none with a label that is overfull.
 
-    The choice is sequential over all rows in seeded order, read in ranges of the hash with
-    about ``pool`` rows each until the quotas are met or the rows end.  A range is read without
-    the rows that can't be taken any more as the quotas stand, so it is taken whole or closes
-    a label, and there are few.  The driver holds one range and the rows taken.
+    The need of a row is what its labels lack to their targets, summed; ties go to more labels,
+    then to the larger sum of their weights, then by name.  A label is full at its target
+    times ``overfill``, at one row at least.  Once no row is needed any more, rows without a
+    full label are drawn at random.  Labels without a target neither need nor forbid.
+
+    Rows with the same labels are equal to the choice, so it works on the number of rows of
+    each set of labels, counted over all rows; then the first rows of each set in seeded
+    order are taken.  More than MOST_SETS different sets are an error.
+    """
+    known = F.array(*[F.lit(x) for x in sorted(targets)]) if targets else F.array().cast("array<string>")
+    rows = df.select(key, labels, F.array_sort(F.array_intersect(F.coalesce(labels, F.array().cast("array<string>")), known)).alias("_s"))
+    sets = rows.groupBy("_s").agg(F.count("*").alias("n")).limit(MOST_SETS + 1).collect()
+    if len(sets) > MOST_SETS:
+        raise ValueError(f"more than {MOST_SETS} sets of labels")
+    take = _by_need(sorted((tuple(r["_s"]), r["n"]) for r in sets), targets, count, seed, overfill, weights or {})
+    if not take:
+        return df.select(key, labels).limit(0)
+    table = df.sparkSession.createDataFrame([(list(s), n) for s, n in take.items()], "_s array<string>, _n bigint")
+    ranked = rows.withColumn("_r", F.row_number().over(W.partitionBy("_s").orderBy(hashed(seed, key), key))).where(F.col("_r") <= max(take.values()))
+    return ranked.join(F.broadcast(table), "_s").where("_r <= _n").select(key, labels)
+
+
+def _by_need(sets: list[tuple[tuple[str, ...], int]], targets: dict[str, int], count: int, seed: int | str, overfill: float, weights: dict[str, float]) -> dict[tuple[str, ...], int]:
+    """How many rows of each set of labels are chosen."""
+    names = sorted(targets)
+    sets = sorted(sets, key=lambda s: (-len(s[0]), -sum(weights.get(x, 0.0) for x in s[0]), s[0]))  # the order of ties
+    has = np.array([[x in s for x in names] for s, _ in sets], bool).reshape(len(sets), len(names))
+    left = np.array([n for _, n in sets], np.int64)
+    target = np.array([targets[x] for x in names], np.int64)
+    full = np.maximum(1, np.round(target * overfill)).astype(np.int64)
+    got, taken, rng = np.zeros(len(names), np.int64), np.zeros(len(sets), np.int64), random.Random(f"{seed}")
+    for _ in range(count):
+        free = (left > 0) & ~(has & (got >= full)).any(1)
+        if not free.any():
+            break
+        need = np.where(free, has @ np.maximum(0, target - got), -1)
+        best = int(need.argmax())
+        if need[best] <= 0:
+            best = rng.choices(range(len(sets)), np.where(free, left, 0))[0]
+        taken[best] += 1
+        left[best] -= 1
+        got += has[best]
+    return {s: int(n) for (s, _), n in zip(sets, taken, strict=True) if n}
+
+
+def scarce_first(df: DataFrame, key: str, groups: str, targets: dict[str, int], seed: int | str, exact: bool = True) -> DataFrame:
+    """(group, key): each group's number of rows, a row in one group only; groups with the fewest rows choose first.
+
+    A group takes the first rows of its own seeded order that no group before it took.  At
+    most the rows of the groups before it are taken, so only that many beyond its own are
+    looked at: a rank over all rows, and then one small step a group.  Too few rows are an
+    error, or with ``exact`` false a smaller group.  Rows whose groups are null are in none.
     """
-    some = df.select(key, labels)
-    left, kept, low, end = dict(quotas), [], 0, 1 << 32
-    has = lambda names: F.coalesce(F.arrays_overlap(labels, F.array(*[F.lit(x) for x in names])), F.lit(False))
-    while low < end and (wanted := [x for x, n in left.items() if n > 0]):
-        full = [x for x, n in left.items() if n <= min(0, -over)]
-        rows = some.where(has(wanted) & ~has(full) if full else has(wanted)).withColumn("_h", hashed(seed, key)).where(number_of(F.col("_h")) >= low)
-        high = low + max(1, (end - low) * pool // max(1, rows.count()))
-        for row in sorted(rows.where(number_of(F.col("_h")) < high).collect(), key=lambda r: (r["_h"], str(r[labels]))):
-            mine = [x for x in row[labels] if x in left]
-            if any(left[x] > 0 for x in mine) and all(left[x] > -over for x in mine if left[x] <= 0):
-                kept.append((row[key], row[labels]))
-                for x in mine:
-                    left[x] -= 1
-        low = high
-    return df.sparkSession.createDataFrame(kept, some.schema)
+    spark = df.sparkSession
+    each = df.select(F.col(key).alias("_k"), F.explode(F.array_distinct(groups)).alias("_g")).where(F.col("_g").isin(*targets)).distinct()
+    size = {r["_g"]: r["n"] for r in each.groupBy("_g").agg(F.count("*").alias("n")).collect()}
+    order = sorted(targets, key=lambda g: (size.get(g, 0), g))
+    reach = dict(zip(order, itertools.accumulate(targets[g] for g in order), strict=True))
+    looked = F.broadcast(spark.createDataFrame(list(reach.items()), "_g string, _n bigint"))
+    ranked = each.withColumn("_h", hashed(seed, "_g", "_k")).withColumn("_r", F.row_number().over(W.partitionBy("_g").orderBy("_h", "_k"))).where(F.col("_r") <= max(reach.values(), default=0))
+    pool = cut(ranked.join(looked, "_g").where("_r <= _n").select("_g", "_k", "_h"), "pool")
+    taken = pool.limit(0).select("_g", "_k")
+    for g in order:
+        mine = pool.where(F.col("_g") == g).join(taken.select("_k"), "_k", "left_anti").orderBy("_h", "_k").limit(targets[g]).select("_g", "_k")
+        taken = cut(taken.unionByName(mine), "taken")
+        if exact and (n := taken.where(F.col("_g") == g).count()) < targets[g]:
+            raise ValueError(f"{g} has {n} rows of {targets[g]}")
+    return taken.select(F.col("_g").alias("group"), F.col("_k").alias(key))
 
 
 def coverage_support(df: DataFrame, key: str, labels: str, k: int, seed: int | str) -> DataFrame:
-    """(key, labels): rows in seeded order that have a label with fewer than k rows so far.
+    """(key, labels): rows in seeded order that have a label with fewer than k rows so far.
 
     A row is kept exactly if it is among the first k of one of its labels: the first k of a
     label are all kept, and after them it has its k rows.  So this is a rank over all rows,
@@ -142,10 +196,16 @@ def coverage_support(df: DataFrame, key: str, labels: str, k: int, seed: int | s
 
 
 def round_robin(df: DataFrame, key: str, group: str, seed: int | str, most: int | None = None) -> DataFrame:
-    """(rows, turn): one row of each group after another, groups by name."""
+    """(rows, turn): one row of each group after another, groups by name.
+
+    With ``most`` the first rows of that order: a rank with a limit; without, the rows of a group are numbered in ranges of the hash.
+    """
+    some = df.where(F.col(group).isNotNull())
+    if most is None:
+        return numbered(some.withColumn("_h", hashed(seed, key)).withColumn("_b", F.substring("_h", 1, 2)), [group], "_b", ["_h", key], "turn").drop("_h", "_b")
     w = W.partitionBy(group).orderBy(hashed(seed, key), key)
-    out = df.where(F.col(group).isNotNull()).withColumn("turn", (F.row_number().over(w) - 1).cast("bigint"))
-    return out.orderBy("turn", group).limit(most) if most is not None else out
+    ranked = some.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most)
+    return ranked.withColumn("turn", (F.col("_r") - 1).cast("bigint")).drop("_r").orderBy("turn", group).limit(most)
 
 
 def rank01(df: DataFrame, x: str, key: str, group: str, name: str = "rank01") -> DataFrame:

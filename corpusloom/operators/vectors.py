@@ -17,6 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.operators.matching import hashed
+from corpusloom.session import cut
+
 #: Numbers in the matrix of one block of queries, at most: 32 MB as 4-byte numbers.
 BLOCK_NUMBERS = 8_000_000
 #: Classes whose prototypes are sent to the executors at once.
@@ -59,11 +62,21 @@ def pair_scores(a: Column | str, b: Column | str) -> dict[str, Column]:
 def average_precision(df: DataFrame, score: str, relevant: Column, *groups: str) -> DataFrame:
     """(groups, ap): precision at each different score, weighted by the recall it adds; equal scores are one step (V4).
 
-    The scores are aggregated to their different values first, and the running sums go over those.
+    The scores are aggregated to their different values and sorted into ranges, which are
+    summed one by one; what lies before a range is added.  So a group of very many different
+    scores is spread over as many tasks as it has ranges.
     """
     steps = df.where(F.col(score).isNotNull()).groupBy(*groups, score).agg(F.count("*").alias("_n"), F.count_if(relevant).alias("_p"))
-    w = W.partitionBy(*groups).orderBy(F.desc(score))
-    run = steps.withColumn("_cn", F.sum("_n").over(w)).withColumn("_cp", F.sum("_p").over(w)).withColumn("_total", F.sum("_p").over(W.partitionBy(*groups)))
+    steps = cut(steps.repartitionByRange(*[F.col(g) for g in groups], F.desc(score)).withColumn("_range", F.spark_partition_id()), "steps")
+    sums = steps.groupBy(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_range").alias("_r")).agg(F.sum("_n").alias("_rn"), F.sum("_p").alias("_rp"))
+    own = [f"_g{i}" for i in range(len(groups))]
+    before = W.partitionBy(*own).orderBy("_r").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select(*own, "_r", *[F.coalesce(F.sum(f"_r{c}").over(before), F.lit(0)).alias(f"_b{c}") for c in "np"], F.sum("_rp").over(W.partitionBy(*own)).alias("_total"))
+    match = F.col("_range") == F.col("_r")
+    for g, o in zip(groups, own, strict=True):
+        match = match & F.col(g).eqNullSafe(F.col(o))
+    w = W.partitionBy(*groups, "_range").orderBy(F.desc(score))
+    run = steps.join(sums, match).withColumn("_cn", F.sum("_n").over(w) + F.col("_bn")).withColumn("_cp", F.sum("_p").over(w) + F.col("_bp"))
     return run.groupBy(*groups).agg(F.sum(F.when(F.col("_total") > 0, F.col("_p") / F.col("_total") * F.col("_cp") / F.col("_cn")).otherwise(0.0)).alias("ap"))
 
 
@@ -255,30 +268,96 @@ def mean_top2() -> Column:
     return F.when(F.col("second").isNull(), F.col("top")).otherwise((F.col("top") + F.col("second")) / 2)
 
 
-def ridge(df: DataFrame, episode: str, key: str, vector: str, label: str, role: str, strength: float = 1.0, most: int = 5_000) -> DataFrame:
+def ridge(df: DataFrame, episode: str, key: str, vector: str, label: str, role: str, strength: float = 1.0, bias: bool = False, temperature: float = 1.0, most: int = 5_000) -> DataFrame:
     """(episode, key, label, score) of the queries of each episode under a ridge classifier of its supports.
 
-    The dual form (K + strength I)^-1 Y with one-hot labels; an episode of more than ``most``
-    supports is an error, since its kernel is solved in one task.
+    Without bias in the dual form (K + strength I)^-1 Y with one-hot labels, for few supports
+    of many dimensions; with bias in the primal form (X'X + strength I)^-1 X'Y, in which the
+    bias isn't penalised.  Scores are divided by the temperature.  An episode of more than
+    ``most`` supports, or vectors as long, is an error, since it is solved in one task.
     """
 
     def solve(p: pd.DataFrame) -> pd.DataFrame:
         s, q = p[p[role] == "support"], p[p[role] == "query"]
-        if len(s) > most:
-            raise ValueError(f"an episode has more than {most} supports")
+        if len(s) > most or len(p) and len(p[vector].iloc[0]) > most:
+            raise ValueError(f"an episode has more than {most} supports or dimensions")
         empty = pd.DataFrame({episode: [], key: [], "label": [], "score": []})
         if s.empty or q.empty:
             return empty
         names = sorted(s[label].astype(str).unique())
         x, z = np.stack(s[vector].to_numpy()).astype(float), np.stack(q[vector].to_numpy()).astype(float)
         y = (s[label].astype(str).to_numpy()[:, None] == np.array(names)[None, :]).astype(float)
-        scores = z @ x.T @ np.linalg.solve(x @ x.T + strength * np.eye(len(x)), y)
+        if bias:
+            x, z = (np.hstack((m, np.ones((len(m), 1)))) for m in (x, z))
+            penalty = strength * np.eye(x.shape[1])
+            penalty[-1, -1] = 0
+            scores = z @ np.linalg.lstsq(x.T @ x + penalty, x.T @ y, rcond=None)[0] / temperature
+        else:
+            scores = z @ x.T @ np.linalg.solve(x @ x.T + strength * np.eye(len(x)), y) / temperature
         return pd.DataFrame({episode: np.repeat(q[episode].to_numpy(), len(names)), key: np.repeat(q[key].to_numpy(), len(names)), "label": names * len(q), "score": scores.ravel()})
 
     kinds = dict(df.dtypes)
     return df.where(F.col(vector).isNotNull() & F.col(label).isNotNull()).select(episode, key, vector, label, role).groupBy(episode).applyInPandas(solve, f"{episode} {kinds[episode]}, {key} {kinds[key]}, label string, score double")
 
 
+def knn_supports(df: DataFrame, key: str, label: str, per: int, experiments: int, seed: int) -> DataFrame:
+    """(rows, experiment): for each experiment, from 1 on, ``per`` rows of each label by a seeded order of its own."""
+    each = df.where(F.col(label).isNotNull()).withColumn("experiment", F.explode(F.sequence(F.lit(1), F.lit(experiments))))
+    w = W.partitionBy("experiment", label).orderBy(hashed(seed, "experiment", key), key)
+    return each.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per).drop("_r")
+
+
+def knn_experiments(tests: DataFrame, supports: DataFrame, key: str, vector: str, label: str, k: int = 5) -> DataFrame:
+    """(experiment, key, label, prediction, correct, neighbours): each test row against the supports of each experiment.
+
+    The nearest k by cosine, ties to the smaller key; a label that more than half of them have
+    is predicted, else 'none', so a row is correct if its set of labels is met exactly.
+    neighbours: their keys, nearest first.  The supports are a sample of stated size: above
+    BLOCK_NUMBERS numbers they are an error.  They are sent once, and each test row is
+    handled where it lies, in one pass for all experiments.
+    """
+    spark = tests.sparkSession
+    sent = supports.select("experiment", F.col(key).cast("bigint").alias("k"), F.col(vector).cast("array<float>").alias("v"), F.col(label).cast("string").alias("l")).where("v IS NOT NULL AND size(v) > 0").orderBy("experiment", "k")
+    rows = sent.limit(BLOCK_NUMBERS // 2 + 1).collect()
+    if sum(len(r["v"]) for r in rows) > BLOCK_NUMBERS:
+        raise ValueError(f"the supports have more than {BLOCK_NUMBERS} numbers")
+    by: dict[int, list] = {}
+    for r in rows:
+        by.setdefault(r["experiment"], []).append(r)
+    ready = spark.sparkContext.broadcast({e: (np.array([r["k"] for r in rs], np.int64), _unit(np.array([r["v"] for r in rs], np.float64)), np.array([r["l"] for r in rs], object)) for e, rs in by.items()})
+    cols = [F.col(key).cast("bigint").alias("k"), F.col(vector).cast("array<float>").alias("v"), F.col(label).cast("string").alias("l")]
+    schema = "experiment int, k bigint, label string, prediction string, neighbours array<bigint>"
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for e, (ids, m, names) in ready.value.items():
+                part = b.take(pa.array(np.flatnonzero(np.diff(np.asarray(b.column("v").offsets)) == m.shape[1])))
+                if not part.num_rows:
+                    continue
+                sim = np.round(_unit(np.asarray(part.column("v").flatten(), np.float64).reshape(part.num_rows, -1)) @ m.T, 9)
+                near = np.lexsort((np.broadcast_to(ids, sim.shape), -sim), axis=1)[:, :k]
+                said = []
+                for votes in names[near]:
+                    kinds, n = np.unique(votes.astype(str), return_counts=True)
+                    said.append(str(kinds[n.argmax()]) if 2 * n.max() > near.shape[1] else "none")
+                yield pa.RecordBatch.from_arrays([pa.array([e] * part.num_rows, pa.int32()), part.column("k"), part.column("l"), pa.array(said, pa.string()), pa.array(ids[near].tolist(), pa.list_(pa.int64()))], ["experiment", "k", "label", "prediction", "neighbours"])
+
+    out = tests.select(*cols).where("v IS NOT NULL AND size(v) > 0 AND l IS NOT NULL").mapInArrow(scan, schema)
+    return out.select("experiment", F.col("k").alias(key), "label", "prediction", (F.col("label") == F.col("prediction")).alias("correct"), "neighbours")
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(np.sqrt((m * m).sum(1)), 1e-12)[:, None]
+
+
+def knn_report(predicted: DataFrame) -> DataFrame:
+    """(experiment, n, accuracy, macro_f1) of ``knn_experiments``; macro_f1 is the mean over the labels of the test rows."""
+    true = predicted.groupBy("experiment", "label").agg(F.count("*").alias("n"), F.count_if("correct").alias("hit"))
+    said = predicted.groupBy("experiment", F.col("prediction").alias("label")).agg(F.count("*").alias("said"))
+    f1 = true.join(said, ["experiment", "label"], "left").withColumn("f1", 2 * F.col("hit") / (F.col("n") + F.coalesce("said", F.lit(0))))
+    return f1.groupBy("experiment").agg(F.sum("n").alias("n"), (F.sum("hit") / F.sum("n")).alias("accuracy"), F.avg("f1").alias("macro_f1"))
+
+
 def tfidf(docs: DataFrame, key: str, terms: str, max_share: float = 1.0, least: int = 1) -> DataFrame:
     """(key, term, weight): (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), each document brought to length one (V7).
 

@@ -70,6 +70,15 @@ def _deltas(spark, d):
     return a.join(F.broadcast(low), F.col("model") != F.col("_low")).join(b, "task").select("model", "task", (F.col("s") - F.col("_b")).alias("delta"))
 
 
+@register("result_summary", f"""
+    WITH s AS (SELECT task, avg((split = 'test')::INT) AS s FROM eval_passages GROUP BY task), r AS (SELECT *, CASE {" ".join(f"WHEN contains(lower(task), '{p}') THEN '{n}'" for p, n in _RULES)} ELSE 'other' END AS cat, CASE WHEN task IN (SELECT task FROM {_BAD}) THEN 'contaminated' ELSE 'clean' END AS scope FROM s),
+    x AS (SELECT unnest(['all', scope]) AS scope, cat, task, s FROM r), y AS (SELECT scope, unnest(['all', cat]) AS category, task, s FROM x) SELECT scope, category, count(*) AS tasks, round(avg(s), 6) AS mean, arg_min(task, {{'s': s, 't': task}}) AS worst_task FROM y GROUP BY scope, category""")
+def result_summary(spark, d):
+    """The share of test items stands for the score of a task."""
+    r = _t(spark, d, "eval_passages").groupBy("task").agg(F.avg((F.col("split") == "test").cast("int")).alias("s"))
+    return G.result_summary(r, "task", "s", _RULES, M.contaminated_tasks(_t(spark, d, "manifest"))).withColumn("mean", F.round("mean", 6))
+
+
 @register("gate_rank", f"""
     WITH s AS (SELECT model, count(DISTINCT task) AS tasks, avg(delta) AS mean_delta, min(delta) AS worst_delta, sum(greatest(-0.01::DOUBLE - delta, 0::DOUBLE)) AS shortfall FROM {_DELTA} GROUP BY model)
     SELECT model, tasks, round(mean_delta, 6) AS mean_delta, round(worst_delta, 6) AS worst_delta, round(shortfall, 6) AS shortfall, worst_delta >= -0.01 AND mean_delta >= 0 AS promoted, row_number() OVER (ORDER BY (worst_delta >= -0.01 AND mean_delta >= 0) DESC, shortfall, mean_delta DESC, model) AS place FROM s""")

@@ -60,8 +60,7 @@ _NEEDLES = lambda x: f"[CASE WHEN length({Q.audit(x)}) >= 80 THEN 'e:' || {Q.aud
 def decontam_needles(spark, d):
     docs = _t(spark, d, "documents").select("doc_id", "text")
     keys = _t(spark, d, "eval_passages").select(F.explode(M.needles("text")).alias("key")).distinct()
-    hit = docs.select("doc_id", F.explode(M.needles("text")).alias("key")).join(keys, "key", "left_semi").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select("doc_id")
+    return docs.select("doc_id").join(M.hit_by(docs, "doc_id", M.needles("text"), keys), "doc_id", "left_anti")
 
 
 @register("decontam_line_blocks")
@@ -69,8 +68,7 @@ def decontam_line_blocks(spark, d):
     """Blocks of lines, their beginnings and what follows an abstract marker against whole passages, their beginnings and titles; tested against a plain loop."""
     docs = _t(spark, d, "documents").select("doc_id", "text").where("text IS NOT NULL")
     keys = _t(spark, d, "eval_passages").where("text IS NOT NULL").select(F.explode(M.passage_keys("text")).alias("key")).distinct()
-    hit = docs.select("doc_id", F.explode(M.block_keys("text")).alias("key")).join(keys, "key", "left_semi").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select("doc_id")
+    return docs.select("doc_id").join(M.hit_by(docs, "doc_id", M.block_keys("text"), keys), "doc_id", "left_anti")
 
 
 _DOC, _ITEM = f"(SELECT doc_id, lang, {Q.audit('text')} AS k FROM documents)", f"(SELECT item_id, {Q.audit('text')} AS k FROM eval_passages)"
@@ -110,6 +108,16 @@ def lexical_near_match(spark, d):
     return M.jaccard_pairs(a, b, 0.78, least=4).select("a_id", "b_id", F.col("shared").cast("bigint").alias("shared"), F.round("sim", 6).alias("sim"))
 
 
+@register("lexical_near_refined")
+def lexical_near_refined(spark, d):
+    """``lexical_near_match`` with the second condition of J7; the ratios are Python's: tested against a plain loop."""
+    c = _t(spark, d, "contrastive").select("pos", "split", X.audit_normal("query").alias("key")).where("key != ''")
+    a, b = (c.where(cond).select(F.col("pos").alias(f"{n}_id"), F.col("key").alias(f"{n}_text")) for n, cond in (("a", "split IN ('test', 'validation')"), ("b", "split = 'train'")))
+    words = lambda x, n: x.select(f"{n}_id", X.token_set(f"{n}_text").alias("words")).where("words IS NOT NULL")
+    pairs = M.jaccard_pairs(words(a, "a"), words(b, "b"), 0.78, least=4)
+    return M.refined(pairs, a, b).select("a_id", "b_id", *[F.round(x, 6).alias(x) for x in ("sim", "token_set", "partial")])
+
+
 @register("near_dup_anti")
 def near_dup_anti(spark, d):
     """Training rows without an evaluation row of Jaccard 0.78 and edit ratio 0.9; the edit ratio is Python's: rows only."""
@@ -251,3 +259,29 @@ def audit_verdict_near(spark, d):
 def sampled_lexical_negatives(spark, d):
     r = _t(spark, d, "eval_passages").select("item_id", "task", X.token_set("text").alias("w"))
     return M.sampled_lexical(r, r, "item_id", "task", "w", 3, sample=20, same=True).select("item_id", "other", F.round("sim", 6).alias("sim"))
+
+
+_TRIGGER = """WITH r AS (SELECT o_orderkey AS k, o_orderpriority AS g, o_orderstatus = 'F' AS e FROM orders WHERE o_orderpriority IS NOT NULL), s AS (SELECT g, count(*) FILTER (e) AS n, count(*) FILTER (NOT e) AS m, row_number() OVER (ORDER BY g) - 1 AS no FROM r GROUP BY g),
+    p AS (SELECT no, e, k, row_number() OVER (PARTITION BY g, e ORDER BY md5('7|' || k), k) - 1 AS at FROM r JOIN s USING (g)), i AS (SELECT g, no AS own, unnest(range(0, 40)) AS i FROM s), c AS (SELECT count(*) AS c FROM s),
+    w AS (SELECT g, i, 'query' AS role, 0 AS s, 0 AS j, own AS no, i AS p, true AS e FROM i UNION ALL SELECT g, i, 'positive', 1, j, (own + 1 + (i * 3 + j) % (c - 1)) % c, (i * 3 + j) // (c - 1), true FROM i, c, (SELECT unnest(range(0, 3)) AS j)
+      UNION ALL SELECT g, i, 'negative', 0, j, own, i * 5 + j, false FROM i, (SELECT unnest(range(0, 3)) AS j) UNION ALL SELECT g, i, 'negative', 1, j, (own + 1 + (i * 5 + j) % (c - 1)) % c, (i * 5 + j) // (c - 1), false FROM i, c, (SELECT unnest(range(0, 2)) AS j)),
+    z AS (SELECT w.*, p.k FROM w JOIN s USING (no) JOIN p ON p.no = w.no AND p.e = w.e AND p.at = w.p % (CASE WHEN w.e THEN s.n ELSE s.m END))
+    SELECT g AS o_orderpriority, i::INT AS i, max(k) FILTER (role = 'query') AS query, string_agg(k::VARCHAR, ',' ORDER BY s, j) FILTER (role = 'positive') AS positives, string_agg(k::VARCHAR, ',' ORDER BY s, j) FILTER (role = 'negative') AS negatives FROM z GROUP BY g, i"""
+
+
+@register("trigger_records", _TRIGGER.replace("SELECT w.*, p.k FROM w JOIN s USING (no)", "SELECT w.g, w.i, w.role, w.s, w.j, p.k FROM w JOIN s ON s.no = w.no"))
+def trigger_records(spark, d):
+    """Finished orders stand for neutral rows, the priority for the trigger."""
+    o = _t(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    r = M.trigger_records(o, "o_orderkey", "o_orderpriority", F.col("o_orderstatus") == "F", 40, 3, 5, 7)
+    return r.select("o_orderpriority", "i", "query", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("positives", "negatives")])
+
+
+@register("sampled_lexical_others", f"""
+    WITH r AS (SELECT item_id, task, list_distinct({Q.words(Q.audit('text'))}) AS w FROM eval_passages), f AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY task ORDER BY md5('3|' || item_id), item_id) <= 256),
+    j AS (SELECT r.item_id, f.item_id AS other, len(list_intersect(r.w, f.w))::DOUBLE / (len(r.w) + len(f.w) - len(list_intersect(r.w, f.w))) AS sim FROM r JOIN f ON r.task <> f.task)
+    SELECT item_id, other, round(sim, 6) AS sim FROM j QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY sim DESC, other) <= 1""")
+def sampled_lexical_others(spark, d):
+    """The most similar passage of another task."""
+    r = _t(spark, d, "eval_passages").select("item_id", "task", X.token_set("text").alias("w"))
+    return M.sampled_lexical(r, r, "item_id", "task", "w", 3).select("item_id", "other", F.round("sim", 6).alias("sim"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.names import canonical_name
@@ -79,12 +80,24 @@ def quality_pick(spark, d):
 
 @register("need_selection")
 def need_selection(spark, d):
-    """Sequential by definition: tested for its quotas, rows only here."""
+    """A choice row by row: tested against a plain loop."""
     m = _t(spark, d, "contrastive").select("pos", F.array_compact(F.array(canonical_name("source"), F.col("split"))).alias("labels"))
-    return W.need_selection(m, "pos", "labels", {"train": 60, "test": 20, "it_forum_qa": 20, "news_wire": 10}, 5).select("pos")
+    return W.need_selection(m, "pos", "labels", {"train": 60, "test": 20, "it_forum_qa": 20, "news_wire": 10}, 100, 5, 1.1).select("pos")
 
 
-@register("coverage_support")
+_SCARCE = {"train": 40, "it_forum_qa": 30, "soc_chat": 10}
+_PICK = lambda g, gone: f"(SELECT pos, '{g}' AS g FROM l WHERE list_contains(labels, '{g}') {gone} ORDER BY md5('3|{g}|' || pos), pos LIMIT {_SCARCE[g]})"
+
+
+@register("scarce_first", f"""
+    WITH l AS (SELECT pos, [{Q.source()}, split] AS labels FROM contrastive), n AS (SELECT unnest(labels) AS g, count(*) AS n FROM l GROUP BY 1), a AS {_PICK("soc_chat", "")}, b AS {_PICK("it_forum_qa", "AND pos NOT IN (SELECT pos FROM a)")}, c AS {_PICK("train", "AND pos NOT IN (SELECT pos FROM a UNION ALL SELECT pos FROM b)")}
+    SELECT g AS "group", pos FROM a UNION ALL SELECT g, pos FROM b UNION ALL SELECT g, pos FROM c""")
+def scarce_first(spark, d):
+    m = _t(spark, d, "contrastive").select("pos", F.array_compact(F.array(canonical_name("source"), F.col("split"))).alias("labels"))
+    return W.scarce_first(m, "pos", "labels", _SCARCE, 3, exact=False)
+
+
+@register("coverage_support", f"WITH l AS (SELECT pos, unnest(list_distinct([{Q.source()}, split])) AS g FROM contrastive) SELECT DISTINCT pos FROM (SELECT pos, row_number() OVER (PARTITION BY g ORDER BY md5('5|' || pos), pos) AS r FROM l WHERE g IS NOT NULL) WHERE r <= 3")
 def coverage_support(spark, d):
     m = _t(spark, d, "contrastive").select("pos", F.array_compact(F.array(canonical_name("source"), F.col("split"))).alias("labels"))
     return W.coverage_support(m, "pos", "labels", 3, 5).select("pos")
@@ -129,13 +142,18 @@ def wraparound_draw(spark, d):
     return W.repeated(_t(spark, d, "nation").select("n_nationkey"), "n_nationkey", 110, 1)
 
 
-@register("cap_and_redistribute")
+@register("cap_and_redistribute", """
+    WITH p AS (SELECT o_orderpriority AS g, count(*) AS pool FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY 1), t AS (SELECT g, pool, ((SELECT sum(pool) FROM p) * rank() OVER (ORDER BY g) // 12)::BIGINT AS target FROM p),
+    q AS (SELECT g, least(target, pool) AS q, pool - least(target, pool) AS room, least(sum(target) OVER (), sum(pool) OVER ()) - sum(least(target, pool)) OVER () AS missing FROM t),
+    l AS (SELECT max(l) AS l FROM (SELECT unnest(range(0, (SELECT max(room) FROM q) + 1)) AS l) x WHERE (SELECT sum(least(room, x.l)) FROM q) <= (SELECT max(missing) FROM q)),
+    r AS (SELECT g, q + least(room, l) AS q, room - least(room, l) AS more, missing - sum(least(room, l)) OVER () AS rest FROM q, l)
+    SELECT g AS o_orderpriority, (q + (row_number() OVER (ORDER BY more DESC, g) <= rest)::INT)::BIGINT AS quota FROM r""")
 def cap_and_redistribute(spark, d):
-    """Quotas clipped to pools and water-filled; the pools are counted over all rows."""
-    n = A.count_by(_t(spark, d, "orders"), "o_orderpriority")
-    pools = {r["o_orderpriority"]: r["n"] for r in n.limit(10_000).collect()}
-    quota = A.cap_and_redistribute(dict.fromkeys(pools, 3 * sum(pools.values()) // (2 * max(1, len(pools)))), pools)
-    return spark.createDataFrame(sorted(quota.items()), "o_orderpriority string, quota bigint")
+    """Unequal targets, some above the pool, which is counted over all rows."""
+    n = A.count_by(_t(spark, d, "orders").where("o_orderpriority IS NOT NULL"), "o_orderpriority")
+    every = n.agg(F.sum("n").alias("all"))
+    t = n.join(F.broadcast(every)).withColumn("target", F.floor(F.col("all") * F.rank().over(Window.orderBy("o_orderpriority")) / 12))
+    return A.cap_and_redistribute(t, "o_orderpriority", "target", "n")
 
 
 @register("top_k_global", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")

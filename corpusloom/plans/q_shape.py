@@ -144,6 +144,19 @@ def json_extract_repair(spark, d):
     return e.select("event_id", first.alias("name"), F.size(keys).cast("bigint").alias("n_fields"), C.json_field(F.concat(F.lit('{"v": "'), F.col("event_type"), F.lit('\\q"}')), "v").alias("repaired"))
 
 
+_BROKEN = """CASE doc_id % 6 WHEN 0 THEN '{"text": [{"text": " a ' || doc_id || '"}, {"text": ""}, {"text": "b"}]}' WHEN 1 THEN ' plain ' || doc_id || ' ' WHEN 2 THEN '["t' || doc_id || '", "u"]'
+    WHEN 3 THEN '[{"condition": "c", "solution": {"text": "s' || doc_id || '"}}, {"solution": "x"}]' WHEN 4 THEN 'broken {"condition": "c' || doc_id || '", "answers": ["z"' END"""
+
+
+@register("json_texts", """
+    WITH d AS (SELECT doc_id, doc_id % 6 AS k, doc_id::VARCHAR AS i FROM documents), raw AS (SELECT doc_id, trim(BROKEN) AS r FROM documents) SELECT doc_id, CASE k WHEN 0 THEN 'a ' || i || ' b' ELSE r END AS text,
+    CASE k WHEN 3 THEN 'c s' || i || ' x' WHEN 4 THEN 'c' || i || ' z' WHEN 2 THEN '' ELSE r END AS answer, CASE k WHEN 2 THEN 't' || i || '|u' WHEN 3 THEN '{"condition":"c","solution":{"text":"s' || i || '"}}|{"solution":"x"}' WHEN 1 THEN ' plain ' || i || ' ' WHEN 5 THEN '' ELSE r END AS tags FROM d JOIN raw USING (doc_id)""".replace("BROKEN", _BROKEN))
+def json_texts(spark, d):
+    """Texts, answers and tags of whole, repaired and broken JSON, made from the ids of the documents."""
+    x = _t(spark, d, "documents").select("doc_id", F.expr(_BROKEN).alias("x"))
+    return x.select("doc_id", C.json_text("x").alias("text"), C.json_answer("x").alias("answer"), F.array_join(C.json_tags("x"), "|").alias("tags"))
+
+
 @register("active_labels", "SELECT l_orderkey, l_linenumber, array_to_string(list_filter([CASE WHEN l_quantity > 25 THEN 'many' END, CASE WHEN l_discount > 0.05 THEN 'cheap' END, CASE WHEN l_returnflag = 'R' THEN 'returned' END], lambda x: x IS NOT NULL), ',') AS labels FROM lineitem")
 def active_labels(spark, d):
     li = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") > 25).alias("many"), (F.col("l_discount") > 0.05).alias("cheap"), (F.col("l_returnflag") == "R").alias("returned"))

@@ -264,7 +264,7 @@ def qa_rejection_ladder(spark, d):
 
 @register("social_quality")
 def social_quality(spark, d):
-    """Repeated letters need a back-reference, which the SQL engine has not: rows only."""
+    """Repeated letters need a back-reference, which the SQL engine has not: tested against Python."""
     return _t(spark, d, "contrastive").where(filters.social_ok("query")).select("pos")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import arrow
 from corpusloom.functions import text as X
+from corpusloom.operators import aggregates as A
 from corpusloom.operators import vectors as V
 from corpusloom.plans import sqltext as Q
 from corpusloom.plans.catalog import register
@@ -141,6 +142,34 @@ def ridge_episode(spark, d):
     return V.ridge(e, "episode", "vec_id", "embedding", "label", "role")
 
 
+@register("ridge_probe")
+def ridge_probe(spark, d):
+    """The primal form with a bias that isn't penalised; tested against numpy."""
+    e = _e(spark, d).select(F.pmod(F.xxhash64("vec_id"), F.lit(4)).alias("episode"), "vec_id", V.normalized("embedding").alias("embedding"), "label", F.when(F.pmod("vec_id", F.lit(3)) == 0, "query").otherwise("support").alias("role"))
+    return V.ridge(e, "episode", "vec_id", "embedding", "label", "role", bias=True, temperature=0.05)
+
+
+_KNN = f"""WITH s AS (SELECT x.e, vec_id, label, v FROM {_E}, (SELECT unnest(range(1, 11)) AS e) x WHERE label IS NOT NULL QUALIFY row_number() OVER (PARTITION BY x.e, label ORDER BY md5('4|' || x.e || '|' || vec_id), vec_id) <= 4),
+    n AS (SELECT s.e, t.vec_id, t.label::VARCHAR AS label, s.label::VARCHAR AS near FROM {_E} t, s WHERE t.label IS NOT NULL QUALIFY row_number() OVER (PARTITION BY s.e, t.vec_id ORDER BY round(list_cosine_similarity(t.v, s.v), 9) DESC, s.vec_id) <= 5),
+    c AS (SELECT e, vec_id, label, near, count(*) AS n FROM n GROUP BY ALL), p AS (SELECT e, vec_id, label, coalesce(max(near) FILTER (n > 2), 'none') AS said FROM c GROUP BY e, vec_id, label)"""
+
+
+def _experiments(spark, d):
+    e = _e(spark, d)
+    return V.knn_experiments(e, V.knn_supports(e, "vec_id", "label", 4, 10, 4), "vec_id", "embedding", "label")
+
+
+@register("knn_evaluation", f"{_KNN}, f AS (SELECT e, label, count(*) AS n, count(*) FILTER (label = said) AS hit FROM p GROUP BY e, label), g AS (SELECT e, said AS label, count(*) AS said FROM p GROUP BY e, said) SELECT e::INT AS experiment, sum(n)::BIGINT AS n, round(sum(hit) / sum(n), 6) AS accuracy, round(avg(2.0::DOUBLE * hit / (n + coalesce(said, 0))), 6) AS macro_f1 FROM f LEFT JOIN g USING (e, label) GROUP BY e")
+def knn_evaluation(spark, d):
+    """Accuracy and macro F1 over ten sampled support sets."""
+    return V.knn_report(_experiments(spark, d)).select("experiment", "n", *[F.round(c, 6).alias(c) for c in ("accuracy", "macro_f1")])
+
+
+@register("knn_confusions", f"{_KNN} SELECT label AS \"true\", said, count(*) AS n FROM p WHERE label <> said GROUP BY label, said")
+def knn_confusions(spark, d):
+    return A.confusion(_experiments(spark, d).where("NOT correct"), "label", "prediction")
+
+
 @register("kmeans_clusters")
 def kmeans_clusters(spark, d):
     """Spark's k-means: its start is its own, so rows only."""

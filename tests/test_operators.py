@@ -76,46 +76,84 @@ def test_quotas(spark):
     assert {r["g"]: r["quota"] for r in S.even_quota(w, "g", 7).collect()} == {"a": 2, "b": 2, "c": 1, "n": 1, "z": 1}
 
 
-@given(st.dictionaries(st.sampled_from("abcdef"), st.integers(0, 50), min_size=1), st.data())
-def test_cap_and_redistribute(targets, data):
-    pools = {g: data.draw(st.integers(0, 60)) for g in targets}
-    out = A.cap_and_redistribute(targets, pools)
-    assert all(0 <= out[g] <= pools[g] for g in targets)
-    assert all(out[g] >= min(targets[g], pools[g]) for g in targets)
-    assert sum(out.values()) == min(sum(targets.values()), sum(pools.values()))
+def passes(targets, pools):
+    """Quotas clipped to the pools and then filled pass by pass, a row a group with room, most room first."""
+    out = {g: min(t, pools[g]) for g, t in targets.items()}
+    total = min(sum(targets.values()), sum(pools.values()))
+    while sum(out.values()) < total:
+        for g in sorted(out, key=lambda g: (out[g] - pools[g], g)):
+            if out[g] < pools[g] and sum(out.values()) < total:
+                out[g] += 1
+    return out
 
 
-def test_sequential_selections(spark):
-    rows = [(i, [f"l{i % 3}", f"m{i % 2}"]) for i in range(60)]
-    df = spark.createDataFrame(rows, "id int, labels array<string>")
-    got = S.need_selection(df, "id", "labels", {"l0": 3, "m1": 5}, 1).toPandas()
-    assert sum("l0" in x for x in got["labels"]) >= 3 and sum("m1" in x for x in got["labels"]) >= 5
+@settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.dictionaries(st.sampled_from("abcdef"), st.tuples(st.integers(0, 50), st.integers(0, 60)), min_size=1))
+def test_cap_and_redistribute_against_passes(spark, groups):
+    df = spark.createDataFrame([(g, t, p) for g, (t, p) in groups.items()], "g string, t int, p int")
+    got = {r["g"]: r["quota"] for r in A.cap_and_redistribute(df, "g", "t", "p").collect()}
+    assert got == passes({g: t for g, (t, _) in groups.items()}, {g: p for g, (_, p) in groups.items()})
+
+
+def test_cap_and_redistribute_gives_levels(spark):
+    df = spark.createDataFrame([("a", 20, 100), ("b", 20, 50), ("c", 20, 0), ("n", None, None)], "g string, t int, p int")
+    assert {r["g"]: r["quota"] for r in A.cap_and_redistribute(df, "g", "t", "p").collect()} == {"a": 30, "b": 30, "c": 0, "n": 0}
+    assert A.cap_and_redistribute(df.where("g = 'x'"), "g", "t", "p").count() == 0
+
+
+def test_coverage(spark):
+    df = spark.createDataFrame([(i, [f"l{i % 3}", f"m{i % 2}"]) for i in range(60)], "id int, labels array<string>")
     cover = S.coverage_support(df, "id", "labels", 2, 1).toPandas()
     assert all(sum(lab in x for x in cover["labels"]) >= 2 for lab in ("l0", "l1", "l2", "m0", "m1"))
-    assert S.need_selection(df.where("id < 0"), "id", "labels", {"l0": 3}, 1).count() == 0
 
 
-def test_sequential_selections_look_at_all_rows(spark):
+def test_coverage_looks_at_all_rows(spark):
     order = sorted(range(102_000), key=lambda i: (hashlib.md5(f"1|{i}".encode()).hexdigest(), i))
     last = set(order[-3:])
     df = spark.range(102_000).select(F.col("id"), F.when(F.col("id").isin(*last), F.array(F.lit("rare"))).otherwise(F.array(F.lit("common"))).alias("labels"))
-    for got in (S.coverage_support(df, "id", "labels", 3, 1), S.need_selection(df, "id", "labels", {"rare": 3, "common": 3}, 1)):
-        assert set(ids(got)) == last | set(order[:3])
-
-
-@pytest.mark.parametrize("over", [0, 2])
-@pytest.mark.parametrize("pool", [1, 4, 1000])
-def test_need_selection_in_blocks_against_a_loop(spark, pool, over):
-    rows = [(i, [f"l{i % 5}", f"m{i * i % 7}", "all"][: 1 + i % 3]) for i in range(120)]
-    quotas, left, want = {"l0": 9, "l1": 3, "m1": 8, "m2": 90, "all": 6}, {}, []
-    left |= quotas
-    for i, labels in sorted(rows, key=lambda r: (hashlib.md5(f"1|{r[0]}".encode()).hexdigest(), r[0])):
-        mine = [x for x in labels if x in left]
-        if any(left[x] > 0 for x in mine) and all(left[x] > -over for x in mine if left[x] <= 0):
-            want.append(i)
-            left |= {x: left[x] - 1 for x in mine}
+    assert set(ids(S.coverage_support(df, "id", "labels", 3, 1))) == last | set(order[:3])
+    assert last <= set(ids(S.need_selection(df, "id", "labels", {"rare": 3, "common": 3}, 6, 1)))
+
+
+@pytest.mark.parametrize("over", [1.0, 1.5])
+def test_need_selection_against_a_loop(spark, over):
+    rows = [(i, [f"l{i % 5}", f"m{i * i % 7}", "all"][: 1 + i % 3]) for i in range(120)] + [(200, None), (201, ["other"])]
+    targets = {"l0": 9, "l1": 3, "m1": 8, "m2": 90, "all": 6}
+    weights = {"l0": 1.0, "m2": 0.5}
+    left = sorted((tuple(sorted(set(x or ()) & set(targets))), hashlib.md5(f"1|{i}".encode()).hexdigest(), i) for i, x in rows)
+    count, want = dict.fromkeys(targets, 0), []
+    full = {x: max(1, round(t * over)) for x, t in targets.items()}
+    while True:
+        free = [r for r in left if all(count[x] < full[x] for x in r[0])]
+        need = lambda r: sum(max(0, targets[x] - count[x]) for x in r[0])  # noqa: E731, B023
+        best = max(free, key=lambda r: (need(r), len(r[0]), sum(weights.get(x, 0) for x in r[0])), default=None)
+        if best is None or need(best) <= 0:
+            break
+        want.append(best)
+        left.remove(best)
+        count = {x: n + (x in best[0]) for x, n in count.items()}
+    df = spark.createDataFrame(rows, "id int, labels array<string>")
+    assert ids(S.need_selection(df, "id", "labels", targets, len(want), 1, over, weights)) == sorted(r[2] for r in want)
+    more = S.need_selection(df, "id", "labels", targets, len(want) + 30, 1, over, weights).toPandas()
+    assert {r[2] for r in want} <= set(more["id"]) and len(more) > len(want) and not more.duplicated("id").any()
+    assert all(sum(x in (r or ()) for r in more["labels"]) <= full[x] for x in targets)
+    assert S.need_selection(df.where("id < 0"), "id", "labels", targets, 5, 1).count() == 0
+
+
+def test_scarce_groups_choose_first(spark):
+    rows = [(i, ["big"] + ["mid"] * (i % 3 == 0) + ["rare"] * (i % 9 == 0)) for i in range(90)] + [(100, None)]
     df = spark.createDataFrame(rows, "id int, labels array<string>")
-    assert ids(S.need_selection(df, "id", "labels", quotas, 1, pool=pool, over=over)) == sorted(want)
+    targets = {"big": 50, "mid": 20, "rare": 10}
+    got = S.scarce_first(df, "id", "labels", targets, 1).toPandas()
+    gone, want = set(), {}
+    for g in ("rare", "mid", "big"):
+        pool = sorted((hashlib.md5(f"1|{g}|{i}".encode()).hexdigest(), i) for i, x in rows if x and g in x and i not in gone)
+        want[g] = {i for _, i in pool[: targets[g]]}
+        gone |= want[g]
+    assert {g: set(p["id"]) for g, p in got.groupby("group")} == want
+    with pytest.raises(ValueError, match="rare has 10 rows of 11"):
+        S.scarce_first(df, "id", "labels", targets | {"rare": 11}, 1)
+    assert S.scarce_first(df, "id", "labels", {"rare": 11, "none": 2}, 1, exact=False).count() == 10
 
 
 def test_dedup_is_idempotent_and_keeps_the_first(items):
@@ -428,3 +466,85 @@ def test_edit_ratio_is_the_library_one(spark):
 def test_replace_first(spark):
     df = spark.createDataFrame([("a1b2\nc3",), ("none",), (None,)], "t string")
     assert [r[0] for r in df.select(X.replace_first("t", "[0-9]", "#")).collect()] == ["a#b2\nc3", "none", None]
+
+
+def test_social_texts(spark):
+    good = "Сегодня мы гуляли у реки и смотрели на лодки"
+    cases = [
+        (good, True), (None, False), ("", False), ("Коротко", False), (good * 6, False), ("Это было очень странно", False), ("Это было очень странно !!", True), (good + " аааааааа", False),
+        ("смотрите https://example.org/video скорее, друзья", False), ("@a @b @c смотрите скорее наше видео", False), ("only english words are here and nothing else", False), (good + " https://example.org", True),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
+    got = {r["i"]: r["ok"] for r in df.select("i", filters.social_ok("t").alias("ok")).collect()}
+    assert [got[i] for i in range(len(cases))] == [ok for _, ok in cases]
+
+
+def test_json_texts_answers_and_tags(spark):
+    texts = ['{"text": [{"text": " a "}, {"text": ""}, "no", {"text": "b\\q"}]}', ' raw {"text" ', None, '{"text": "plain"}', "[]"]
+    answers = ['[{"condition": "c", "solution": {"text": "s"}}, {"condition": "d", "solution": "t"}, 5]', 'x "condition": "one \\"two\\"" y "solution": {"text": "three"} "answers": ["four"]', " nothing ", None]
+    tags = ['["a", "b"]', '"one"', "broken [", "", None]
+    col = lambda f, v: [r[0] for r in spark.createDataFrame([(x,) for x in v], "x string").select(f("x")).collect()]
+    assert col(C.json_text, texts) == ["a b\\q", 'raw {"text"', None, '{"text": "plain"}', "[]"]
+    assert col(C.json_answer, answers) == ["c s d t", 'one "two" three four', "nothing", None]
+    assert col(C.json_tags, tags) == [["a", "b"], ["one"], ["broken ["], [], []]
+
+
+def test_ridge_forms(spark):
+    rng = np.random.default_rng(2)
+    rows = [(0, i, [float(x) for x in rng.normal(i % 3, 1, 4)], f"l{i % 3}", "query" if i % 4 == 0 else "support") for i in range(40)]
+    df = spark.createDataFrame(rows, "e int, k int, v array<double>, l string, r string")
+    x, z = (np.array([r[2] for r in rows if r[4] == role]) for role in ("support", "query"))
+    y = np.array([[r[3] == f"l{j}" for j in range(3)] for r in rows if r[4] == "support"], float)
+    table = lambda d: d.toPandas().sort_values(["k", "label"])["score"].to_numpy().reshape(-1, 3)
+    assert np.allclose(table(V.ridge(df, "e", "k", "v", "l", "r", 0.5)), z @ np.linalg.solve(x.T @ x + 0.5 * np.eye(4), x.T @ y))
+    centred, mean, ymean = x - x.mean(0), x.mean(0), y.mean(0)  # a free bias is the same as centring
+    want = (z - mean) @ np.linalg.solve(centred.T @ centred + 0.5 * np.eye(4), centred.T @ (y - ymean)) + ymean
+    assert np.allclose(table(V.ridge(df, "e", "k", "v", "l", "r", 0.5, bias=True, temperature=0.1)), want / 0.1)
+
+
+def test_average_precision_in_ranges(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"g{i % 2}", round(float(rng.random()), 2), bool(rng.random() < 0.3)) for i in range(900)] + [("none", 0.5, False), ("g0", None, True)]
+    got = {r["g"]: r["ap"] for r in V.average_precision(spark.createDataFrame(rows, "g string, s double, r boolean"), "s", F.col("r"), "g").collect()}
+    for g in ("g0", "g1", "none"):
+        own = [(s, r) for k, s, r in rows if k == g and s is not None]
+        total, ap = sum(r for _, r in own), 0.0
+        for v in {s for s, _ in own}:
+            upto = [r for s, r in own if s >= v]
+            ap += sum(r for s, r in own if s == v) / total * sum(upto) / len(upto) if total else 0.0
+        assert got[g] == pytest.approx(ap)
+
+
+def test_near_refined_against_a_loop(spark):
+    texts = ["один два три четыре пять", "один два три четыре пять шесть", "а бб вв гг", "а бб вв гг", "пять четыре три два один", "совсем другие слова стоят тут"]
+    pair = lambda n: spark.createDataFrame(list(enumerate(texts)), f"{n}_id int, {n}_text string")
+    words = lambda n: pair(n).select(f"{n}_id", F.split(f"{n}_text", " ").alias("words"))
+    got = {(r["a_id"], r["b_id"]) for r in M.refined(M.jaccard_pairs(words("a"), words("b"), 0.78), pair("a"), pair("b")).collect()}
+    assert got == {(i, j) for i in (0, 1, 4) for j in (0, 1, 4)} | {(5, 5)}
+
+
+def test_shared_labels_in_blocks(spark):
+    rows = [(i, ["all", f"l{i % 4}", None]) for i in range(30)] + [(40, None), (41, [])]
+    got = {(r["a"], r["b"]): r["shared"] for r in M.sharing_labels(spark.createDataFrame(rows, "id int, labels array<string>"), "id", "labels").collect()}
+    assert got == {(i, j): 1 + (i % 4 == j % 4) for i in range(30) for j in range(i + 1, 30)}
+
+
+def test_templates_are_counted_first(spark):
+    slot = spark.range(100).select(F.col("id").cast("string").alias("x"))
+    assert filters.templates("%s-%s", slot, slot).count() == 10_000
+    with pytest.raises(ValueError, match="the slots have"):
+        filters.templates("%s-%s", slot, slot, most=9_999)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as N
+
+    from corpusloom.session import shared_dir
+
+    held = {}
+    conf = N(get=lambda k, d=None: held.get(k, d), set=held.__setitem__)
+    session = lambda master: N(sparkContext=N(master=master, getConf=lambda: conf), conf=conf)
+    for master in ("yarn", "local-cluster[3,2,1000]", "spark://host:7077"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared_dir(session(master))
+    assert shared_dir(session("local[4]")).startswith("file:///") and shared_dir(session("yarn")) == held["spark.checkpoint.dir"]
