@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.components import components
-from corpusloom.llm.setjoin import Buckets, Seen, crowds, in_blocks, set_table, verified
+from corpusloom.llm.setjoin import Buckets, Seen, crowds, set_table, verified
 from corpusloom.llm.sketch import band_keys, flatten, similarity_sketch
+from corpusloom.operators.ranking import in_blocks
 from corpusloom.session import cut
 
 #: Bands of the sketch and coordinates of a band: a pair of similarity J is missed with probability (1 - J^6)^25,

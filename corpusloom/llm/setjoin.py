@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.llm.words import WordHashes, word_set
+from corpusloom.operators.ranking import in_blocks
 from corpusloom.session import cut
 
 #: Two texts match if at least SHARE[0] / SHARE[1] of the words found in either are found in both.
@@ -165,23 +166,6 @@ def crowds(rows: Iterator[dict[str, np.ndarray]], hot: int, most: int = 500_000)
         yield flush(held)
 
 
-def in_blocks(rows: DataFrame, keys: list[str], block: int = 512) -> tuple[DataFrame, DataFrame, Column]:
-    """Two copies x, y of rows (keys, id, n, ...) and the condition of their join: all pairs within a key, in blocks of about ``block``².
-
-    n: how many rows the key has.  A row comes once for each block of its key, so a key of
-    any size is spread over as many tasks as it has pairs of blocks.  The condition holds
-    once for each ordered pair of rows; which of the two orders is wanted the caller adds.
-    """
-    k = F.ceil(F.col("n") / block).cast("int")
-    own = rows.withColumn("_b", F.pmod(F.xxhash64("id"), k).cast("int"))
-    each = own.withColumn("_o", F.explode(F.sequence(F.lit(0), k - 1))).withColumn("_u", F.least("_b", "_o")).withColumn("_v", F.greatest("_b", "_o"))
-    x, y = (each.select(*[F.col(c).alias(f"{side}_{c}") for c in (*rows.columns, "_b", "_u", "_v")]) for side in "xy")
-    on = (F.col("x__u") == F.col("y__u")) & (F.col("x__v") == F.col("y__v")) & ((F.col("x__u") == F.col("x__v")) | (F.col("x__b") != F.col("y__b")))
-    for c in keys:
-        on = on & (F.col(f"x_{c}") == F.col(f"y_{c}"))
-    return x, y, on
-
-
 class Buckets:
     """Candidate pairs (a, b) of ids that share a key, whatever the number of ids of a key.
 

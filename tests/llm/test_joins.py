@@ -12,6 +12,7 @@ from corpusloom.llm import leak, neardup, overlap, setjoin
 from corpusloom.llm.components import components
 from corpusloom.llm.sketch import band_keys, flatten, grouped_fingerprints, similarity_sketch
 from corpusloom.llm.words import words
+from corpusloom.operators.ranking import in_blocks
 
 VOCABULARY = [f"{a}{b}{c}" for a in "абвгд" for b in "еёиоу" for c in "клмнпрст"]
 
@@ -159,7 +160,7 @@ def test_groups_of_families_against_all_pairs(spark):
 def test_pairs_in_blocks(spark):
     rows = [(k, i) for k, n in ((1, 40), (2, 1), (3, 7)) for i in range(100 * k, 100 * k + n)]
     df = spark.createDataFrame(rows, "key bigint, id bigint")
-    x, y, on = setjoin.in_blocks(df.join(df.groupBy("key").agg(F.count("*").alias("n")), "key"), ["key"], block=6)
+    x, y, on = in_blocks(df.join(df.groupBy("key").agg(F.count("*").alias("n")), "key"), ["key"], block=6)
     got = [tuple(r) for r in x.join(y, on & (F.col("x_id") < F.col("y_id"))).select("x_id", "y_id").collect()]
     want = {(a, b) for k, a in rows for m, b in rows if k == m and a < b}
     assert set(got) == want and len(got) == len(want)
