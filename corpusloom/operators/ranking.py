@@ -26,6 +26,22 @@ def numbered(df: DataFrame, group: list[str], bucket: str, order: list[str | Col
     return ranked.join(offsets, match).withColumn(name, F.col("__r") + F.col("__o")).select(*df.columns, name)
 
 
+def cumulated(df: DataFrame, group: list[str], bucket: str, order: list[str | Column], x: str, name: str) -> DataFrame:
+    """Add ``name``: the sum of x over the rows of the group before this one, by ``bucket`` and then ``order``; split as in ``numbered``.
+
+    Rows equal in bucket and order come one after the other in no stated order.
+    """
+    sums = df.groupBy(*group, bucket).agg(F.sum(x).alias("__n"))
+    before = W.partitionBy(*group).orderBy(F.col(bucket).asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
+    offsets = sums.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], F.col(bucket).alias("__b"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
+    upto = W.partitionBy(*group, bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    summed = df.withColumn("__r", F.coalesce(F.sum(x).over(upto), F.lit(0)))
+    match = F.col(bucket).eqNullSafe(F.col("__b"))
+    for i, g in enumerate(group):
+        match = match & F.col(g).eqNullSafe(F.col(f"__g{i}"))
+    return summed.join(offsets, match).withColumn(name, F.col("__r") + F.col("__o")).select(*df.columns, name)
+
+
 def in_blocks(rows: DataFrame, keys: list[str], block: int = 512) -> tuple[DataFrame, DataFrame, Column]:
     """Two copies x, y of rows (keys, id, n, ...) and the condition of their join: all pairs within a key, in blocks of about ``block``².
 

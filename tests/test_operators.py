@@ -19,7 +19,7 @@ from corpusloom.operators import reshape as C
 from corpusloom.operators import sampling as S
 from corpusloom.operators import sets as U
 from corpusloom.operators import vectors as V
-from corpusloom.operators.ranking import numbered
+from corpusloom.operators.ranking import cumulated, numbered
 from corpusloom.plans import catalog
 
 
@@ -41,6 +41,13 @@ def test_numbered_is_a_permutation_per_group(items):
         assert list(zip(p["b"], p["x"], p["id"], strict=True)) == sorted(zip(p["b"], p["x"], p["id"], strict=True))
 
 
+def test_cumulated_sums_what_comes_before(items):
+    r = cumulated(items.withColumn("b", F.col("id") % 5), ["g"], "b", ["id"], "x", "before").toPandas()
+    for _, p in r.groupby("g", dropna=False):
+        p = p.sort_values(["b", "id"])
+        assert np.allclose(p["before"], np.cumsum(p["x"]) - p["x"])
+
+
 def test_sample_and_complement_are_disjoint_and_complete(items):
     a, b = ids(S.sample(items, "id", 120, 3)), ids(S.complement(items, "id", 120, 3))
     assert len(a) == 120 and not set(a) & set(b) and sorted(a + b) == list(range(500))
