@@ -1,9 +1,12 @@
 """A sample whose categories have given proportions.
 
-The inclusion probabilities come from the dual of exponential tilting: among all
-probabilities with the wanted totals they are the ones nearest the even ones, and the dual
-is solved by Newton steps over the moments of the categories, which are aggregated from the
-records.  The records are then drawn with the pivotal method, block by block.
+Two dual problems are solved by Newton steps.  The first has one multiplier for the total:
+among all numbers with the wanted total, between the floors and what there is, those nearest
+to the target shares; categories at a bound are fixed and the free ones solved again.  The
+second has one multiplier for each category: the inclusion probabilities nearest to an even
+draw (exponential tilting) that give these numbers, over the moments of the categories,
+which are aggregated from the records.  The records are then drawn with the pivotal
+method, block by block.
 """
 
 from __future__ import annotations
@@ -53,6 +56,33 @@ def tilt(sizes: np.ndarray, wanted: np.ndarray, rounds: int = 60) -> np.ndarray:
     return p
 
 
+def allocate(target: np.ndarray, floor: np.ndarray, available: np.ndarray, rounds: int = 100) -> np.ndarray:
+    """How many records of each category: nearest to the targets with their total, at least the floor and at most what there is.
+
+    Minimises the divergence from the targets; its dual has one multiplier l for the total, and
+    a category gets exp(l) times its target, cut to its bounds.  A Newton step solves for
+    the categories that are free as it stands; those that it takes over a bound are fixed
+    for the next step.  Floors beyond what there is, and a total beyond all there is, are
+    cut to it; floors beyond the total stay.
+    """
+    low, high = np.minimum(floor, available), available
+    total = min(max(target.sum(), low.sum()), high.sum())
+    small, large = 0.0, 1e12  # the multiplier exp(l) lies between
+    scale = 1.0
+    got = np.clip(target, low, high)
+    for _ in range(rounds):
+        got = np.clip(scale * target, low, high)
+        gap = total - got.sum()
+        if abs(gap) <= 1e-9 * max(1.0, total):
+            break
+        small, large = (scale, large) if gap > 0 else (small, scale)
+        slope = target[(scale * target > low) & (scale * target < high)].sum()  # derivative over the free categories
+        scale = scale + gap / slope if slope > 0 else -1.0
+        if not small < scale < large:
+            scale = (small + large) / 2 if large < 1e12 else max(1.0, 2 * small)
+    return got
+
+
 def pivotal(p: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, int, float]:
     """Which units are drawn (1), not drawn (0) or left open (-1: one at most), the open one and its probability.
 
@@ -89,34 +119,48 @@ def pivotal(p: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, int, float]:
 
 
 def quotas(records: DataFrame, targets: DataFrame, named: Column) -> DataFrame:
-    """The rows of the targets with available, wanted, planned and short.
+    """The rows of the targets with available, wanted and short.
 
-    wanted: the larger of target_share * sample_size and min_rows; planned: at most what is
-    available.  Null shares, sizes and floors count as 0.
+    wanted: the larger of target_share * sample_size and min_rows.  Null shares, sizes and
+    floors count as 0.
     """
     have = records.where(F.col("label").isNotNull()).groupBy("label").agg(F.count("*").alias("available")).withColumnRenamed("label", "_label")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     want = targets.select("plan", "label", "sample_size", "target_share", "min_rows", named.alias("_label"), F.greatest(zero("target_share") * zero("sample_size"), zero("min_rows").cast("double")).alias("wanted"))
     joined = want.join(have, "_label", "left").withColumn("available", F.coalesce("available", F.lit(0)))
-    return joined.select("plan", "label", "_label", "sample_size", "target_share", "min_rows", "available", "wanted", F.least("wanted", F.col("available").cast("double")).alias("planned"), (F.col("available") < F.col("wanted")).alias("short"))
+    return joined.select("plan", "label", "_label", "sample_size", "target_share", "min_rows", "available", "wanted", (F.col("available") < F.col("wanted")).alias("short"))
+
+
+def plans(quota: DataFrame) -> pd.DataFrame:
+    """The rows of ``quotas`` with planned, the number calibrated within each plan, and p, the inclusion probability.
+
+    More than MOST_TARGETS rows are an error.  A label on several rows of a plan is drawn for each.
+    """
+    rows = quota.limit(MOST_TARGETS + 1).toPandas()
+    if len(rows) > MOST_TARGETS:
+        raise ValueError(f"more than {MOST_TARGETS} targets")
+    rows["planned"], rows["p"] = 0.0, 0.0
+    size, share, floor = (rows[c].fillna(0).to_numpy(float) for c in ("sample_size", "target_share", "min_rows"))
+    have, target = rows["available"].to_numpy(float), np.maximum(0, size * share)
+    for _, at in rows.groupby("plan", dropna=False).indices.items():
+        planned = allocate(target[at], np.maximum(0, floor[at]), have[at])
+        rows.loc[rows.index[at], "planned"] = planned
+        rows.loc[rows.index[at], "p"] = tilt(have[at], planned)
+    return rows
 
 
 def draw(records: DataFrame, keys: list[str], targets: DataFrame, named: Column, seed: int = 0) -> DataFrame:
     """(plan, keys, label): the sample of each plan.
 
     A label gets its planned number, rounded up or down at random so that the total keeps
-    its size to one record; labels with a floor get at least that many where they have them.
+    its size to one record; labels with a floor get at least that many where they have them,
+    and what a label hasn't the others of the plan make up for, in proportion.
     Records without label, or with one that no plan names, are never drawn.
     """
     spark = records.sparkSession
     q = quotas(records, targets, named)
-    rows = q.limit(MOST_TARGETS + 1).toPandas()
-    if len(rows) > MOST_TARGETS:
-        raise ValueError(f"more than {MOST_TARGETS} targets")
+    rows = plans(q)
     rows = rows[rows["available"] > 0].copy()
-    rows["p"] = 0.0
-    for _, at in rows.groupby("plan", dropna=False).groups.items():
-        rows.loc[at, "p"] = tilt(rows.loc[at, "available"].to_numpy(float), rows.loc[at, "planned"].to_numpy(float))
     rows["blocks"] = np.maximum(1, -(-rows["available"] // BLOCK)).astype(int)
     rates = spark.createDataFrame(rows[["plan", "label", "_label", "p", "blocks"]], "plan string, label string, _label string, p double, blocks int")
     units = records.withColumnRenamed("label", "_label").join(F.broadcast(rates), "_label").where("p > 0")
@@ -139,15 +183,30 @@ def draw(records: DataFrame, keys: list[str], targets: DataFrame, named: Column,
         both = cut(open_.drop("state").groupBy("plan", *by).applyInPandas(duel, schema), "duels")
         won.append(both.where("state = 1"))
         open_ = both.where("state = -1")
-    last = open_.where(F.col("u") < F.col("p"))
+    # the order of the meetings follows u, so the last open unit is decided by another number
+    last = open_.where(F.pmod(F.xxhash64(F.lit(seed + 2), "plan", *keys), F.lit(1 << 30)) / float(1 << 30) < F.col("p"))
     every = won[0].unionByName(won[1]).unionByName(won[2]).unionByName(last)
     return every.select("plan", *keys, "label")
 
 
 def report(records: DataFrame, sample: DataFrame, targets: DataFrame, named: Column) -> DataFrame:
-    """Per plan and label: available, wanted, drawn, its share of the sample and what is missing."""
+    """Per plan and label what came of its target.
+
+    available, wanted (target or floor), planned (after floors and shortages of all labels),
+    drawn, the share of the sample, the target share, missing and short (fewer than wanted
+    available), and held: why the label is off its target ('short', 'floor', or 'others'
+    where it makes room for the floors of others or makes up for what they lack).
+    """
+    spark = records.sparkSession
     drawn = sample.groupBy(F.col("plan").alias("_p"), F.col("label").alias("_l")).agg(F.count("*").alias("drawn"))
-    q = quotas(records, targets, named)
+    rows = plans(quotas(records, targets, named))
+    kinds = dict(targets.dtypes)
+    names = ("plan", "label", "sample_size", "target_share", "min_rows", "available", "wanted", "planned", "short")
+    types = [kinds[n] if n in kinds else {"available": "bigint", "short": "boolean"}.get(n, "double") for n in names]
+    clean = [tuple(None if v is None or v != v else v.item() if hasattr(v, "item") else v for v in r) for r in rows[list(names)].itertuples(index=False)]
+    whole = {i for i, t in enumerate(types) if t in ("bigint", "int")}
+    q = spark.createDataFrame([tuple(int(v) if i in whole and v is not None else v for i, v in enumerate(r)) for r in clean], ", ".join(f"{n} {t}" for n, t in zip(names, types, strict=True)))
     joined = q.join(drawn, F.col("plan").eqNullSafe(F.col("_p")) & F.col("label").eqNullSafe(F.col("_l")), "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
-    total = F.sum("drawn").over(W.partitionBy("plan"))
-    return joined.select("plan", "label", "available", "wanted", "drawn", F.when(total > 0, F.col("drawn") / total).otherwise(0.0).alias("share"), "target_share", F.greatest(F.col("wanted") - F.col("available"), F.lit(0.0)).alias("missing"), "short")
+    total, target = F.sum("drawn").over(W.partitionBy("plan")), F.coalesce(F.col("target_share") * F.col("sample_size"), F.lit(0.0))
+    held = F.when(F.col("short"), "short").when(F.col("planned") <= F.col("min_rows"), "floor").when(F.abs(F.col("planned") - target) > 1e-6 * (1 + target), "others")
+    return joined.select("plan", "label", "available", "wanted", F.round("planned", 6).alias("planned"), "drawn", F.when(total > 0, F.col("drawn") / total).otherwise(0.0).alias("share"), "target_share", F.greatest(F.col("wanted") - F.col("available"), F.lit(0.0)).alias("missing"), "short", held.alias("held"))

@@ -98,7 +98,8 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return proportions.quotas(_records(spark, d), table(spark, d, "label_targets"), _label()).where("short").select("plan", "label").distinct()
+    """The labels of which the drawn sample has all there are, or its share of them, and these are too few."""
+    return p2_report(spark, d).where("short AND drawn <= available").select("plan", "label").distinct()
 
 
 def p2_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -116,12 +117,28 @@ def _train(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    s = mixing.supply(_train(spark, d), canonical_name("source"), table(spark, d, "mix_targets"), canonical_name("source"))
-    return s.where("wanted > cap").select("mix", "source").distinct()
+    """The sources that give the mix all they may and have too few."""
+    train, targets, name = _train(spark, d), table(spark, d, "mix_targets"), canonical_name("source")
+    return mixing.shares(train, name, targets, name, mixing.mix(train, "pos", name, targets, name)).where("short AND drawn <= cap").select("mix", "source").distinct()
 
 
 def p4_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(_train(spark, d), "pos", canonical_name("source"), table(spark, d, "mix_targets"), canonical_name("source"))
+    """Demand in tokens of query and positive."""
+    c = table(prepare(spark), d, "contrastive").where("split = 'train'").select("pos", F.concat_ws("\n", "query", "positive").alias("text"))
+    sized = pack.token_counts(c, "pos", "text").join(_train(spark, d), "pos")
+    return mixing.mix(sized, "pos", canonical_name("source"), table(spark, d, "mix_targets"), canonical_name("source"), size=F.col("n_tokens"))
+
+
+#: Weights over the training, relative to the target: long questions early, reviews and science late.
+SCHEDULES = {"it_forum_qa": (2.0, 1.0, 0.0), "soc_chat": (1.5, 0.5), "sci_surveys": (0.0, 1.0, 2.0), "rev_films": (0.0, 2.0)}
+
+
+def p4_curriculum(spark: SparkSession, d: str) -> DataFrame:
+    """Records of each source in each quarter of a mix with time-varying weights; demand in records."""
+    m = mixing.mix(_train(spark, d), "pos", canonical_name("source"), table(spark, d, "mix_targets"), canonical_name("source"), SCHEDULES)
+    size = m.groupBy(F.col("mix").alias("_m")).agg(F.count("*").alias("_n"))
+    j = m.join(size, F.col("mix").eqNullSafe(F.col("_m"))).select("mix", "source", F.floor(F.col("position") * 4 / F.col("_n")).alias("quarter"))
+    return j.groupBy("mix", "quarter", "source").agg(F.count("*").alias("n"))
 
 
 def p4_shares(spark: SparkSession, d: str) -> DataFrame:
@@ -146,7 +163,7 @@ def _named(*fs: Query) -> dict[str, Query]:
 
 
 QUERIES: dict[str, Query] = (
-    _named(p1_found, p1_overlap_report, p2_found, p2_sample, p2_report, p3_found, p3_groups, p4_found, p4_mix, p4_shares)
+    _named(p1_found, p1_overlap_report, p2_found, p2_sample, p2_report, p3_found, p3_groups, p4_found, p4_mix, p4_curriculum, p4_shares)
     | _named(p5_found, p5_unified, p6_found, p6_scores, p6_rates, p7_containers, p7_fill, p8_found, p8_leaked_items, p9_found, p9_statistics)
 )
 _SQL_LABEL = "nullif(replace(lower(trim(regexp_replace(label, '[\\s ]+', ' ', 'g'))), ' ', '_'), '')"
@@ -154,6 +171,31 @@ _SQL_SOURCE = "nullif(regexp_replace(lower(trim(regexp_replace(source, '[\\s ]+'
 _SQL_LATEST = f"""
     SELECT key FROM (SELECT {_SQL_LABEL} AS key, row_number() OVER (PARTITION BY batch_id, slot ORDER BY coalesce(added_at, TIMESTAMP '0001-01-01') DESC,
     ({_SQL_LABEL} IS NOT NULL)::INT DESC, {_SQL_LABEL} DESC) AS r FROM labeled_text) WHERE r = 1 AND key IS NOT NULL"""
+_SQL_SUPPLY = f"""WITH have AS (SELECT {_SQL_SOURCE} AS key, count(*) AS n FROM contrastive WHERE split = 'train' GROUP BY 1),
+        s AS (SELECT mix, source, key, weight, coalesce(weight, 0) * coalesce(total_records, 0) AS wanted, coalesce(n, 0) AS available, coalesce(max_repeats, 0) * coalesce(n, 0) AS cap FROM (SELECT *, {_SQL_SOURCE} AS key FROM mix_targets) t LEFT JOIN have USING (key)),
+        o AS (SELECT *, least(round(wanted), greatest(cap, 0))::BIGINT AS alone, sum(wanted) OVER (PARTITION BY mix) AS asked FROM s),
+        -- the common multiple of the demand: the least at which the mix is full, or that all are at their cap
+        m AS (SELECT mix, coalesce(min(l) FILTER (given >= asked - 1e-6), 1e18) AS hi, coalesce(max(l) FILTER (given <= asked + 1e-6), 0) AS lo FROM (
+            SELECT x.mix, x.l, any_value(o.asked) AS asked, sum(least(o.cap, x.l * o.wanted)) AS given FROM (SELECT DISTINCT mix, cap / nullif(wanted, 0) AS l FROM o) x JOIN o ON o.mix = x.mix WHERE x.l IS NOT NULL GROUP BY x.mix, x.l) GROUP BY mix),
+        c AS (SELECT o.mix, CASE WHEN sum(o.cap) <= any_value(o.asked) THEN 1e18 ELSE (any_value(o.asked) - coalesce(sum(o.cap) FILTER (o.cap <= m.lo * o.wanted + 1e-9), 0)) / sum(o.wanted) FILTER (NOT o.cap <= m.lo * o.wanted + 1e-9) END AS l FROM o JOIN m USING (mix) GROUP BY o.mix),
+        e AS (SELECT o.*, round(least(cap, l * wanted), 6) AS exact FROM o JOIN c USING (mix)), f AS (SELECT *, round(sum(exact) OVER (PARTITION BY mix)) - sum(floor(exact)) OVER (PARTITION BY mix) AS rest, row_number() OVER (PARTITION BY mix ORDER BY round(exact - floor(exact), 6) DESC, key, source) AS r FROM e),
+        supply AS (SELECT *, (floor(exact) + (r <= rest AND floor(exact) + 1 <= cap)::INT)::BIGINT AS quota FROM f)"""
+
+
+def _sql_moment(schedule: tuple[float, ...]) -> str:
+    """The moment at which the integral of a schedule reaches x of its total, in SQL."""
+    n = len(schedule) - 1
+    parts = [(a + b) / 2 / n for a, b in zip(schedule, schedule[1:], strict=False)]
+    total, done, cases = sum(parts), 0.0, []
+    for i, (part, a, b) in enumerate(zip(parts, schedule, schedule[1:], strict=False)):
+        rest = f"((x * {total!r}::DOUBLE - {done!r}::DOUBLE) * {n})"
+        at = f"{rest} / {a!r}::DOUBLE" if a == b else f"(sqrt(greatest({a * a!r}::DOUBLE + {2 * (b - a)!r}::DOUBLE * {rest}, 0)) - {a!r}::DOUBLE) / {b - a!r}::DOUBLE"
+        if part:
+            cases.append(f"WHEN x <= {(done + part) / total!r}::DOUBLE THEN ({i} + {at}) / {n}")
+        done += part
+    return f"CASE {' '.join(cases)} ELSE 1.0 END"
+
+
 SQL: dict[str, str] = {
     "p2_found": f"""
         WITH have AS (SELECT key, count(*) AS n FROM ({_SQL_LATEST}) GROUP BY key)
@@ -164,9 +206,11 @@ SQL: dict[str, str] = {
         SELECT DISTINCT mix, source FROM (SELECT mix, source, {_SQL_SOURCE} AS key, coalesce(weight, 0) * coalesce(total_records, 0) AS wanted, coalesce(max_repeats, 0) AS most FROM mix_targets) t
         LEFT JOIN have USING (key) WHERE wanted > most * coalesce(n, 0)""",
     "p4_shares": f"""
-        WITH have AS (SELECT {_SQL_SOURCE} AS key, count(*) AS n FROM contrastive WHERE split = 'train' GROUP BY 1),
-        s AS (SELECT mix, source, weight, coalesce(weight, 0) * coalesce(total_records, 0) AS wanted, coalesce(n, 0) AS available, coalesce(max_repeats, 0) * coalesce(n, 0) AS cap
-              FROM (SELECT *, {_SQL_SOURCE} AS key FROM mix_targets) t LEFT JOIN have USING (key)),
-        q AS (SELECT *, least(round(wanted), greatest(cap, 0))::BIGINT AS drawn FROM s)
-        SELECT mix, source, weight, wanted, available, cap, drawn, CASE WHEN sum(drawn) OVER (PARTITION BY mix) > 0 THEN drawn / sum(drawn) OVER (PARTITION BY mix) ELSE 0.0 END AS share, wanted > cap AS short FROM q""",
+        {_SQL_SUPPLY}, q AS (SELECT *, sum(quota) OVER (PARTITION BY mix) AS t, sum(alone) OVER (PARTITION BY mix) AS ta FROM supply)
+        SELECT mix, source, weight, wanted, available, cap, alone, CASE WHEN ta > 0 THEN alone / ta ELSE 0.0 END AS share_alone, quota AS drawn, CASE WHEN t > 0 THEN quota / t ELSE 0.0 END AS share, wanted > cap AS short FROM q""",
+    "p4_curriculum": f"""
+        {_SQL_SUPPLY}, d AS (SELECT mix, source, quota, unnest(range(0, quota)) AS k FROM supply WHERE quota > 0), x AS (SELECT *, (k + 0.5::DOUBLE) / quota AS x FROM d),
+        t AS (SELECT mix, source, round(CASE source {" ".join(f"WHEN '{n}' THEN {_sql_moment(v)}" for n, v in SCHEDULES.items())} ELSE x END, 12) AS t FROM x),
+        p AS (SELECT mix, source, row_number() OVER (PARTITION BY mix ORDER BY t, source) - 1 AS p, count(*) OVER (PARTITION BY mix) AS n FROM t)
+        SELECT mix, p * 4 // n AS quarter, source, count(*) AS n FROM p GROUP BY ALL""",
 }

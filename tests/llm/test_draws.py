@@ -85,16 +85,42 @@ def test_mix(spark, train):
     name = canonical_name("source")
     got = mixing.mix(train, "pos", name, t, name).toPandas()
     m = got[got["mix"] == "m"]
-    assert sorted(m["position"]) == list(range(len(m))) and Counter(m["source"]) == {"a_b": 300, "c": 200}
-    assert m.groupby("pos").size().max() == 2 and m[m["source"] == "a_b"].groupby("pos").size().min() == 1
-    assert (m.sort_values("position")["source"].head(50) == "a_b").sum() == pytest.approx(30, abs=2)
-    s = mixing.shares(train, name, t, name).toPandas().set_index(["mix", "source"])
-    assert s.loc[("m", "gone"), "short"] and s.loc[("m", "c"), "short"] and not s.loc[("m", "a_b"), "short"] and s.loc[("m", "a_b"), "share"] == pytest.approx(0.6)
-    assert s.loc[("z", "c"), "drawn"] == 0
+    assert sorted(m["position"]) == list(range(len(m))) and Counter(m["source"]) == {"a_b": 400, "c": 200}
+    assert m.groupby("pos").size().max() == 2 and m.groupby(["pos", "epoch"]).size().max() == 1
+    assert (m.sort_values("position")["source"].head(60) == "a_b").sum() == pytest.approx(40, abs=2)
+    for drawn in (None, mixing.mix(train, "pos", name, t, name)):
+        s = mixing.shares(train, name, t, name, drawn).toPandas().set_index(["mix", "source"])
+        assert s.loc[("m", "gone"), "short"] and s.loc[("m", "c"), "short"] and not s.loc[("m", "a_b"), "short"]
+        assert s.loc[("m", "a_b"), "share_alone"] == pytest.approx(0.6) and s.loc[("m", "a_b"), "drawn"] == 400 and s.loc[("m", "a_b"), "share"] == pytest.approx(2 / 3)
+        assert s.loc[("z", "c"), "drawn"] == 0 and s.loc[("n", "c"), "drawn"] == 10
     assert mixing.mix(train.where("pos < 0"), "pos", name, t, name).count() == 0
     assert mixing.mix(train, "pos", name, t.where("mix = 'x'"), name).count() == 0
 
 
+def test_a_mix_has_its_size_where_sources_can_give_it(spark, train):
+    name = canonical_name("source")
+    t = spark.createDataFrame([("m", 600, "c", 0.6, 1), ("m", 600, "a_b", 0.4, 9), ("n", 5000, "c", 0.5, 1), ("n", 5000, "a_b", 0.5, 1), ("k", 101, "c", 0.333, 1), ("k", 101, "a_b", 0.667, 1)], TARGETS)
+    s = mixing.shares(train, name, t, name).toPandas().set_index(["mix", "source"])
+    assert s.loc[("m", "c"), "drawn"] == 100 and s.loc[("m", "a_b"), "drawn"] == 500 and s.loc[("m", "a_b"), "alone"] == 240
+    assert s.loc[("n", "c"), "drawn"] == 100 and s.loc[("n", "a_b"), "drawn"] == 200
+    assert s.loc["k"]["drawn"].tolist().count(34) == 1 and s.loc["k"]["drawn"].sum() == 101
+
+
+def test_demand_in_tokens(spark):
+    rows = [(i, "long" if i % 2 else "short", 90 if i % 2 else 10) for i in range(400)] + [(1000, "none", None), (1001, "none", -5)]
+    df = spark.createDataFrame(rows, "pos bigint, source string, n int")
+    t = spark.createDataFrame([("m", 400, "long", 0.5, 1), ("m", 400, "short", 0.5, 1), ("z", 2, "none", 1.0, 1)], TARGETS)
+    m = mixing.mix(df, "pos", F.col("source"), t, F.col("source"), {"long": (2.0, 0.0)}, size=F.col("n")).toPandas().sort_values("position")
+    assert len(m) == 402 and sorted(m[m["mix"] == "m"]["position"]) == list(range(400))
+    long = m[(m["mix"] == "m") & (m["source"] == "long")]
+    # a falling weight: three quarters of its tokens in the first half of the training, where the steady source has half of its own
+    half = m[(m["mix"] == "m") & (m["source"] == "short")]["position"].iloc[99]
+    assert (long["position"] < half).sum() == pytest.approx(150, abs=2)
+    mixed = spark.createDataFrame([(i, "s", 1 + 30 * (i % 7 == 0)) for i in range(700)], "pos bigint, source string, n int")
+    got = mixing.mix(mixed, "pos", F.col("source"), spark.createDataFrame([("m", 700, "s", 1.0, 1)], TARGETS), F.col("source"), size=F.col("n"))
+    assert sorted(r["position"] for r in got.collect()) == list(range(700))
+
+
 def test_schedules_shift_a_source(spark, train):
     t = spark.createDataFrame([("m", 200, "a_b", 0.5, 1), ("m", 200, "c", 0.5, 1)], TARGETS)
     name = canonical_name("source")
@@ -133,8 +159,11 @@ def test_proportions(spark):
     p = s.toPandas()
     assert not p.duplicated(["plan", "batch_id", "slot"]).any() and set(p["plan"]) == {"p"}
     r = proportions.report(rec, s, t, key).toPandas().set_index(["plan", "label"])
-    assert r.loc[("p", "a_b"), "drawn"] == 300 and r.loc[("p", "d"), "drawn"] == 150 and r.loc[("p", "late"), "drawn"] == 1
-    assert r.loc[("p", "c"), "short"] and r.loc[("p", "c"), "drawn"] == r.loc[("p", "c"), "available"] and r.loc[("p", "gone"), "missing"] == 10
+    assert r.loc[("p", "late"), "drawn"] == 1 and r.loc[("p", "c"), "short"] and r.loc[("p", "c"), "drawn"] == r.loc[("p", "c"), "available"] and r.loc[("p", "gone"), "missing"] == 10
+    # c and gone are short, so a_b and d make up for them, three to one as in their targets
+    left = 1010 - 1 - r.loc[("p", "c"), "available"]
+    assert r["drawn"].loc["p"].sum() == 1010 and abs(r.loc[("p", "a_b"), "drawn"] - 0.75 * left) <= 1 and r.loc[("p", "d"), "held"] == "others"
+    assert r.loc[("p", "late"), "held"] == "floor" and r.loc[("p", "c"), "held"] == "short"
     again = proportions.draw(rec.repartition(9), ["batch_id", "slot"], t, key).toPandas()
     assert set(map(tuple, p.to_numpy())) == set(map(tuple, again.to_numpy()))
     assert proportions.draw(rec.where("batch_id < 0"), ["batch_id", "slot"], t, key).count() == 0
@@ -162,6 +191,19 @@ def test_pivotal_method_keeps_probabilities():
     assert np.abs(hits / 4000 - p).max() < 0.03
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.floats(0, 100), st.floats(0, 30), st.integers(0, 200)), min_size=1, max_size=8))
+def test_allocation_keeps_bounds_and_total(rows):
+    target, floor, have = (np.array([r[i] for r in rows], float) for i in range(3))
+    got = proportions.allocate(target, floor, have)
+    low = np.minimum(floor, have)
+    assert (got >= low - 1e-6).all() and (got <= have + 1e-6).all()
+    reach = np.where(target > 1e-9, have, low).sum()  # a category that nobody wants is not filled up
+    assert got.sum() == pytest.approx(min(max(target.sum(), low.sum()), reach), abs=1e-4)
+    free = (got > low + 1e-6) & (got < have - 1e-6) & (target > 1e-3)
+    assert free.sum() < 2 or np.ptp(got[free] / target[free]) < 1e-4 * (got[free] / target[free]).max()
+
+
 def test_tilt_meets_the_totals():
     n, t = np.array([100.0, 50, 10, 7]), np.array([20.0, 49.5, 10, 0])
     p = proportions.tilt(n, t)
