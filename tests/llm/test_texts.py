@@ -128,3 +128,13 @@ def test_prose_model(spark):
     assert p[902] > 0.5 > p[903]
     assert prose.fit(df.where("doc_id < 0"), "doc_id", "text") is None
     assert prose.prose(df.where("doc_id < 0"), "doc_id", "text", None).count() == 0
+
+
+def test_the_sample_of_documents_has_its_size(spark):
+    df = spark.range(60_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    got = prose.sampled(df, "doc_id", "text", 500)
+    assert got.count() == got.distinct().count() == 500
+    assert prose.sampled(df.limit(30), "doc_id", "text", 500).count() == 30
+    assert prose.sampled(df.where("doc_id < 0"), "doc_id", "text", 500).count() == 0
+    for n in (10**5, 10**9, 1_2 * 10**9, 10**12, 10**15):  # the share that is taken doesn't fall to nothing
+        assert n * prose._bound(10_000, n) / 2**64 == pytest.approx(10_600, rel=1e-3)
