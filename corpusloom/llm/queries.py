@@ -37,12 +37,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_unified(spark: SparkSession, d: str) -> DataFrame:
     """Every record with both texts in their one form, and the fields that had to change."""
-    c = table(prepare(spark), d, "contrastive").select("pos", "query", "positive")
-    new = lookalike.unify(c, ["query", "positive"], "pos")
-    by = new.groupBy("pos").agg(*[F.max(F.when(F.col("field") == f, F.col("new"))).alias(f"_{f}") for f in ("query", "positive")])
-    j = c.join(by, "pos", "left")
-    changed = F.concat_ws(",", *[F.when(F.col(f"_{f}").isNotNull(), F.lit(f)) for f in ("query", "positive")])
-    return j.select("pos", *[F.coalesce(f"_{f}", f).alias(f) for f in ("query", "positive")], changed.alias("changed"))
+    return lookalike.unified(table(prepare(spark), d, "contrastive"), ["query", "positive"], "pos")
 
 
 def p6_scores(spark: SparkSession, d: str) -> DataFrame:

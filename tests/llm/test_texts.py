@@ -44,6 +44,51 @@ def test_classes_are_transitive_and_chosen_by_frequency():
     assert often.normalize("дом, a сад") == "дом, а сад" and LookalikeModel({"Cyrl:a": 9, "Cyrl:а": 1}).normalize("дом, a сад") == "дом, a сад"
 
 
+@pytest.fixture(scope="module")
+def known(spark):
+    return lookalike.skeletons(spark)
+
+
+@pytest.mark.parametrize(("old", "new"), [("Москвɑ", "Москва"), ("ԁata", "data"), ("dօm", "dom"), ("Ꭺbc", "Abc"), ("ℋello", "Hello"), ("бысτро", "быстро"), ("Ꮇосква", "Москва")])
+def test_look_alikes_in_the_wider_sense(known, old, new):
+    m = LookalikeModel(skeletons=known)
+    got = m.normalize(old)
+    assert got == new and m.suspect(old) and m.normalize(new) == new
+
+
+@pytest.mark.parametrize("text", [*KEPT, "դա հայերեն է", "ᎣᏏᏲ", "кΩ", "dγ", "Δx", "ΛCDM", "[ɡuːd]", "π-мезон", "σ = 3", "SIM-карта", "rn and m"])
+def test_proper_text_stays_in_the_wider_sense(known, text):
+    assert LookalikeModel(skeletons=known).normalize(text) == text
+
+
+def test_counts_choose_the_representative(known):
+    for often, new in (("у", "оқуши ту"), ("ү", "оқуши тү")):
+        m = LookalikeModel({often: 9}, known)
+        assert m.wider_map["Cyrl"]["ʏ"] == often and new[-1] == often
+    one, two = (LookalikeModel({c: 5}, known).normalize("тужʏж") for c in "уү")
+    assert (one, two) == ("тужуж", "тужүж")
+
+
+@pytest.mark.parametrize("word", ["is", "pace", "scope", "episcopy", "oasisspicejoy"])
+def test_words_of_any_length_are_judged_by_their_spelling(spark, word):
+    swap = str.maketrans("acehijopsxy", "асеһіјорѕху")
+    rows = [(i, f"the {word} then was here") for i in range(500)] + [(900, f"the {word.translate(swap)} then was here"), (901, f"the {word.translate(swap).title()} then")]
+    df = spark.createDataFrame(rows, "pos bigint, query string")
+    got = {r["pos"]: r["new"] for r in lookalike.unify(df, ["query"], "pos").collect()}
+    assert got[900] == f"the {word} then was here" and set(got) <= {900, 901}
+
+
+def test_unified_is_unify_in_one_pass(spark):
+    rows = [(i, o, n) for i, (o, n) in enumerate(CHANGED)] + [(100, None, ""), (101, "plain", "ascii")]
+    df = spark.createDataFrame(rows, "pos bigint, query string, positive string")
+    got = {r["pos"]: r for r in lookalike.unified(df, ["query", "positive"], "pos").collect()}
+    new = {(r["pos"], r["field"]): r["new"] for r in lookalike.unify(df, ["query", "positive"], "pos").collect()}
+    for pos, q, p in rows:
+        assert got[pos]["query"] == new.get((pos, "query"), q) and got[pos]["positive"] == new.get((pos, "positive"), p)
+        assert got[pos]["changed"] == ",".join(f for f in ("query", "positive") if (pos, f) in new)
+    assert lookalike.unified(df.where("pos < 0"), ["query", "positive"], "pos").count() == 0
+
+
 def test_unify(spark):
     rows = [(1, "Чтo зa дом", None, 1), (2, "дом", "", 2), (3, None, "x​y", 3), (4, " ", "и сад " * 5000 + "cад", 4), (1, "Чтo зa дом", None, 5)]
     df = spark.createDataFrame(rows, "pos bigint, query string, positive string, field int").withColumnRenamed("field", "old")
