@@ -47,13 +47,13 @@ def p6_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return p6_scores(spark, d).where(F.col("severity") > severity.OFFENDING).select("pos")
+    return p6_scores(spark, d).where(F.col("p_offending") > severity.OFFENDING).select("pos")
 
 
 def p6_rates(spark: SparkSession, d: str) -> DataFrame:
     """Offending records and mean severity per source."""
     scored = p6_scores(spark, d).join(table(spark, d, "contrastive").select("pos", canonical_name("source").alias("source")), "pos")
-    bad = F.col("severity") > severity.OFFENDING
+    bad = F.col("p_offending") > severity.OFFENDING
     return scored.groupBy("source").agg(F.count("*").alias("records"), F.count_if(bad).alias("offending"), F.avg(bad.cast("double")).alias("rate"), F.avg("severity").alias("severity"))
 
 

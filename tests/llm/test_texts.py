@@ -130,12 +130,47 @@ def test_severity_learns_despite_wrong_ratings(spark):
     graded = severity.votes(spark.createDataFrame(votes, "pos bigint, rater string, category string, at int"), "pos", "rater", "category", newest="at")
     model = severity.fit(df, "pos", "query", graded)
     assert (np.diff(model.thresholds) >= 0).all()
-    p = severity.severities(df.unionByName(spark.createDataFrame([(-1, None, False), (-2, " ", False)], df.schema)), "pos", "query", model).toPandas().set_index("pos")["severity"]
+    p = severity.severities(df.unionByName(spark.createDataFrame([(-1, None, False), (-2, " ", False)], df.schema)), "pos", "query", model).toPandas().set_index("pos")["p_offending"]
     truth = np.array([r[2] for r in rows])
     found = p.loc[range(1500)].to_numpy() > severity.OFFENDING
     assert (found[1200:] == truth[1200:]).mean() > 0.98 and (found[:1200] == truth[:1200]).mean() > 0.95
     assert p[-1] == p[-2] == 0
-    assert model.severity(["сегодня ты м-е-р-з-к-и-й болвааан"])[0] > severity.OFFENDING
+    assert model.grades(["сегодня ты м-е-р-з-к-и-й болвааан"])[0, 0] > severity.OFFENDING
+
+
+def test_grades_are_ordered_and_learned():
+    rng = np.random.default_rng(5)
+    kinds = [("добрый день дорогой друг", 0), ("ты мерзкий болван и дурак", 1), ("голые тела в постели ночью", 2), ("всех этих пришлых надо гнать", 3)]
+    rows = [(f"{t} слово{rng.integers(40)}", g) for t, g in kinds for _ in range(120)]
+    grade = np.array([g for _, g in rows])
+    n = rng.integers(1, 4, len(rows))
+    above = np.stack([rng.binomial(n, np.where(grade >= k, 0.95, 0.04)) for k in (1, 2, 3)], 1)
+    model = severity.fit_ordinal([t for t, _ in rows], n, above)
+    got = model.grades([t for t, _ in kinds]).sum(1)
+    assert (np.diff(got) > 0.4).all() and got[0] < 0.3 and got[3] > 2.3
+    assert np.isinf(model.score([None, ""])).all() and not model.grades([None, ""]).any()
+
+
+def test_rater_errors_are_estimated():
+    rng = np.random.default_rng(6)
+    truth = rng.random(6000) < 0.25
+    n = rng.integers(1, 5, 6000)
+    for alarm, oversight in ((0.03, 0.15), (0.1, 0.05)):
+        m = rng.binomial(n, np.where(truth, 1 - oversight, alarm))
+        got = severity.rater_errors(n, m)
+        assert abs(got[0] - alarm) < 0.015 and abs(got[1] - oversight) < 0.03
+    assert severity.rater_errors(np.ones(5, int), np.ones(5, int)) == pytest.approx((severity.ERRORS, severity.ERRORS))
+
+
+def test_scores_are_calibrated_on_held_out_ratings():
+    rng = np.random.default_rng(7)
+    model = severity.Ordinal(np.zeros(2**severity.BITS), np.array([0.0, 0.5, 1.0]))
+    model.score = lambda texts: np.array(texts, float)
+    x = rng.normal(0, 2, 4000)
+    n = np.full(4000, 2)
+    above = np.stack([rng.binomial(n, np.where(rng.random(4000) < 1 / (1 + np.exp(-(2 * (x - t) - 1))), 0.95, 0.05)) for t in model.thresholds], 1)
+    slope, shift = severity.calibrate(model, x, n, above)
+    assert slope == pytest.approx(2, abs=0.4) and shift == pytest.approx(-1, abs=0.3)
 
 
 def test_severity_without_ratings(spark):
@@ -147,7 +182,7 @@ def test_severity_without_ratings(spark):
 
 def test_votes(spark):
     v = spark.createDataFrame([(1, "a", "none"), (1, "b", "hateful"), (2, "a", " None "), (3, "a", "sexual"), (3, "a", "sexual"), (4, "a", None)], "pos int, rater string, category string")
-    assert {r["pos"]: r["grade"] for r in severity.votes(v, "pos", "rater", "category").collect()} == {1: 1, 2: 0, 3: 2}
+    assert {tuple(r) for r in severity.votes(v, "pos", "rater", "category").collect()} == {(1, 2, 1, 1, 1), (2, 1, 0, 0, 0), (3, 1, 1, 1, 0)}
 
 
 def test_prose_statistics():
