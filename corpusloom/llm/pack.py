@@ -38,19 +38,24 @@ MOST_LIMITS = 64
 
 
 @cache
-def _encoding(path: str):
+def _encoding(vocabulary: bytes):
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_counts(df: DataFrame, key: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(key, n_tokens) of every text; null and empty texts have 0."""
+    """(key, n_tokens) of every text; null and empty texts have 0.
+
+    The vocabulary, about a megabyte, is read by the driver and sent with the job, so the
+    executors need no file.
+    """
+    with open(tokenizer, "rb") as f:
+        sent = df.sparkSession.sparkContext.broadcast(f.read())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = _encoding(tokenizer)
+        e = _encoding(sent.value)
         for b in batches:
             n = [len(e.encode_ordinary(t)) if t else 0 for t in b.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64())], [key, "n_tokens"])
