@@ -7,6 +7,7 @@ from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as X
 from corpusloom.functions import arrow
 from corpusloom.operators.ranking import in_blocks, numbered, ordered, others
+from corpusloom.session import cut
 
 #: Characters of the needles that are searched at once, at most: what is sent to the executors stays below 64 MB.
 BLOCK_CHARS = 8_000_000
@@ -134,7 +136,8 @@ def containment(haystack: DataFrame, key: str, text: str, wanted: DataFrame, ite
     """(key, item) where the text holds the needle, both being already normalised; equal texts are left out.
 
     The needles go through the executors in blocks as an Aho-Corasick automaton, and each
-    block is one pass over the texts: exact, without a nested loop and without a shuffle.
+    block is one pass over the texts: exact, without a nested loop and without a shuffle.  Of
+    several blocks each is worked off and written before the next is read.
     Null texts, and needles shorter than ``least``, match nothing.
     """
     spark = haystack.sparkSession
@@ -143,7 +146,7 @@ def containment(haystack: DataFrame, key: str, text: str, wanted: DataFrame, ite
     source = haystack.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t"))
     out, block, size = None, {}, 0
 
-    def search(block: dict[str, list]) -> DataFrame:
+    def search(block: dict[str, list]) -> tuple[DataFrame, Broadcast]:
         a = ahocorasick.Automaton()
         for i, (n, ids) in enumerate(block.items()):
             a.add_word(n, (i, n, ids))
@@ -162,20 +165,25 @@ def containment(haystack: DataFrame, key: str, text: str, wanted: DataFrame, ite
                             ids += items
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(ids, arrow)], [key, item])
 
-        return source.mapInArrow(scan, f"{key} {types[0]}, {item} {types[1]}")
+        return source.mapInArrow(scan, f"{key} {types[0]}, {item} {types[1]}"), sent
 
     for r in wanted.where(F.length(needle) >= least).select(item, needle).toLocalIterator():
         if size + len(r[needle]) > BLOCK_CHARS and block:
-            part = search(block)
-            out, block, size = part if out is None else out.unionByName(part), {}, 0
+            out, block, size = one_by_one(out, *search(block)), {}, 0
         block.setdefault(r[needle], []).append(r[item])
         size += len(r[needle])
     if block:
-        part = search(block)
-        out = part if out is None else out.unionByName(part)
+        out = one_by_one(out, *search(block)) if out is not None else search(block)[0]
     return spark.createDataFrame([], f"{key} {types[0]}, {item} {types[1]}") if out is None else out
 
 
+def one_by_one(done: DataFrame | None, part: DataFrame, sent: Broadcast) -> DataFrame:
+    """The blocks done so far and one more, which is worked off and written now, so that what was sent for it can be dropped."""
+    part = cut(part, "block")
+    sent.destroy()
+    return part if done is None else done.unionByName(part)
+
+
 def contained(a: DataFrame, b: DataFrame, least: int) -> DataFrame:
     """(a_id, b_id) where the text of a lies inside that of b, both being already normalised; equal texts are left out.
 

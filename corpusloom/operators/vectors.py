@@ -13,11 +13,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.operators.matching import hashed
+from corpusloom.operators.matching import hashed, one_by_one
 from corpusloom.session import cut
 
 #: Numbers in the matrix of one block of queries, at most: 32 MB as 4-byte numbers.
@@ -93,7 +94,7 @@ def nearest(base: DataFrame, queries: DataFrame, key: str, vector: str, k: int,
     schema = "query bigint, query_label string, neighbour bigint, label string, sim double"
     low, high = window or (-2.0, 2.0)
 
-    def search(ids: np.ndarray, m: np.ndarray, labels: np.ndarray) -> DataFrame:
+    def search(ids: np.ndarray, m: np.ndarray, labels: np.ndarray) -> tuple[DataFrame, Broadcast]:
         sent = spark.sparkContext.broadcast((ids, m, labels))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,25 +123,23 @@ def nearest(base: DataFrame, queries: DataFrame, key: str, vector: str, k: int,
                 q, at = np.nonzero(np.isfinite(held[0]))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(labels[q].tolist(), pa.string()), pa.array(held[1][q, at].astype(np.int64)), pa.array(held[2][q, at].tolist(), pa.string()), pa.array(held[0][q, at])], ["query", "query_label", "neighbour", "label", "sim"])
 
-        return rows.mapInArrow(scan, schema)
+        return rows.mapInArrow(scan, schema), sent
 
     out, ids, vs, ls = None, [], [], []
 
-    def flush() -> DataFrame:
+    def flush() -> tuple[DataFrame, Broadcast]:
         m = np.array(vs, np.float64)
         n = np.sqrt((m * m).sum(1))
         return search(np.array(ids, np.int64)[n > 0], m[n > 0] / n[n > 0][:, None], np.array(ls, object)[n > 0])
 
     for r in queries.select(*cols).where("v IS NOT NULL AND size(v) > 0").orderBy("k").toLocalIterator():
         if vs and (len(r["v"]) != len(vs[0]) or (len(vs) + 1) * len(vs[0]) > BLOCK_NUMBERS):
-            part = flush()
-            out, ids, vs, ls = part if out is None else out.unionByName(part), [], [], []
+            out, ids, vs, ls = one_by_one(out, *flush()), [], [], []
         ids.append(r["k"])
         vs.append(r["v"])
         ls.append(r["l"])
     if vs:
-        part = flush()
-        out = part if out is None else out.unionByName(part)
+        out = one_by_one(out, *flush()) if out is not None else flush()[0]
     if out is None:
         out = spark.createDataFrame([], schema)
     ranked = out.withColumn("place", F.row_number().over(W.partitionBy("query").orderBy(F.desc("sim"), "neighbour"))).where(F.col("place") <= k)
@@ -203,7 +202,7 @@ def label_scores(base: DataFrame, queries: DataFrame, key: str, vector: str, lab
     schema = "query bigint, query_label string, label string, n bigint, top double, second double, s double"
     rows = base.select(*cols).where("v IS NOT NULL AND size(v) > 0 AND l IS NOT NULL")
 
-    def search(ids: np.ndarray, m: np.ndarray, labels: list) -> DataFrame:
+    def search(ids: np.ndarray, m: np.ndarray, labels: list) -> tuple[DataFrame, Broadcast]:
         sent = spark.sparkContext.broadcast((ids, m, labels))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,17 +236,15 @@ def label_scores(base: DataFrame, queries: DataFrame, key: str, vector: str, lab
                 cols = [ids[ok], [labels[i] for i in ok], [name] * len(ok), count[ok], top[ok], np.where(np.isfinite(second[ok]), second[ok], np.nan), total[ok]]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), *[pa.array(c, from_pandas=True) for c in cols[3:]]], ["query", "query_label", "label", "n", "top", "second", "s"])
 
-        return rows.mapInArrow(scan, schema)
+        return rows.mapInArrow(scan, schema), sent
 
     out, block = None, []
     for r in queries.select(*cols).where("v IS NOT NULL AND size(v) > 0").orderBy("k").toLocalIterator():
         if block and (len(r["v"]) != len(block[0]["v"]) or (len(block) + 1) * len(r["v"]) > BLOCK_NUMBERS):
-            part = _search_block(search, block)
-            out, block = part if out is None else out.unionByName(part), []
+            out, block = one_by_one(out, *_search_block(search, block)), []
         block.append(r)
     if block:
-        part = _search_block(search, block)
-        out = part if out is None else out.unionByName(part)
+        out = one_by_one(out, *_search_block(search, block)) if out is not None else _search_block(search, block)[0]
     if out is None:
         out = spark.createDataFrame([], schema)
     first = out.groupBy("query", "query_label", "label").agg(F.sum("n").alias("n"), F.slice(F.sort_array(F.flatten(F.collect_list(F.array_compact(F.array("top", "second")))), asc=False), 1, 2).alias("_b"), F.collect_list(F.struct("top", "s")).alias("_l"))

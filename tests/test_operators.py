@@ -555,3 +555,16 @@ def test_a_cluster_needs_a_shared_folder():
         with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
             shared_dir(session(master))
     assert shared_dir(session("local[4]")).startswith("file:///") and shared_dir(session("yarn")) == held["spark.checkpoint.dir"]
+
+
+def test_searches_in_blocks_give_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(i, [float(x) for x in rng.normal(0, 1, 6)], f"l{i % 3}") for i in range(60)], "k bigint, v array<double>, l string")
+    hay = spark.createDataFrame([(i, f"alpha {i} beta {i % 7} gamma") for i in range(40)], "k bigint, t string")
+    wanted = spark.createDataFrame([(i, f"beta {i} gamma") for i in range(9)], "i bigint, n string")
+    runs = (lambda: V.nearest(df, df.where("k < 20"), "k", "v", 3, label="l"), lambda: V.label_scores(df, df.where("k < 20"), "k", "v", "l"), lambda: M.containment(hay, "k", "t", wanted, "i", "n", 3))
+    rows = lambda run: sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in run().collect())
+    whole = [rows(run) for run in runs]
+    monkeypatch.setattr(V, "BLOCK_NUMBERS", 40)
+    monkeypatch.setattr(M, "BLOCK_CHARS", 30)
+    assert [rows(run) for run in runs] == whole and all(whole)
