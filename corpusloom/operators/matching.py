@@ -187,15 +187,17 @@ def one_by_one(done: DataFrame | None, part: DataFrame, sent: Broadcast) -> Data
 def contained(a: DataFrame, b: DataFrame, least: int) -> DataFrame:
     """(a_id, b_id) where the text of a lies inside that of b, both being already normalised; equal texts are left out.
 
-    a: (a_id, text), b: (b_id, text).  A text of a is found by its first ``least`` characters
-    among all stretches of that length of b, so there are equi-joins on hashes only, whatever
-    the number of texts on either side; that the whole text lies there is tested afterwards.
-    Null texts, and those of a shorter than ``least``, match nothing.
+    a: (a_id, text), b: (b_id, text).  A text of a is found by the mark of its first ``least``
+    characters among the marks of b (``arrow.anchors``), which are few for the length of b; so
+    there are equi-joins on hashes only, whatever the number of texts on either side; that
+    the whole text lies there is tested afterwards.  Null texts, and those of a shorter than
+    ``least``, match nothing.
     """
-    at = F.sequence(F.lit(1), F.length("text") - least + 1)
-    stretches = b.where(F.length("text") > least).select("b_id", F.explode(F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.substring("text", i, F.lit(least)))))).alias("h"))
-    starts = a.where(F.length("text") >= least).select("a_id", F.col("text").alias("a_text"), F.xxhash64(F.substring("text", 1, least)).alias("h"))
-    pairs = starts.join(stretches, "h").join(b.select("b_id", F.col("text").alias("b_text")), "b_id")
+    of, first = arrow.anchors(least), arrow.anchors(least, first=True)
+    stretches = b.where(F.length("text") > least).select("b_id", F.explode(of("text")).alias("h"))
+    starts = a.where(F.length("text") >= least).select("a_id", F.explode(first("text")).alias("h"))
+    pairs = starts.join(stretches, "h").select("a_id", "b_id").distinct()
+    pairs = pairs.join(a.select("a_id", F.col("text").alias("a_text")), "a_id").join(b.select("b_id", F.col("text").alias("b_text")), "b_id")
     return pairs.where((F.length("b_text") > F.length("a_text")) & F.contains("b_text", "a_text")).select("a_id", "b_id").distinct()
 
 

@@ -568,3 +568,16 @@ def test_searches_in_blocks_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(V, "BLOCK_NUMBERS", 40)
     monkeypatch.setattr(M, "BLOCK_CHARS", 30)
     assert [rows(run) for run in runs] == whole and all(whole)
+
+
+def test_marks_of_shared_stretches(spark):
+    rng = np.random.default_rng(9)
+    letters = lambda n: "".join(rng.choice(list("абвгд"), n))
+    rows = []
+    for i in range(60):
+        a = letters(int(rng.integers(80, 200)))
+        rows.append((i, a, letters(int(rng.integers(0, 300))) + a + letters(int(rng.integers(0, 300)))))
+    df = spark.createDataFrame([*rows, (90, None, None), (91, "", "short")], "i int, a string, b string")
+    got = df.select("i", arrow.anchors(80, True)("a").alias("m"), arrow.anchors(80)("b").alias("n"), F.length("b").alias("size")).collect()
+    for r in got:
+        assert set(r["m"]) <= set(r["n"]) and len(r["m"]) == (r["i"] < 60) and len(r["n"]) <= max(1, (r["size"] or 0) // 8)
