@@ -195,7 +195,8 @@ def contained(a: DataFrame, b: DataFrame, least: int) -> DataFrame:
     """
     of, first = arrow.anchors(least), arrow.anchors(least, first=True)
     stretches = b.where(F.length("text") > least).select("b_id", F.explode(of("text")).alias("h"))
-    starts = a.where(F.length("text") >= least).select("a_id", F.explode(first("text")).alias("h"))
+    longest = F.broadcast(b.agg(F.max(F.length("text")).alias("_longest")))  # one row
+    starts = a.where(F.length("text") >= least).join(longest, F.length("text") < F.col("_longest")).select("a_id", F.explode(first("text")).alias("h"))
     pairs = starts.join(stretches, "h").select("a_id", "b_id").distinct()
     pairs = pairs.join(a.select("a_id", F.col("text").alias("a_text")), "a_id").join(b.select("b_id", F.col("text").alias("b_text")), "b_id")
     return pairs.where((F.length("b_text") > F.length("a_text")) & F.contains("b_text", "a_text")).select("a_id", "b_id").distinct()
